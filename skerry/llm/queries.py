@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, packing, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe_stream, html_extract, packing, quality_rules, simhash, substring_dedup, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,7 +45,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
