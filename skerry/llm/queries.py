@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, html_extract, packing, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe_stream, html_extract, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
