@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, fingerprints, html_extract, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from . import bpe_stream, fingerprints, html_extract, license_scan, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op4_document_fingerprints, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_document_fingerprints, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
