@@ -15,9 +15,11 @@ Two entry points:
   grams. Equal windows have equal anchors. Runs of windows with one anchor are segments. An
   aggregation over (anchor, segment hash) finds the least doc_id of each distinct segment: in
   any later document the whole segment is removed. A distinct segment whose anchor also
-  occurs in other segments is kept once, by its first document; a suffix automaton of those
-  first segments, built shard by shard over anchors, decides its windows (see
-  :func:`_judge_shard`). Hot passages collapse in map-side aggregation.
+  occurs in other segments is kept once, by its first document; the first segments of an
+  anchor are a shard, whose suffix automaton decides their windows (see :func:`_judge_shard`).
+  Hot passages collapse in map-side aggregation; a shard of more than ``max_group`` segments
+  is dealt into parts with an automaton each, and the windows that these leave, each once a
+  part, meet by hash.
 
 Hashes: segments are compared by anchor and segment hash together, 128 bits that both depend
 on the content; the automata compare 64-bit word hashes.
@@ -212,81 +214,76 @@ def _judge_shard(rows: list[tuple[int, list[int]]], window: int) -> list[list[in
 
 
 def _segment_words(window: int):
-    """Documents with spans of first segments -> (anchor, doc_id, th, start, symbols) for each."""
+    """Documents with spans of first segments -> (anchor, part, doc_id, th, start, symbols) for each."""
 
     def run(batches):
         for batch in batches:
-            keys: list = [[], [], [], []]
+            keys: list = [[], [], [], [], []]
             symbols: list = []
             for doc, th, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 h = word_hashes(split_words(text.as_py())).view(np.int64)
                 for span in spans:
-                    for k, x in zip(keys, (span["anchor"], doc, th, span["start"]), strict=True):
+                    for k, x in zip(keys, (span["anchor"], span["part"], doc, th, span["start"]), strict=True):
                         k.append(x)
                     symbols.append(h[span["start"] : span["start"] + span["n"] + window - 1])
             if symbols:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in symbols]))).astype(np.int32)
-                cols = [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int64()), pa.array(keys[3], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(symbols)))], names=["anchor", "doc_id", "th", "start", "symbols"])
+                cols = [pa.array(k, t) for k, t in zip(keys, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(symbols)))], names=["anchor", "part", "doc_id", "th", "start", "symbols"])
 
     return run
 
 
+def _window_hashes(symbols: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    h = np.asarray(symbols, np.int64).view(np.uint64)
+    n = len(h) - window + 1
+    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(window):
+        a = a * _BASE + h[k : k + n]
+        b = b * _M2 + (h[k : k + n] ^ (h[k : k + n] >> np.uint64(17)))
+    return _mix(a).view(np.int64), _mix(b).view(np.int64)
+
+
 def _shard_batches(window: int):
-    """Rows of _segment_words() sorted by anchor -> (doc_id, th, s, e): spans that an earlier document holds."""
+    """Rows of _segment_words() sorted by anchor and part -> (doc_id, th, s, e, h1, h2).
+
+    Spans that an earlier document of the shard holds have no hashes. Where an anchor's segments were dealt into parts,
+    each other window is returned with its hashes: an earlier document of another part may hold it.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def judged(group: list, cut: bool) -> list[tuple]:
+        out = []
+        if len(group) > 1 or cut:
+            for (doc, th, start, symbols), found in zip(group, _judge_shard([(g[0], g[3]) for g in group], window), strict=True):
+                out += [(doc, th, start + s, start + e, None, None) for s, e in _spans(found, window)]
+                if cut:
+                    gone = set(found)
+                    h1, h2 = (x.tolist() for x in _window_hashes(symbols, window))
+                    out += [(doc, th, start + k, start + k + window, h1[k], h2[k]) for k in range(len(h1)) if k not in gone]
+        return out
+
+    def batch_of(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "th", "s", "e", "h1", "h2"])
 
     def run(batches):
         group: list = []
         key = None
-
-        def judged():
-            out = []
-            if len(group) > 1:
-                for (doc, th, start, _), found in zip(group, _judge_shard([(g[0], g[3]) for g in group], window), strict=True):
-                    out += [(doc, th, start + s, start + e) for s, e in _spans(found, window)]
-            return out
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "th", "s", "e"])
-
         for batch in batches:
             rows: list = []
-            for anchor, doc, th, start, symbols in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if anchor != key:
-                    rows += judged()
-                    key, group = anchor, []
+            for anchor, part, doc, th, start, symbols in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (anchor, part) != key:
+                    rows += judged(group, key is not None and key[1] >= 0)
+                    key, group = (anchor, part), []
                 group.append((doc, th, start, symbols))
             if rows:
                 yield batch_of(rows)
-        if rows := judged():
+        if rows := judged(group, key is not None and key[1] >= 0):
             yield batch_of(rows)
 
     return run
 
 
-def _window_batches(window: int):
-    """Documents with spans of first segments of hot anchors -> (doc_id, th, start, h1, h2) of each window."""
-
-    def run(batches):
-        for batch in batches:
-            parts: list = [[], [], [], [], []]
-            for doc, th, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                h = word_hashes(split_words(text.as_py()))
-                for span in spans:
-                    s, n = span["start"], span["n"]
-                    part = h[s : s + n + window - 1]
-                    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                    for k in range(window):
-                        a = a * _BASE + part[k : k + n]
-                        b = b * _M2 + (part[k : k + n] ^ (part[k : k + n] >> np.uint64(17)))
-                    for p, x in zip(parts, (np.full(n, doc), np.full(n, th), np.arange(s, s + n, dtype=np.int32), _mix(a).view(np.int64), _mix(b).view(np.int64)), strict=True):
-                        p.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["doc_id", "th", "start", "h1", "h2"])
-
-    return run
-
-
 def _with_side(docs: DataFrame, side: DataFrame, spans: str, how: str) -> DataFrame:
     """Join documents with a table of a few spans each: broadcast if its measured size allows, else shuffled."""
     n, total = side.agg(F.count("*"), F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()
@@ -309,18 +306,17 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, m
     later = got.where("doc_id > lo").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + window - 1).alias("e"))
     first = got.where("doc_id = lo")
 
-    def by_doc(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("todo"))
-
-    def texts(side: DataFrame) -> DataFrame:
-        return _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo")
-
-    cool = texts(by_doc(first.where(F.col("nseg") <= max_group))).mapInArrow(_segment_words(window), "anchor long, doc_id long, th long, start int, symbols array<long>")
-    spans = cool.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shard_batches(window), "doc_id long, th long, s int, e int")
-    hot = texts(by_doc(first.where(F.col("nseg") > max_group))).mapInArrow(_window_batches(window), "doc_id long, th long, start int, h1 long, h2 long")
-    hot = materialize(hot)
-    least = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
-    more = hot.join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + window).alias("e"))
+    # The segments of one anchor are one shard; those of a hot one are dealt into parts of about max_group each.
+    part = F.when(F.col("nseg") > max_group, F.pmod(F.xxhash64("doc_id", "th", "start"), F.ceil(F.col("nseg") / max_group)).cast("int")).otherwise(F.lit(-1))
+    side = first.withColumn("part", part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "part", "start", "n")).alias("todo"))
+    shards = _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo").mapInArrow(_segment_words(window), "anchor long, part int, doc_id long, th long, start int, symbols array<long>")
+    shards = shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id")
+    found = materialize(shards.mapInArrow(_shard_batches(window), "doc_id long, th long, s int, e int, h1 long, h2 long"))
+    spans = found.where("h1 IS NULL").select("doc_id", "th", "s", "e")
+    # Between parts: what each has left once meets by hash.
+    left = found.where("h1 IS NOT NULL")
+    least = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
+    more = left.join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", "s", "e")
     return later.unionByName(spans).unionByName(more).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
