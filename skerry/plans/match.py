@@ -320,19 +320,32 @@ def compile_match(node, tokens: Column, text: Column | None = None, metadata: di
         wanted = F.lit(" " + " ".join(node.tokens) + ("" if node.prefix else " "))
         return F.startswith(s, wanted) if node.initial else F.contains(s, wanted)
     if isinstance(node, Near):
-        places = [_starts(tokens, p) for p in node.phrases]
-
-        def close(m: Column) -> Column:
-            each = [_within(at, m, len(p.tokens), node.distance) for at, p in zip(places, node.phrases, strict=True)]
-            return reduce(lambda a, b: a & b, each)
-
-        return F.exists(F.concat(*places), close)
+        return _let(tokens, lambda tk: _near(tk, node))
     if isinstance(node, Without):
         return go(node.keep) & ~go(node.drop)
     parts = [go(p) for p in node.parts]
     return reduce((lambda a, b: a & b) if isinstance(node, All) else (lambda a, b: a | b), parts)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, also for uses inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _near(tokens: Column, node: Near) -> Column:
+    """Whether starts of all phrases lie so close that at most ``distance`` tokens are between each one's end and the last start."""
+
+    def bound(places: Column) -> Column:
+        each = [F.get(places, F.lit(i)) for i in range(len(node.phrases))]
+
+        def close(m: Column) -> Column:
+            return reduce(lambda a, b: a & b, [_within(at, m, len(p.tokens), node.distance) for at, p in zip(each, node.phrases, strict=True)])
+
+        return F.exists(F.flatten(places), close)
+
+    return _let(F.array(*[_starts(tokens, p) for p in node.phrases]), bound)
+
+
 def _within(places: Column, m: Column, n: int, distance: int) -> Column:
     return F.exists(places, lambda x: (x <= m) & (m - x - n <= distance))
 
