@@ -46,6 +46,8 @@ BUCKETS = 64
 #: Words whose ids a worker keeps, of at most CACHED_CHARS characters.
 CACHE = 400_000
 CACHED_CHARS = 64
+#: ASCII punctuation.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokens:
@@ -66,11 +68,39 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        #: The printable stand-in of each byte in the vocabulary.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _stem(self, run: str) -> bytes:
+        """Ids of one pretoken in lower case."""
+        ids = self.stems.get(run)
+        if ids is None:
+            if len(self.stems) > CACHE:
+                self.stems.clear()
+            seen = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+            ids = self.stems[run] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        return ids
+
+    def _simple(self, word: str) -> bytes | None:
+        """Ids of letters and then ASCII punctuation, whose pretokens are these two runs; None for any other word.
+
+        Below U+0250 letters are the same in all Unicode versions and composed already.
+        """
+        core = word.rstrip(_PUNCTUATION)
+        if not core or len(word) > CACHED_CHARS or not core.isalpha() or max(core) >= "\u0250":
+            return None
+        low = core.lower()
+        if len(low) != len(core):
+            return None
+        return self._stem(low) + self._stem(word[len(core) :]) if len(core) < len(word) else self._stem(low)
+
     def encode(self, text: str) -> bytes:
         words = [w for w in self._common.split(text) if w] if self._odd.search(text) else text.split()
         cache = self.cache
@@ -81,7 +111,13 @@ class WordTokens:
         if len(cache) > CACHE:
             cache.clear()
         own: dict[str, bytes] = {}
-        new = list(set(words).difference(cache))
+        new = []
+        for word in set(words).difference(cache):
+            ids = self._simple(word)
+            if ids is None:
+                new.append(word)
+            else:
+                cache[word] = ids
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, ids in zip(part, self._encode(part), strict=True):
