@@ -505,7 +505,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
     run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = _docs(spark, d).schema
-    watch_documents(spark, f"{d}/documents.parquet", schema, f"{run}/out", f"{run}/log").awaitTermination()
+    watch_documents(spark, f"{d}/documents.parque[t]", schema, f"{run}/out", f"{run}/log").awaitTermination()
     return spark.read.parquet(f"{run}/out").agg(F.count("*").alias("n_chunks"), F.countDistinct("sha1").alias("n_contents"))
 
 
