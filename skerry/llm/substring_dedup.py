@@ -342,6 +342,9 @@ def _cut(text, spans):
     return pd.DataFrame([(a, b, c.decode("utf-8", "surrogatepass")) for a, b, c in rows], columns=["n_words", "n_removed", "kept"])
 
 
+_cut = _cut.asNondeterministic()  # else a filter on its result would run it a second time
+
+
 def _flat(spans):
     return F.flatten(F.transform(spans, lambda x: F.array(x["s"], x["e"])))
 
