@@ -43,8 +43,8 @@ SMALL = 256
 GROUPS = 48
 #: Hash buckets within which ranks are counted.
 BUCKETS = 64
-#: Words whose ids a worker keeps, of at most CACHED_CHARS characters.
-CACHE = 400_000
+#: Words, and runs of letters, whose ids a task keeps; words have at most CACHED_CHARS characters.
+CACHE, STEMS = 200_000, 300_000
 CACHED_CHARS = 64
 #: ASCII punctuation.
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -82,7 +82,7 @@ class WordTokens:
         """Ids of one pretoken in lower case."""
         ids = self.stems.get(run)
         if ids is None:
-            if len(self.stems) > CACHE:
+            if len(self.stems) >= STEMS:
                 self.stems.clear()
             seen = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
             ids = self.stems[run] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
@@ -108,20 +108,18 @@ class WordTokens:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
             pass
-        if len(cache) > CACHE:
-            cache.clear()
         own: dict[str, bytes] = {}
         new = []
         for word in set(words).difference(cache):
             ids = self._simple(word)
             if ids is None:
                 new.append(word)
-            else:
-                cache[word] = ids
+            else:  # the first words seen are the frequent ones; the others cost two look-ups of their runs
+                (cache if len(cache) < CACHE else own)[word] = ids
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, ids in zip(part, self._encode(part), strict=True):
-                (cache if len(word) <= CACHED_CHARS and len(cache) < 2 * CACHE else own)[word] = ids
+                (cache if len(word) <= CACHED_CHARS and len(cache) < CACHE else own)[word] = ids
         if not own:
             return b"".join(map(cache.__getitem__, words))
         return b"".join([cache[w] if w in cache else own[w] for w in words])
