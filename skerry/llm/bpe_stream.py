@@ -24,6 +24,8 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import sys
+from array import array
 from collections import deque
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pretokens whose ids a worker keeps, of at most CACHED_CHARS characters.
-CACHE = 300_000
+CACHE = 700_000
 CACHED_CHARS = 48
 PAIRS = 1_000_000
 #: A pretoken longer than this is passed on in parts.
@@ -40,6 +42,7 @@ HOLD = 1024
 
 #: The pretokens of the byte-level vocabularies, and the contractions split off.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LITTLE = sys.byteorder == "little" and array("i").itemsize == 4
 #: Below this character all Unicode versions in use agree on letters, numbers and spaces.
 _NEWER = re.compile("[^\x00-՗]")
 
@@ -70,7 +73,7 @@ class Vocabulary:
         self.trie: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         self._build_trie()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _build_trie(self) -> None:
         nodes = 1
@@ -90,12 +93,16 @@ class Vocabulary:
         """The encoding by its definition: the merge of least rank first, leftmost first. For short inputs."""
         parts, ranks = [self.singles[b] for b in data], self.ranks
         while len(parts) > 1:
-            best = min((ranks[p] for p in zip(parts, parts[1:], strict=False) if p in ranks), default=None)
+            best = None
+            for pair in zip(parts, parts[1:], strict=False):
+                found = ranks.get(pair)
+                if found is not None and (best is None or found < best):
+                    best, at = found, pair
             if best is None:
                 break
             out, k, n = [], 0, len(parts)
             while k < n:
-                if k + 1 < n and ranks.get((parts[k], parts[k + 1])) == best:
+                if k + 1 < n and parts[k] == at[0] and parts[k + 1] == at[1]:
                     out.append(best[1])
                     k += 2
                 else:
@@ -106,11 +113,11 @@ class Vocabulary:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is the two tokens."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 20 | b)
         if known is None:
             if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._pairs[a << 20 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
 
@@ -152,6 +159,34 @@ class Transducer:
                 last = self.last
         return out
 
+    def short(self, data: bytes) -> list[int]:
+        """All ids of a pretoken within the lookahead, where nothing is stable before its end: the same positions in one array."""
+        v, n = self.v, len(data)
+        trie, token_at, pairs, follow = v.trie, v.token_at, v._pairs, v.may_follow
+        last, start_of = [None] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            before, node = last[start], 0
+            for end in range(start, n):
+                node = trie.get(node << 8 | data[end])
+                if node is None:
+                    break
+                token = token_at.get(node)
+                if token is not None and last[end + 1] is None:
+                    if start:
+                        known = pairs.get(before << 20 | token)
+                        if known is None:
+                            known = follow(before, token)
+                        if not known:
+                            continue
+                    last[end + 1] = token
+                    start_of[end + 1] = start
+        ids = []
+        while n:
+            ids.append(last[n])
+            n = start_of[n]
+        ids.reverse()
+        return ids
+
     def _chain(self, at: int) -> list[int]:
         """Positions of token ends from ``at`` back to the emitted one."""
         ends = []
@@ -209,8 +244,13 @@ class Encoder:
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
     def _one(self, pretoken: str) -> bytes:
-        ids = self.transducer.push(pretoken.encode("utf-8", "surrogatepass"))
-        return np.asarray(ids + self.transducer.finish(), "<i4").tobytes()
+        data = pretoken.encode("utf-8", "surrogatepass")
+        if len(data) <= self.v.lookahead:
+            ids = self.transducer.short(data)
+        else:
+            ids = self.transducer.push(data)
+            ids += self.transducer.finish()
+        return array("i", ids).tobytes() if _LITTLE else np.asarray(ids, "<i4").tobytes()
 
     def _plain(self, text: str) -> bytes:
         parts, cache = self.pretokens(text), self.cache
@@ -225,7 +265,7 @@ class Encoder:
             ids = cache.get(p)
             if ids is None:
                 ids = self._one(p)
-                if len(p) <= CACHED_CHARS and len(cache) <= 2 * CACHE:
+                if len(p) <= CACHED_CHARS and len(cache) <= CACHE:
                     cache[p] = ids
             out.append(ids)
         return b"".join(out)
