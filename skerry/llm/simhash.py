@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialize
 from .components import components
 
@@ -223,6 +224,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dif
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of the least doc_id of each component; of rows that repeat a doc_id, or have none, one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept.withColumnRenamed("doc_id", "_skerry_id"), F.col("doc_id").eqNullSafe(F.col("_skerry_id")), "left_semi")
+    """The documents of the least doc_id of each group of near copies (see :mod:`.near_copies`); of rows that repeat a doc_id, or have none, one."""
+    kept = near_copies.groups(docs).groupBy("root").agg(F.min("doc_id").alias("_skerry_id")).select("_skerry_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_skerry_id")), "left_semi")

@@ -1,9 +1,11 @@
 """The pipeline's stages against what their operators say, on small tables."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
-from skerry.llm import quality_rules, simhash
+from skerry.llm import near_copies, quality_rules, simhash
 
 from .conftest import prose
 
@@ -42,3 +44,38 @@ def test_stages(spark, folder, tmp_path):
     assert ids(docs) == ids(after)
     run = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, run.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def shingle_groups(texts):
+    """Brute force: the least index of each text's group at Jaccard 0.8 or more of 5-word shingles."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for k, g in enumerate(group):
+        least.setdefault(g, k)
+    return [least[g] for g in group]
+
+
+def edited(seed: int, text: str, n: int) -> str:
+    rnd, w = random.Random(seed), text.split()
+    for k in rnd.sample(range(len(w)), n):
+        w[k] = f"edit{seed}x{k}"
+    return " ".join(w)
+
+
+def test_near_copies_against_jaccard(spark, monkeypatch):
+    texts = [prose(3000 + k, 200) for k in range(30)]
+    texts += [edited(100 * k + n, texts[k], n) for k in range(30) for n in (1, 3, 4, 5, 9)]
+    texts += [edited(7000 + k, prose(2999, 200), 4) for k in range(40)] + ["one two", "One  two", "one two three", None, " "]
+    want = shingle_groups(texts)
+    assert 30 < len(set(want)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part, cross in ((256, 500), (2, 3)):  # whole buckets, and buckets cut into parts
+        monkeypatch.setattr(near_copies, "PART", part)
+        monkeypatch.setattr(near_copies, "CROSS", cross)
+        assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want)
