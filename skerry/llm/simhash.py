@@ -224,6 +224,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dif
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of the least doc_id of each group of near copies (see :mod:`.near_copies`); of rows that repeat a doc_id, or have none, one."""
-    kept = near_copies.groups(docs).groupBy("root").agg(F.min("doc_id").alias("_skerry_id")).select("_skerry_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_skerry_id")), "left_semi")
+    """One document of each group of near copies (see :mod:`.near_copies`): the one with the least doc_id, nulls last.
+
+    A document is its doc_id and text: of rows that repeat both one stays, and distinct texts under
+    one doc_id, or under none, are judged by their own groups.
+    """
+    name = "_skerry_row"
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row").alias(name)))
+    kept = near_copies.groups(docs).groupBy("root").agg(first.alias("first")).select(f"first.{name}")
+    return near_copies.with_row(docs, name).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -79,3 +79,11 @@ def test_near_copies_against_jaccard(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "PART", part)
         monkeypatch.setattr(near_copies, "CROSS", cross)
         assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want)
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    a, b, c, d, e, f = (prose(4000 + k, 90) for k in range(6))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, edited(1, d, 1)), (6, edited(2, c, 1)), (2, d), (None, edited(3, d, 1)), (7, e), (7, e), (7, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([("None", a), ("None", b), ("5", c), ("2", d), ("7", e), ("7", f)])
