@@ -1,9 +1,16 @@
 """Toxicity scores over deobfuscated text.
 
-Words that look disguised (digits or signs among letters, letters drawn out, letters set apart)
-are read through a noisy channel: a lattice of what each character may stand for, with edges
-that drop separators and repetitions, decoded by Viterbi under a character trigram model of
-the whole corpus. The restored words are scored by a classifier over words and word beginnings.
+Words that look disguised (digits or signs among letters, letters doubled or drawn out, letters
+set apart) are read through a noisy channel: a lattice of what each character may stand for, with
+edges that drop separators and repetitions or take separators and spaces for word boundaries,
+decoded by Viterbi under a character trigram model of the whole corpus, in time linear in the
+length. The restored words are scored by a classifier over words and word beginnings, besides the
+words as they stand.
+
+Words cut into pieces ("st upid") are too like other text for the character model. So a second
+lattice follows the words that count as signs, up to MAX_SPLIT letters, through the tokens, with
+the same channel and spaces dropped; the pieces are read as one word where their shares of the
+sample's clean documents make them unlikely (SPLIT_CHANCE) as words of their own.
 
 The classifier is fitted on a bounded sample: of the labelled rows outside the held-out fold,
 the MAX_TOXIC and MAX_CLEAN first ones by a hash of doc_id. A feature counts if it is in so many
@@ -44,7 +51,8 @@ FOLD = 2
 #: Words whose weights a worker keeps.
 CACHE = 120_000
 BEAM = 24
-MAX_LATTICE = 32
+MAX_SPLIT = 40
+SPLIT_CHANCE = 1e-4
 
 #: What characters may stand for, besides themselves.
 LOOKALIKES = {
@@ -104,18 +112,20 @@ def char_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _edges(word: str) -> list[list[tuple[str, float]]]:
-    """For each character, what it may have been ('' if it was put in) and the log probability of the channel."""
+    """For each character, what it may have been ('' if it was put in, a space for a word boundary) and the log probability of the channel."""
     out = []
     for i, c in enumerate(word):
         options: list[tuple[str, float]] = []
-        if c.isalpha():
+        if c.isspace():
+            options += [("", -0.5), (" ", -0.3)]
+        elif c.isalpha():
             options.append((c, -0.1))
             if i and word[i - 1] == c:
                 options.append(("", -0.7))
         else:
             options += [(x, -1.0) for x in LOOKALIKES.get(c, "")]
             if c in _SEPARATORS or not c.isalnum():
-                options.append(("", -1.5))
+                options += [("", -1.5), (" ", -2.0)]
             if i and word[i - 1] == c:
                 options.append(("", -0.7))
             options.append((c, -4.0))
@@ -124,44 +134,66 @@ def _edges(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest word behind a disguised one: Viterbi over the lattice; states are the last two classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest words behind a disguised run: Viterbi over the lattice; states are the last two classes."""
+    logs = memoryview(np.ascontiguousarray(model).reshape(-1))
+    # Texts are chains (before, character), so that a step costs the same at any length.
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for options in _edges(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (value, text) in states.items():
-            for char, cost in options:
-                if char:
-                    k = char_class(char)
-                    key, v = (b, k), value + cost + float(model[a, b, k])
+        after: dict[int, tuple[float, tuple | None]] = {}
+        steps = [(char, cost, char_class(char) if char else -1) for char, cost in options]
+        for key, (value, chain) in states.items():
+            for char, cost, k in steps:
+                if k < 0 or (char == " " and key % _SIZE == 0):
+                    to, v, char = key, value + cost, ""
                 else:
-                    key, v = (a, b), value + cost
-                if key not in after or after[key][0] < v:
-                    after[key] = (v, text + char)
+                    to, v = key % _SIZE * _SIZE + k, value + cost + logs[key * _SIZE + k]
+                if to not in after or after[to][0] < v:
+                    after[to] = (v, (chain, char) if char else chain)
         states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM]) if len(after) > BEAM else after
-    ends = ((v + float(model[a, b, 0]), text) for (a, b), (v, text) in states.items())
-    return max(ends)[1]
+    chain = max(states.items(), key=lambda x: x[1][0] + (logs[x[0] * _SIZE] if x[0] % _SIZE else 0.0))[1][1]
+    out = []
+    while chain:
+        chain, char = chain
+        out.append(char)
+    return "".join(reversed(out))
 
 
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_@$!]){3,}(?!\S)|(?<!\S)[^\W\d_](?:[ .\-_*][\w@$!]){3,}(?!\S)")
+#: Letters set apart, by one or more separators each.
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*]+[^\W_@$!](?![^\s.\-_*])){3,}(?!\S)|(?<!\S)[^\W\d_](?:[\s.\-_*]+[\w@$!](?![^\s.\-_*])){3,}(?!\S)")
+_GAPS = re.compile(r"[\s.\-_*]+")
 _TRAIL = re.compile(r"([%&#*$!|?.<>])\1{1,}[.,]?$")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£¡]+|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_][.\-_*~][^\W\d_]")
+_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£¡]+|([^\W\d_])\1|[^\W\d_][.\-_*~'`^,:;/\\=#%&\"]+[^\W\d_]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def restore_word(word: str, model: np.ndarray) -> str:
-    """A word in lower case, without what surrounds it, and read through the channel if it looks disguised."""
+    """A word in lower case, without what surrounds it, and read through the channel if it looks disguised; it may turn out to be several."""
     low = _TRAIL.sub("", word.lower())
-    if len(low) <= MAX_LATTICE and _DISGUISED.search(low):
-        low = decode(low, model)
+    if _DISGUISED.search(low):
+        low = " ".join(_EDGES.sub("", x) for x in decode(low, model).split())
     return _EDGES.sub("", low)
 
 
+def restore_run(run: str, model: np.ndarray) -> str:
+    """The words behind letters set apart."""
+    return decode(_GAPS.sub(" ", run.lower()), model)
+
+
 def restore(text: str, model: np.ndarray) -> str:
-    """The text with letters set apart joined and disguised words restored; words are joined by one space."""
-    joined = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+    """The text with letters set apart joined to words and disguised words restored; words are joined by one space."""
+    joined = _SPACED.sub(lambda m: restore_run(m[0], model), text)
     return " ".join(w for w in (restore_word(x, model) for x in joined.split()) if w)
 
 
+def readings(word: str, model: np.ndarray) -> set[str]:
+    """The word as it stands, and the words that the channel makes of it."""
+    return {_EDGES.sub("", _TRAIL.sub("", word.lower())), *restore_word(word, model).split()}
+
+
+def word_features(word: str, model: np.ndarray) -> list[str]:
+    return list({f for w in readings(word, model) for f in features(w)})
+
+
 def features(word: str) -> list[str]:
     return [word + "$", *[word[:k] for k in PREFIXES if len(word) > k]] if len(word) > 2 else []
 
@@ -170,35 +202,103 @@ class Scorer:
     """Measures and scores texts, with a bounded cache of the weights of words.
 
     ``weights``: log odds of features; ``final``: slopes of the measures, the constant, and
-    the measures' least and largest values in the sample (none: no score).
+    the measures' least and largest values in the sample (none: no score); ``pieces``: the share
+    of clean documents that hold a piece of a sign as a word of its own, and at '' any other's.
     """
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float], final: tuple | None = None):
-        self.model, self.weights, self.final = model, weights, final
-        self.cache: dict[str, float] = {}
+    def __init__(self, model: np.ndarray, weights: dict[str, float], final: tuple | None = None, pieces: dict[str, float] | None = None):
+        self.model, self.weights, self.final, self.pieces = model, weights, final, pieces or {}
+        self.cache: dict[str, tuple[float, bool]] = {}
+        self.signs = whole_signs(weights) if pieces else set()
+        self.beginnings = {w[:k] for w in self.signs for k in range(1, len(w) + 1)}
+        self.ends = {f.removesuffix("$") for f in weights}
+        self.toward = {f[:k] for f in self.ends for k in range(1, len(f) + 1)}
+
+    def reaches(self, low: str) -> bool:
+        """Whether any path of the lattice has a feature with a weight; if not, decoding can't change the weight."""
+        nodes, last = {""}, ""
+        for c in low:
+            after = {p + x for p in nodes for x in (c, *LOOKALIKES.get(c, "")) if p + x in self.toward}
+            if not after.isdisjoint(self.ends):
+                return True
+            if c == last or not c.isalnum():
+                after |= nodes
+            if not c.isalnum():
+                after.add("")
+            if not after:
+                return False
+            nodes, last = after, c
+        return False
 
     def weight(self, word: str) -> float:
-        return max((self.weights[f] for f in features(restore_word(word, self.model)) if f in self.weights), default=0.0)
+        low = _TRAIL.sub("", word.lower())
+        fs = features(_EDGES.sub("", low)) if not (_DISGUISED.search(low) and self.reaches(low)) else word_features(word, self.model)
+        return max((self.weights[f] for f in fs if f in self.weights), default=0.0)
+
+    def starts(self, token: str) -> bool:
+        """Whether a token may be the beginning of a sign that goes on in the next one."""
+        if not self.signs:
+            return False
+        two = token[:2].lower()
+        if len(two) == 2 and two.isalpha() and two[0] != two[1] and two not in self.beginnings:
+            return False
+        return bool(self.walk({""}, token))
 
     def words(self, text: str) -> set[str]:
         own = set(text.split())
-        own.update(re.sub(r"[ .\-_*]", "", m[0]) for m in _SPACED.finditer(text))
+        for m in _SPACED.finditer(text):
+            own.add(_GAPS.sub("", m[0]))
+            own.update(restore_run(m[0], self.model).split())
         return own
 
+    def walk(self, nodes: set[str], token: str) -> set[str]:
+        """The beginnings of signs that those of ``nodes`` become by a token."""
+        for c in token.lower():
+            after = set()
+            for p in nodes:
+                after.update(p + x for x in (c, *LOOKALIKES.get(c, "")) if p + x in self.beginnings)
+                if not c.isalnum() or p[-1:] == c:
+                    after.add(p)
+            nodes = after
+            if not nodes:
+                break
+        return nodes - {""}
+
+    def split_signs(self, tokens: list[str]) -> set[str]:
+        """The signs that lie in pieces over two or more tokens, and are unlikely as words of their own."""
+        found = set()
+        begin = {w: (self.walk({""}, w), self.share(w)) for w in set(tokens) if (self.cache[w][1] if w in self.cache else self.starts(w))}
+        for i in [i for i, w in enumerate(tokens) if w in begin]:
+            (nodes, chance), k = begin[tokens[i]], i + 1
+            while nodes and k < len(tokens):
+                nodes = self.walk(nodes, tokens[k])
+                chance *= self.share(tokens[k])
+                k += 1
+                if chance < SPLIT_CHANCE:
+                    found |= nodes & self.signs
+        return found
+
+    def share(self, token: str) -> float:
+        piece = _EDGES.sub("", token.lower())
+        return self.pieces.get(piece, self.pieces[""]) if piece else 1.0
+
     def measures(self, text: str | None) -> list[float]:
         """Of the distinct words: the largest weight, the sum of the TOP largest, how many have one, that by the
         square root of all, and the logarithm of all."""
-        signs, cache, own = [], self.cache, self.words(text or "")
+        signs, cache, own, cut = [], self.cache, self.words(text or ""), False
         for w in own:
-            v = cache.get(w)
-            if v is None:
-                v = self.weight(w)
+            got = cache.get(w)
+            if got is None:
+                got = self.weight(w), self.starts(w)
                 if len(cache) > CACHE:
                     cache.clear()
                 if len(w) <= 64:
-                    cache[w] = v
-            if v:
-                signs.append(v)
+                    cache[w] = got
+            cut |= got[1]
+            if got[0]:
+                signs.append(got[0])
+        if cut:
+            signs += [self.weights[w + "$"] for w in self.split_signs(text.split())]
         signs.sort(reverse=True)
         n = len(own) + 1
         return [max(signs, default=0.0), sum(signs[:TOP]), min(len(signs), 50), len(signs) / math.sqrt(n), math.log(n)]
@@ -228,14 +328,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple:
     return slope.tolist(), float(w[-1] - (slope * mean).sum()), x.min(axis=0).tolist(), x.max(axis=0).tolist()
 
 
+def whole_signs(weights: dict[str, float]) -> set[str]:
+    """The words that count as signs and are followed through pieces."""
+    return {f[:-1] for f, v in weights.items() if f.endswith("$") and v > 0 and 3 < len(f) - 1 <= MAX_SPLIT}
+
+
+def _pieces_batches(wanted):
+    """(text) -> documents that hold each of the pieces ``wanted`` as a word of its own."""
+
+    def run(batches):
+        count: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                count.update(wanted.value & {_EDGES.sub("", w) for w in (text.as_py() or "").lower().split()})
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["piece", "n"])
+
+    return run
+
+
 _WORKER: dict[str, Scorer] = {}
 
 
 def _scorer(sent) -> Scorer:
-    model, weights, final, name = sent.value
+    model, weights, final, pieces, name = sent.value
     if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[name] = Scorer(model, weights, final)
+        _WORKER[name] = Scorer(model, weights, final, pieces)
     return _WORKER[name]
 
 
@@ -257,7 +375,7 @@ def _counted(sent_model, only):
                 for w in scorer.words(text.as_py() or ""):
                     fs = known.get(w)
                     if fs is None:
-                        fs = features(restore_word(w, scorer.model))
+                        fs = word_features(w, scorer.model)
                         if wanted is not None:
                             fs = [f for f in fs if f in wanted]
                         if len(known) > CACHE:
@@ -297,8 +415,8 @@ def _measured(sent):
     """(toxic, text) -> toxic and the text's measures, with the weights as they are without this text."""
 
     def run(batches):
-        model, weights = sent.value
-        scorers = {k: Scorer(model, weights[k]) for k in (0, 1)}
+        model, weights, pieces = sent.value
+        scorers = {k: Scorer(model, weights[k], None, pieces) for k in (0, 1)}
         for batch in batches:
             rows = [[float(k), *scorers[k].measures(t.as_py())] for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             if rows:
@@ -307,8 +425,8 @@ def _measured(sent):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], tuple | None]:
-    """The character model of all documents, the classifier's weights and its final coefficients."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], tuple | None, dict[str, float]]:
+    """The character model of all documents, the classifier's weights, its final coefficients, and the shares of pieces."""
     spark = docs.sparkSession
     model = char_model(char_counts(docs))
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(F.col("doc_id")))
@@ -326,16 +444,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     found = count(texts.where("toxic = 1")).where("n >= 3").orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES)
     toxic = {r["feature"]: r["n"] for r in found.collect()}
     if not toxic:
-        return model, {}, None
+        return model, {}, None, {}
     wanted = spark.sparkContext.broadcast(set(toxic))
     clean = {r["feature"]: r["n"] for r in count(texts.where("toxic = 0"), wanted).collect()}
     chosen = choose_features(toxic, clean, n_toxic, n_clean)
     weights = {f: log_odds(t, c, n_toxic, n_clean) for f, (t, c) in chosen.items()}
+    signs = whole_signs(weights)
+    parts = spark.sparkContext.broadcast({w[i:k] for w in signs for i in range(len(w)) for k in range(i + 1, len(w) + 1)})
+    held = texts.where("toxic = 0").select("text").mapInArrow(_pieces_batches(parts), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    pieces = {"": 0.5 / (n_clean + 1)} | {r["piece"]: (r["n"] + 0.5) / (n_clean + 1) for r in held}
     # Each text of the sample is measured with weights that leave it out.
     without = {1: {f: max(0.0, log_odds(t - 1, c, n_toxic, n_clean)) for f, (t, c) in chosen.items()}, 0: {f: log_odds(t, max(0, c - 1), n_toxic, n_clean) for f, (t, c) in chosen.items()}}
-    sent = spark.sparkContext.broadcast((model, without))
+    sent = spark.sparkContext.broadcast((model, without, pieces))
     rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(_measured(sent), "row array<double>").collect()])
-    return model, weights, logistic(rows[:, 1:], rows[:, 0])
+    return model, weights, logistic(rows[:, 1:], rows[:, 0]), pieces
 
 
 def score_column(docs: DataFrame, text: Column, fitted: tuple) -> Column:

@@ -412,3 +412,28 @@ def test_decoding():
     for word, want in {"id10t": "idiot", "l0ser": "loser", "looooser": "loser", "i.d.i.o.t": "idiot", "t0w3r,": "tower", "window": "window", "!!!": ""}.items():
         assert toxicity.restore_word(word, model) == want, word
     assert toxicity.restore("a w i n d o w here", model).split()[-2:] == ["window", "here"] or "window" in toxicity.restore("the w i n d o w here", model)
+
+
+def test_decoding_spaces_doubles_and_length():
+    counts = np.zeros(toxicity._SIZE**3)
+    for word in ["idiot", "stupid", "moron", "you", "a", "silver", "window"] * 50:
+        c = [0, 0, *map(toxicity.char_class, word), 0]
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            counts[(a * toxicity._SIZE + b) * toxicity._SIZE + d] += 1
+    model = toxicity.char_model(counts)
+    words = {"iddiioott": "idiot", "stu.pid": "stupid", "mor-on": "moron", "id" + "i" * 200 + "ot": "idiot"}
+    for word, want in words.items():
+        assert toxicity.restore_word(word, model) == want, word
+    runs = {"a s t u p i d": "a stupid", "y o u i d i o t": "you idiot", "a w i n d o w here": "a window here", "i  d  i  o  t": "idiot"}
+    for text, want in runs.items():
+        assert toxicity.restore(text, model) == want, text
+
+
+def test_signs_in_pieces(speech):
+    docs, labels = speech
+    model, weights, final, pieces = toxicity.fit(docs, labels)
+    scorer = toxicity.Scorer(model, weights, final, pieces)
+    calm = prose(1003, 80)
+    assert scorer.score(calm) < toxicity.THRESHOLD
+    for cut in ("snot waffle", "sn otwaf fle!", "a s n o t w a f f l e", "s  n  o  t  w  a  f  f  l  e", "sn0t w4ffle", "snot.waffle", "grummbbleffacce"):
+        assert scorer.score(f"{calm} {cut} {calm}") >= toxicity.THRESHOLD, cut
