@@ -1,11 +1,17 @@
 """Document fingerprints by consistent weighted sampling (native: DataFrame functions only).
 
 Terms are the lower-cased words of a text, weighted by how often they occur. For sample k each
-term draws, from hashes of the term and k, r and c from Gamma(2, 1) and b from U(0, 1); with
-weight w its level is t = floor(ln w / r + b) and its rank ln c - r (t + 1 - b). The least rank
-of a text is its sample. Two texts share a sample with a probability that equals the
-generalised Jaccard similarity of their weighted terms (sum of minima over sum of maxima), as
-the rank depends on the term and its level only.
+term draws r and c from Gamma(2, 1) and b from U(0, 1); with weight w its level is
+t = floor(ln w / r + b) and its rank c exp(-r (t + 1 - b)). The least rank of a text is its
+sample. Two texts share a sample with a probability that equals the generalised Jaccard
+similarity of their weighted terms (sum of minima over sum of maxima), as the rank depends on
+the term and its level only.
+
+The draws come from four uniform numbers, the halves of two hashes of the term: r b = -ln u1 and
+r (1 - b) = -ln u2 are what a Gamma(2, 1) variable times b and 1 - b are (two independent
+exponential ones), and c = -ln u3 u4. So exp(-r) = u1 u2, the rank is c u2 (u1 u2)^t, and a word
+that occurs once (t = 0) costs one logarithm. A word as frequent in a text as in its edited text
+is ranked once for both.
 
 A fingerprint is SAMPLES samples of 16 bits, in hexadecimal; the likeness of two is the share
 of samples that are equal.
@@ -26,46 +32,87 @@ from pyspark.sql import functions as F
 from .common import let, materialize, words
 
 SAMPLES = 64
-#: Documents aimed at in each bucket of the order, and intervals of equal share that buckets divide.
+#: Documents aimed at in each range of the order, and ranges at most.
 BUCKET_ROWS = 1_000
-INTERVALS = 64
+MAX_BUCKETS = 10_000
+#: The sides of an edit that a term counts for.
+TEXT, OTHER, BOTH = 0, 1, 2
 _LEAST = -(1 << 63)
 
 
-def weighted_terms(text: Column) -> Column:
-    """Array of (h: hash of a distinct word, lw: logarithm of its count)."""
+def _runs(s: Column) -> Column:
+    """Sorted longs -> array of (v: a distinct value, n: how often it occurs)."""
 
-    def runs(s: Column) -> Column:
-        def terms(at: Column) -> Column:
-            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(s))
-            return F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("h"), F.log((end(j) - p).cast("double")).alias("lw")))
+    def counted(at: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(at, j + 1), F.size(s))
+        return F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("v"), (end(j) - p).alias("n")))
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
-        return F.when(F.size(s) == 0, F.array().cast("array<struct<h:bigint,lw:double>>")).otherwise(let(starts, terms))
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
+    return F.when(F.size(s) == 0, F.array().cast("array<struct<v:bigint,n:int>>")).otherwise(let(starts, counted))
 
-    return let(F.sort_array(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))), runs)
+
+def _hashes(text: Column) -> Column:
+    """Hashes of the words of a text, with the lowest bit free."""
+    return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+
+
+def weighted_terms(text: Column, other: Column | None = None) -> Column:
+    """Array of (h: hash of a distinct word, lw: logarithm of its count, side).
+
+    ``side`` is TEXT for a count in ``text`` and OTHER for one in ``other``; a word as frequent in both is listed once,
+    as BOTH. The lowest bit of a sorted value tells the texts apart.
+    """
+    both = _hashes(text) if other is None else F.concat(_hashes(text), F.transform(_hashes(other), lambda h: h.bitwiseOR(F.lit(1))))
+
+    def sided(runs: Column) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            odd = x["v"].bitwiseAND(F.lit(1)) == 1
+            after, before = F.get(runs, i + 1), F.get(runs, i - 1)
+            first = ~odd & (after["v"] == x["v"].bitwiseOR(F.lit(1))) & (after["n"] == x["n"])
+            second = odd & (before["v"] == x["v"].bitwiseAND(F.lit(-2))) & (before["n"] == x["n"])
+            side = F.when(first, F.lit(BOTH)).when(second, F.lit(-1)).otherwise(odd.cast("int"))
+            return F.struct(x["v"].bitwiseAND(F.lit(-2)).alias("h"), F.log(x["n"].cast("double")).alias("lw"), side.alias("side"))
+
+        return F.filter(F.transform(runs, row), lambda x: x["side"] >= 0)
+
+    return let(let(F.sort_array(both), _runs), sided)
+
+
+def _key(k: int) -> int:
+    """The k-th of a sequence of signed 64-bit keys."""
+    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _rank(k: int) -> Column:
     """The rank of a term (columns h and lw) in sample k."""
-    u = "((shiftrightunsigned({0}, 32) + 0.5D) / 4294967296D)"
-    v = "(({0} & 4294967295L) + 0.5D) / 4294967296D"
-    g1, g2, g3 = (f"xxhash64(h, {3 * k + j})" for j in range(3))
-    r = f"(-ln({u.format(g1)} * {v.format(g1)}))"
-    ln_c = f"ln(-ln({u.format(g2)} * {v.format(g2)}))"
-    b = u.format(g3)
-    return F.expr(f"{ln_c} - {r} * (floor(lw / {r} + {b}) + 1D - {b})")
+    g1, g2 = (f"xxhash64(h ^ ({_key(2 * k + j)}L))" for j in (0, 1))
+    high, low = "(shiftrightunsigned({0}, 32) + 0.5D)", "(({0} & 4294967295L) + 0.5D)"
+    u1, u2 = (f"({x.format(g1)} * {2.0**-32!r}D)" for x in (high, low))
+    c = f"(-ln({high.format(g2)} * {low.format(g2)} * {2.0**-64!r}D))"
+    level = f"floor((ln({u1}) - lw) / ln({u1} * {u2}))"
+    return F.expr(f"{c} * {u2} * IF(lw = 0D, 1D, exp({level} * ln({u1} * {u2})))")
 
 
-def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """Rows (keys, h, lw) -> (keys, sig array<int>); keys without terms have nulls in place of samples."""
+def least_ranks(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """Rows (keys, h, lw) -> (keys, ranks array<double>): the least rank in each sample; null for keys without terms."""
     least = rows.groupBy(*keys).agg(*[F.min(_rank(k)).alias(f"a{k}") for k in range(samples)])
-    bits = [F.coalesce(F.xxhash64(f"a{k}").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(0)) for k in range(samples)]
-    return least.select(*keys, F.array(*[F.when(F.col(f"a{k}").isNull(), F.lit(0)).otherwise(x) for k, x in enumerate(bits)]).alias("sig"))
+    return least.select(*keys, F.array(*[f"a{k}" for k in range(samples)]).alias("ranks"))
+
+
+def lesser(parts: Column, samples: int = SAMPLES) -> Column:
+    """An array of arrays of ranks -> the least of each sample."""
+    none = F.array_repeat(F.lit(None).cast("double"), samples)
+    return F.aggregate(parts, none, lambda least, x: F.zip_with(least, x, lambda a, b: F.least(a, b)))
+
+
+def signature(ranks: Column) -> Column:
+    """16 bits of each least rank as array<smallint>; a text without terms has zeros."""
+    return F.transform(ranks, lambda a: F.when(a.isNull(), F.lit(0)).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint"))
 
 
 def to_hex(sig: Column) -> Column:
-    return F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    return F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long") + 0x8000), 4, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,52 +123,28 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, th (hash of the text), sig of each distinct (doc_id, text)."""
     terms = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode_outer(weighted_terms(F.col("text"))).alias("x"))
-    return signatures(terms.select("doc_id", "th", "x.*"), ["doc_id", "th"], samples)
+    least = least_ranks(terms.select("doc_id", "th", "x.*"), ["doc_id", "th"], samples)
+    return least.select("doc_id", "th", signature(F.col("ranks")).alias("sig"))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
     """Rows (did, th, n) distinct by (did, th) -> with next_did, next_th and prev_did, prev_th, prev_n in descending, circular order.
 
-    The order is cut into buckets of about BUCKET_ROWS rows: intervals of equal share, each divided evenly. Within a
-    bucket a window finds the neighbours; buckets hand their ends to those beside them.
+    The order is cut into ranges of about BUCKET_ROWS rows by a sample of (did, th), so that ids may cluster or repeat.
+    Within a range a window finds the neighbours; ranges, MAX_BUCKETS at most, hand their ends to those beside them.
     """
-    total = ids.count()
-    if not total:
-        names = [F.lit(None).cast("long").alias(c) for c in ("next_did", "next_th", "prev_did", "prev_th", "prev_n")]
-        return ids.select("did", "th", "n", *names)
-    bounds = sorted({int(x) for x in ids.approxQuantile("did", [k / INTERVALS for k in range(INTERVALS + 1)], 0.002)})
-    parts = max(1, -(-total // (INTERVALS * BUCKET_ROWS)))
-    cuts = F.expr(f"array({', '.join(f'{b}D' for b in bounds)})")
-    x = F.col("did").cast("double")
-
-    def bucket(q: Column) -> Column:
-        lo, hi = F.get(cuts, q), F.coalesce(F.get(cuts, q + 1), F.element_at(cuts, -1) + 1)
-        return F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((x - lo) / F.greatest(hi - lo, F.lit(1.0)) * parts).cast("int")))
-
-    q = F.greatest(F.lit(0), F.size(F.filter(cuts, lambda c: c <= x)) - 1)
-    placed = ids.withColumn("q", q).withColumn("b", let(F.col("q"), bucket)).withColumn("me", F.struct("did", "th", "n"))
-    placed = materialize(placed)
-    order = W.partitionBy("q", "b").orderBy(F.desc("did"), F.desc("th"))
-    inner = placed.withColumn("next", F.lead("me").over(order)).withColumn("prev", F.lag("me").over(order))
-    ends = placed.groupBy("q", "b").agg(F.max("me").alias("top"), F.min("me").alias("bottom"))
-    # Beside each bucket: within its interval by a window, across intervals from a table of at most INTERVALS rows.
-    byq = {r["q"]: r for r in ends.groupBy("q").agg(F.max_by("top", "b").alias("top"), F.min_by("bottom", "b").alias("bottom")).collect()}
-    qs = sorted(byq)
-    rows = [(q, *byq[qs[k - 1]]["top"], *byq[qs[(k + 1) % len(qs)]]["bottom"]) for k, q in enumerate(qs)]
-    across = ids.sparkSession.sql(
-        "SELECT * FROM VALUES "
-        + ", ".join(f"({q}, {_sql(a)}, {_sql(b)}, {c}L, {_sql(d)}, {_sql(e)}, {f}L)" for q, a, b, c, d, e, f in rows)
-        + " AS t(q, ad, at, an, bd, bt, bn)"
-    ).select("q", F.struct(F.col("ad").alias("did"), F.col("at").alias("th"), F.col("an").alias("n")).alias("below"), F.struct(F.col("bd").alias("did"), F.col("bt").alias("th"), F.col("bn").alias("n")).alias("above"))
-    side = W.partitionBy("q").orderBy("b")
-    ends = ends.withColumn("lower", F.lag("top").over(side)).withColumn("upper", F.lead("bottom").over(side))
-    ends = ends.join(F.broadcast(across), "q").select("q", "b", F.coalesce("lower", "below").alias("lower"), F.coalesce("upper", "above").alias("upper"))
-    full = inner.join(ends, ["q", "b"]).withColumn("next", F.coalesce("next", "lower")).withColumn("prev", F.coalesce("prev", "upper"))
-    return full.select("did", "th", "n", F.col("next.did").alias("next_did"), F.col("next.th").alias("next_th"), F.col("prev.did").alias("prev_did"), F.col("prev.th").alias("prev_th"), F.col("prev.n").alias("prev_n"))
-
-
-def _sql(x: int) -> str:
-    return f"{x}L" if x > _LEAST else f"({x + 1}L - 1L)"
+    buckets = min(MAX_BUCKETS, max(1, -(-ids.count() // BUCKET_ROWS)))
+    placed = ids.select(F.struct("did", "th", "n").alias("me")).repartitionByRange(buckets, "me.did", "me.th")
+    placed = materialize(placed.withColumn("b", F.spark_partition_id()))
+    down = W.partitionBy("b").orderBy(F.desc("me.did"), F.desc("me.th"))
+    inner = placed.withColumn("next", F.lead("me").over(down)).withColumn("prev", F.lag("me").over(down))
+    ends = placed.groupBy("b").agg(F.max("me").alias("top"), F.min("me").alias("bottom"))
+    row, whole = W.orderBy("b"), W.orderBy("b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    lower = F.coalesce(F.lag("top").over(row), F.last("top").over(whole))
+    upper = F.coalesce(F.lead("bottom").over(row), F.first("bottom").over(whole))
+    ends = ends.select("b", lower.alias("lower"), upper.alias("upper"))
+    full = inner.join(F.broadcast(ends), "b").withColumn("next", F.coalesce("next", "lower")).withColumn("prev", F.coalesce("prev", "upper"))
+    return full.select("me.*", F.col("next.did").alias("next_did"), F.col("next.th").alias("next_th"), F.col("prev.did").alias("prev_did"), F.col("prev.th").alias("prev_th"), F.col("prev.n").alias("prev_n"))
 
 
 def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -140,13 +163,12 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = keyed.select("did", "th", "text", "n").join(heads, ["did", "th"])
     edited = F.concat(F.expr("left(text, cast(n - floor(n / 2) as int))"), F.col("head"))
     both = both.select("did", "th", "text", edited.alias("edited"))
-    both = both.select("did", "th", F.sha2("edited", 256).alias("sha"), weighted_terms(F.col("text")).alias("t0"), weighted_terms(F.col("edited")).alias("t1"))
-    tagged = F.expr("concat(transform(t0, x -> struct(0 AS which, x.h AS h, x.lw AS lw)), transform(t1, x -> struct(1 AS which, x.h AS h, x.lw AS lw)))")
-    terms = both.select("did", "th", "sha", F.explode_outer(tagged).alias("x")).select("did", "th", "sha", "x.*")
-    sigs = signatures(terms, ["did", "th", "sha", "which"], samples)
-    none = F.array_repeat(F.lit(0), samples)
-    found = sigs.groupBy("did", "th", "sha").agg(*[F.coalesce(F.max(F.when(F.col("which") == j, F.col("sig"))), none).alias(f"s{j}") for j in (0, 1)])
-    found = materialize(found)
+    both = both.select("did", "th", F.sha2("edited", 256).alias("sha"), weighted_terms(F.col("text"), F.col("edited")).alias("terms"))
+    terms = both.select("did", "th", "sha", F.explode_outer("terms").alias("x")).select("did", "th", "sha", "x.*")
+    least = least_ranks(terms, ["did", "th", "sha", "side"], samples)
+    sides = least.groupBy("did", "th", "sha").agg(F.collect_list(F.struct("side", "ranks")).alias("sides"))  # three at most
+    of = lambda side: F.transform(F.filter("sides", lambda x: x["side"].isin(side, BOTH)), lambda x: x["ranks"])
+    found = materialize(sides.select("did", "th", "sha", *[signature(lesser(of(side), samples)).alias(f"s{side}") for side in (TEXT, OTHER)]))
     mine = ids.join(beside.select("did", "th", "next_did", "next_th"), ["did", "th"]).join(found, ["did", "th"])
     after = found.select(F.col("did").alias("next_did"), F.col("th").alias("next_th"), F.col("s0").alias("s2"))
     out = mine.join(after, ["next_did", "next_th"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
