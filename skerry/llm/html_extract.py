@@ -5,13 +5,18 @@ forms, scripts, styles and reader comments are cut from it, by element and by th
 class, id and role. Every paragraph that is left passes points for its length and its commas
 to its parent, half of them to the grandparent, and less further up; a container's points are
 discounted by the share of its text that is in links. The best container is kept, raised to
-the article or main element around it, with the siblings that score well beside it.
+the article or main element around it, with those of its siblings that are text: paragraphs,
+headings, lists, tables and bare text of few links at any length, and other containers that
+score well beside it. A form that wraps the page's text (an article, main element or several
+paragraphs) is no form to cut; its controls are.
 
 Blocks are joined in page order by one line feed; white space in a block becomes one space.
 
 Defined results: null or empty html, or a page without text, gives an empty text; markup that
-is never closed ends with the page; rows with null or repeated ids are extracted like any
-other; an empty table gives an empty result; further columns are ignored.
+is never closed ends with the page; elements nested deeper than MAX_DEPTH are text of the one at
+that depth, so that the time is linear in a page's length; of containers with equal points the
+first stays; rows with null or repeated ids are extracted like any other; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +36,12 @@ BLOCKS = frozenset(
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption summary address".split())
 CUT = frozenset("nav header footer aside form script style noscript iframe button select textarea input dialog menu svg canvas object embed template title head audio video fieldset search noembed noframes".split())
+#: Children of the best container's parent that are text by themselves.
+TEXTUAL = PARAGRAPHS | frozenset("ul ol dl table figure hgroup a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: A share of text in links that is too much for a text beside the article.
+LINKED = 0.25
+FORM_PARAGRAPHS = 3
+MAX_DEPTH = 512
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening element closes: itself, up to the element that bounds it.
 CLOSES = {
@@ -60,10 +71,11 @@ _CLEAR = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "chars", "linked", "depth")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
@@ -138,7 +150,7 @@ def parse(text: str) -> Node:
             node.children.append(text[at:close])
             gt = text.find(">", close)
             at = n if gt < 0 else gt + 1
-        elif name not in VOID and not (attrs.endswith("/") and name in ("svg", "path")):
+        elif node.depth < MAX_DEPTH and name not in VOID and not (attrs.endswith("/") and name in ("svg", "path")):
             here = node
     return root
 
@@ -176,7 +188,7 @@ def _close(here: Node, name: str) -> Node:
 
 def _is_cut(node: Node) -> bool:
     if node.tag in CUT:
-        return not (node.tag == "header" and _within(node, ("article", "main")))
+        return not (node.tag == "header" and _within(node, ("article", "main"))) and not (node.tag == "form" and _wraps_text(node))
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(node.attrs):
@@ -191,6 +203,18 @@ def _is_cut(node: Node) -> bool:
     return False
 
 
+def _wraps_text(form: Node) -> bool:
+    paragraphs, stack = 0, [form]
+    while stack:
+        for child in stack.pop().children:
+            if not isinstance(child, str):
+                if child.tag in ("article", "main"):
+                    return True
+                paragraphs += child.tag == "p"
+                stack.append(child)
+    return paragraphs >= FORM_PARAGRAPHS
+
+
 def _within(node: Node, tags: tuple) -> Node | None:
     """The nearest ancestor with one of the tags."""
     up = node.parent
@@ -207,8 +231,8 @@ def _prune(root: Node) -> None:
         stack.extend(c for c in node.children if not isinstance(c, str))
 
 
-def blocks_of(node: Node) -> list[tuple[Node, str, int]]:
-    """(block element, text, characters of it in links) of the subtree's runs of inline text, in page order."""
+def blocks_of(node: Node, skip: frozenset[int] = frozenset()) -> list[tuple[Node, str, int]]:
+    """(block element, text, characters of it in links) of the subtree's runs of inline text, in page order; ``skip``: ids of elements to leave out."""
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
@@ -234,6 +258,8 @@ def blocks_of(node: Node) -> list[tuple[Node, str, int]]:
         elif isinstance(child, str):
             parts.append(child)
             linked += len(child) if link else 0
+        elif id(child) in skip:
+            flush(owner)
         elif child.tag == "br":
             parts.append(" ")
         elif child.tag == "hr":
@@ -276,20 +302,21 @@ def main_text(page: str | None) -> str:
         while best.parent and best.parent.tag not in ("body", "html", "#root") and value.get(id(best.parent), 0) >= 0.75 * value[id(best)]:
             best = best.parent
         around = best
-    parent, kept = around.parent, []
+    parent = around.parent
     if parent is None or around.tag in ("body", "html"):
-        kept = [around]
-    else:
-        least, passed = 0.2 * value[id(around)], False
-        for x in parent.children:
-            if isinstance(x, str):
-                continue
-            passed |= x is around
-            dense = value.get(id(x), 0)
-            text = x.tag == "p" and any(len(t) >= 80 and not k for _, t, k in blocks_of(x))
-            if x is around or (dense and dense >= least and x.tag in ("article", "section", "div", "main")) or text or (x.tag in HEADINGS and not passed):
-                kept.append(x)
-    return "\n".join(text for x in kept for _, text, _ in blocks_of(x))
+        return "\n".join(text for _, text, _ in blocks_of(around))
+    least, dropped = 0.2 * value[id(around)], set()
+    for x in parent.children:
+        if isinstance(x, str) or x is around:
+            continue
+        if x.tag in TEXTUAL:
+            found = blocks_of(x)
+            good = sum(k for _, _, k in found) <= LINKED * sum(len(t) for _, t, _ in found)
+        else:
+            good = 0 < least <= value.get(id(x), 0)
+        if not good:
+            dropped.add(id(x))
+    return "\n".join(text for _, text, _ in blocks_of(parent, frozenset(dropped)))
 
 
 def _batches(batches):
