@@ -15,11 +15,12 @@ Two entry points:
   grams. Equal windows have equal anchors. Runs of windows with one anchor are segments. An
   aggregation over (anchor, segment hash) finds the least doc_id of each distinct segment: in
   any later document the whole segment is removed. A distinct segment whose anchor also
-  occurs in other segments is kept once, by its first document; the first segments of an
-  anchor are a shard, whose suffix automaton decides their windows (see :func:`_judge_shard`).
-  Hot passages collapse in map-side aggregation; a shard of more than ``max_group`` segments
-  is dealt into parts with an automaton each, and the windows that these leave, each once a
-  part, meet by hash.
+  occurs in other segments is judged once, for one place in its first document; the segments
+  of an anchor are a shard, whose suffix automaton decides their windows (see
+  :func:`_judge_shard`), and the decision is handed to all places of that document. Hot
+  passages and copies collapse in map-side aggregation; a shard of more than ``max_group``
+  segments is dealt into parts with an automaton each, and the windows that these leave, each
+  once a part, meet by hash.
 
 Hashes: segments are compared by anchor and segment hash together, 128 bits that both depend
 on the content; the automata compare 64-bit word hashes.
@@ -49,6 +50,8 @@ SHARD_WORDS = 200_000
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
+#: The inverse of _M1 modulo 2^64.
+_M1_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -89,7 +92,8 @@ def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(h), _M1, np.uint64))))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h) * powers[: len(h)])))
     ends = starts + sizes + window - 1
-    seg = (prefix[ends] - prefix[starts]) * powers[len(h) - starts] + _mix(sizes.astype(np.uint64))
+    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(starts[-1]), _M1_INVERSE, np.uint64))))
+    seg = (prefix[ends] - prefix[starts]) * back[starts] + _mix(sizes.astype(np.uint64))  # as if each began its document
     return low[starts], seg, starts, sizes
 
 
@@ -195,7 +199,7 @@ def _spans(found: list[int], window: int) -> list[list[int]]:
     return out
 
 
-def _judge_shard(rows: list[tuple[int, list[int]]], window: int) -> list[list[int]]:
+def _judge_shard(rows: list[tuple[int, np.ndarray]], window: int) -> list[list[int]]:
     """Distinct segments of one anchor as (first doc_id, word hashes) -> for each, the windows that an earlier document holds.
 
     All windows of these segments share the anchor, so every earlier first occurrence is here.
@@ -205,7 +209,7 @@ def _judge_shard(rows: list[tuple[int, list[int]]], window: int) -> list[list[in
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
     auto, out = SuffixAutomaton(), [[] for _ in rows]
     for i in order:
-        doc, symbols = rows[i]
+        doc, symbols = rows[i][0], rows[i][1].tolist()
         out[i] = [e - window + 1 for e, label in auto.matches(symbols, window) if label < doc]
         auto.start()
         for s in symbols:
@@ -214,28 +218,32 @@ def _judge_shard(rows: list[tuple[int, list[int]]], window: int) -> list[list[in
 
 
 def _segment_words(window: int):
-    """Documents with spans of first segments -> (anchor, part, doc_id, th, start, symbols) for each."""
+    """Documents with spans of first segments -> (anchor, part, seg, doc_id, symbols) for each; copies of a document count once a task."""
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
-            keys: list = [[], [], [], [], []]
+            keys: list = [[], [], [], []]
             symbols: list = []
             for doc, th, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if (doc, th) in seen:
+                    continue
+                seen.add((doc, th))
                 h = word_hashes(split_words(text.as_py())).view(np.int64)
                 for span in spans:
-                    for k, x in zip(keys, (span["anchor"], span["part"], doc, th, span["start"]), strict=True):
+                    for k, x in zip(keys, (span["anchor"], span["part"], span["seg"], doc), strict=True):
                         k.append(x)
                     symbols.append(h[span["start"] : span["start"] + span["n"] + window - 1])
             if symbols:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in symbols]))).astype(np.int32)
-                cols = [pa.array(k, t) for k, t in zip(keys, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(symbols)))], names=["anchor", "part", "doc_id", "th", "start", "symbols"])
+                cols = [pa.array(k, t) for k, t in zip(keys, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(symbols)))], names=["anchor", "part", "seg", "doc_id", "symbols"])
 
     return run
 
 
-def _window_hashes(symbols: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    h = np.asarray(symbols, np.int64).view(np.uint64)
+def _window_hashes(symbols: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    h = symbols.view(np.uint64)
     n = len(h) - window + 1
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(window):
@@ -245,40 +253,46 @@ def _window_hashes(symbols: list[int], window: int) -> tuple[np.ndarray, np.ndar
 
 
 def _shard_batches(window: int):
-    """Rows of _segment_words() sorted by anchor and part -> (doc_id, th, s, e, h1, h2).
+    """Rows of _segment_words() sorted by anchor, part and segment -> (anchor, seg, doc_id, s, e, h1, h2), places counted from the segment's start.
 
     Spans that an earlier document of the shard holds have no hashes. Where an anchor's segments were dealt into parts,
     each other window is returned with its hashes: an earlier document of another part may hold it.
     """
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
-    def judged(group: list, cut: bool) -> list[tuple]:
-        out = []
+    def judged(key: tuple, group: list) -> list[tuple]:
+        out, cut = [], key is not None and key[1] >= 0
         if len(group) > 1 or cut:
-            for (doc, th, start, symbols), found in zip(group, _judge_shard([(g[0], g[3]) for g in group], window), strict=True):
-                out += [(doc, th, start + s, start + e, None, None) for s, e in _spans(found, window)]
+            for (seg, doc, symbols), found in zip(group, _judge_shard([(g[1], g[2]) for g in group], window), strict=True):
+                out += [(key[0], seg, doc, s, e, None, None) for s, e in _spans(found, window)]
                 if cut:
                     gone = set(found)
                     h1, h2 = (x.tolist() for x in _window_hashes(symbols, window))
-                    out += [(doc, th, start + k, start + k + window, h1[k], h2[k]) for k in range(len(h1)) if k not in gone]
+                    out += [(key[0], seg, doc, k, k + window, h1[k], h2[k]) for k in range(len(h1)) if k not in gone]
         return out
 
     def batch_of(rows: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "th", "s", "e", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "seg", "doc_id", "s", "e", "h1", "h2"])
 
     def run(batches):
         group: list = []
         key = None
         for batch in batches:
             rows: list = []
-            for anchor, part, doc, th, start, symbols in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            lists = batch.column(4)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k, (anchor, part, seg, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if (anchor, part) != key:
-                    rows += judged(group, key is not None and key[1] >= 0)
+                    rows += judged(key, group)
                     key, group = (anchor, part), []
-                group.append((doc, th, start, symbols))
+                if not group or group[-1][0] != seg:
+                    group.append((seg, doc, values[offsets[k] : offsets[k + 1]].copy()))
+                if len(rows) > 100_000:
+                    yield batch_of(rows)
+                    rows = []
             if rows:
                 yield batch_of(rows)
-        if rows := judged(group, key is not None and key[1] >= 0):
+        if rows := judged(key, group):
             yield batch_of(rows)
 
     return run
@@ -307,17 +321,19 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, m
     first = got.where("doc_id = lo")
 
     # The segments of one anchor are one shard; those of a hot one are dealt into parts of about max_group each.
-    part = F.when(F.col("nseg") > max_group, F.pmod(F.xxhash64("doc_id", "th", "start"), F.ceil(F.col("nseg") / max_group)).cast("int")).otherwise(F.lit(-1))
-    side = first.withColumn("part", part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "part", "start", "n")).alias("todo"))
-    shards = _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo").mapInArrow(_segment_words(window), "anchor long, part int, doc_id long, th long, start int, symbols array<long>")
-    shards = shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id")
-    found = materialize(shards.mapInArrow(_shard_batches(window), "doc_id long, th long, s int, e int, h1 long, h2 long"))
-    spans = found.where("h1 IS NULL").select("doc_id", "th", "s", "e")
+    part = F.when(F.col("nseg") > max_group, F.pmod(F.xxhash64("seg"), F.ceil(F.col("nseg") / max_group)).cast("int")).otherwise(F.lit(-1))
+    once = first.dropDuplicates(["anchor", "seg"]).withColumn("part", part)
+    side = once.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "part", "seg", "start", "n")).alias("todo"))
+    shards = _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo").mapInArrow(_segment_words(window), "anchor long, part int, seg long, doc_id long, symbols array<long>")
+    shards = shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "seg")
+    found = materialize(shards.mapInArrow(_shard_batches(window), "anchor long, seg long, doc_id long, s int, e int, h1 long, h2 long"))
     # Between parts: what each has left once meets by hash.
     left = found.where("h1 IS NOT NULL")
     least = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
-    more = left.join(least, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", "s", "e")
-    return later.unionByName(spans).unionByName(more).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    more = left.join(least, ["h1", "h2"]).where("doc_id > lo")
+    spans = found.where("h1 IS NULL").select("anchor", "seg", "s", "e").unionByName(more.select("anchor", "seg", "s", "e"))
+    spans = first.select("anchor", "seg", "doc_id", "th", "start").join(spans, ["anchor", "seg"]).select("doc_id", "th", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    return later.unionByName(spans).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 _CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
