@@ -4,14 +4,17 @@ A document's 64-bit fingerprint has a bit where over half of its word-shingle ha
 Fingerprints that differ in at most MAX_DIFF bits are linked; documents linked directly or
 through others form a component, named by its least doc_id.
 
-Exact search: the 64 bits are cut into BLOCKS blocks, and two fingerprints within MAX_DIFF
-bits agree on at least BLOCKS - MAX_DIFF blocks, so they meet under one of the masks that keep
-that many blocks. Distinct fingerprints are dealt by (mask, masked bits). Within such a bucket
-they are sorted by Gray rank, and contiguous ranges become the nodes of a tree; a node holds
-the bit pattern that its members share. Two nodes are compared by the bits that are fixed in
-both: if those differ in more than MAX_DIFF places, all their pairs are pruned at once. A bucket
-emits a spanning forest of its links, never all pairs. A bucket over MAX_BUCKET fingerprints is
-cut by hash into parts, and each pair of parts is searched in a task of its own.
+Exact search: the 64 bits are cut into blocks, and two fingerprints within MAX_DIFF bits agree
+on all but MAX_DIFF blocks, so they meet under one of the masks that keep that many. Distinct
+fingerprints are dealt by (mask, masked bits), with the fewest masks, and the fewest of their
+bits, that leave runs of about RUN fingerprints (see :func:`masks`). Within such a run they are
+sorted by Gray rank. LEAF neighbours are a leaf, two nodes are one upper node; a node holds the
+mask of the bits that its members share and their pattern, and a child adds to its parent's only
+the bits that it shares further. Pairs of nodes go down the tree level by level and carry the
+differences found so far: only what the children's further bits add is counted, and over
+MAX_DIFF all pairs below are pruned at once. A run emits a spanning forest of its links, never
+all pairs. A run over MAX_BUCKET fingerprints is cut by hash into parts, and each pair of parts
+is searched in a task of its own.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other;
 rows that repeat a doc_id share a component if their fingerprints are linked; a null doc_id
@@ -35,9 +38,11 @@ from .components import components
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_DIFF = 4
-BLOCKS = 6
-MAX_BUCKET = 20_000
-LEAF = 128
+#: Fingerprints aimed at in a run, and in one part of a run at most.
+RUN, MAX_BUCKET = 2_048, 4_096
+LEAF = 8
+#: Pairs of leaves that are compared at once.
+_AT_ONCE = 1 << 14
 _CHUNK = 1 << 15
 
 
@@ -79,12 +84,25 @@ def to_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def masks(max_diff: int = MAX_DIFF, blocks: int = BLOCKS) -> list[int]:
-    """The masks that keep ``blocks - max_diff`` of ``blocks`` blocks of the 64 bits, as signed longs."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    found = [sum(c) for c in combinations(parts, blocks - max_diff)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
+def masks(n: int, max_diff: int = MAX_DIFF, run: int = RUN) -> list[int]:
+    """Masks, as signed longs, of which any two codes within ``max_diff`` bits agree on one.
+
+    One more block than ``max_diff`` is kept, two more, and so on, until ``n`` codes spread evenly leave runs of
+    4 * ``run`` at most; of the bits of these blocks as many are used as leave runs of ``run``.
+    """
+    for kept in range(1, 64 - max_diff):
+        blocks = max_diff + kept
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        least = sum(sorted(b - a for a, b in zip(edges, edges[1:], strict=False))[:kept])
+        if n >> least <= 4 * run:
+            break
+    bits = min(least, max(0, (n - 1) // run).bit_length())
+    found = []
+    for chosen in combinations(range(blocks), kept):
+        places = sorted((p for c in chosen for p in range(edges[c], edges[c + 1])), key=lambda p: p % 3)[:bits]
+        mask = sum(1 << p for p in places)
+        found.append(mask - (1 << 64) if mask >> 63 else mask)
+    return list(dict.fromkeys(found))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -112,43 +130,67 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
+class GrayTree:
+    """Codes in Gray order under a hierarchy of shared bit patterns.
+
+    ``levels[0]`` are the leaves; each level holds, by node, the mask of the bits that all members share, their pattern
+    under it, and for all but the top what the mask has beyond the parent's.
+    """
+
+    def __init__(self, codes: np.ndarray, leaf: int = LEAF):
+        self.codes, self.leaf = codes[np.argsort(gray_rank(codes), kind="stable")], leaf
+        at = np.arange(0, len(codes), leaf)
+        on, any_on = np.bitwise_and.reduceat(self.codes, at), np.bitwise_or.reduceat(self.codes, at)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            mask = ~(on ^ any_on)
+            self.levels.append((mask, on & mask))
+            if len(on) == 1:
+                break
+            at = np.arange(0, len(on), 2)
+            on, any_on = np.bitwise_and.reduceat(on, at), np.bitwise_or.reduceat(any_on, at)
+        #: Pairs of nodes looked at, and pruned with all the pairs below them.
+        self.seen = self.pruned = 0
+
+    def leaf_pairs(self, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves that may hold codes within ``max_diff`` bits."""
+        i = j = apart = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 2, -1, -1):
+            (up_mask, _), (mask, pattern) = self.levels[level + 1], self.levels[level]
+            known = up_mask[i] & up_mask[j]
+            i, j, apart, known = (np.repeat(x, 4) for x in (i, j, apart, known))
+            i, j = 2 * i + np.tile([0, 0, 1, 1], len(i) // 4), 2 * j + np.tile([0, 1, 0, 1], len(j) // 4)
+            there = (i <= j) & (j < len(mask))
+            i, j, apart, known = i[there], j[there], apart[there], known[there]
+            further = mask[i] & mask[j] & ~known
+            apart = apart + np.bitwise_count((pattern[i] ^ pattern[j]) & further)
+            near = apart <= max_diff
+            self.seen += len(near)
+            self.pruned += len(near) - int(near.sum())
+            i, j, apart = i[near], j[near], apart[near]
+        return i, j
+
+    def close_pairs(self, max_diff: int):
+        """Places (x, y), x < y, of all codes within ``max_diff`` bits, in arrays."""
+        n, leaf = len(self.codes), self.leaf
+        padded = np.concatenate((self.codes, np.zeros(-n % leaf, np.uint64))).reshape(-1, leaf)
+        first, second = self.leaf_pairs(max_diff)
+        for at in range(0, len(first), _AT_ONCE):
+            i, j = first[at : at + _AT_ONCE], second[at : at + _AT_ONCE]
+            pair, a, b = np.nonzero(np.bitwise_count(padded[i][:, :, None] ^ padded[j][:, None, :]) <= max_diff)
+            x, y = i[pair] * leaf + a, j[pair] * leaf + b
+            good = (x < y) & (y < n)
+            yield x[good], y[good]
+
+
 def link_bucket(codes: np.ndarray, max_diff: int = MAX_DIFF) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes of one bucket -> links (member, root) of a spanning forest of all pairs within ``max_diff`` bits."""
-    codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-    n = len(codes)
+    """Distinct codes of one run -> links (member, root) of a spanning forest of all pairs within ``max_diff`` bits."""
+    tree = GrayTree(codes)
+    codes, n = tree.codes, len(codes)
     forest = _Forest(n)
-
-    def compare(a: slice, b: slice) -> None:
-        near = np.bitwise_count(codes[a, None] ^ codes[None, b]) <= max_diff
-        rows, cols = np.nonzero(near)
-        for x, y in zip((rows + a.start).tolist(), (cols + b.start).tolist(), strict=True):
-            if x < y:
-                forest.join(x, y)
-
-    if n <= 2 * LEAF:
-        compare(slice(0, n), slice(0, n))
-    else:
-        # Levels of nodes over contiguous ranges: the bits all members have, and the bits any member has.
-        cuts = list(range(0, n, LEAF))
-        levels = [(np.bitwise_and.reduceat(codes, cuts), np.bitwise_or.reduceat(codes, cuts))]
-        while len(levels[-1][0]) > 1:
-            low, high = levels[-1]
-            at = list(range(0, len(low), 2))
-            levels.append((np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)))
-        stack = [(len(levels) - 1, 0, 0)]
-        while stack:
-            level, i, j = stack.pop()
-            low, high = levels[level]
-            # Bits on in all of one node and off in all of the other differ for every pair.
-            apart = int(low[i] & ~high[j]).bit_count() + int(low[j] & ~high[i]).bit_count()
-            if apart > max_diff:
-                continue
-            if level == 0:
-                compare(slice(i * LEAF, min(n, (i + 1) * LEAF)), slice(j * LEAF, min(n, (j + 1) * LEAF)))
-                continue
-            size = len(levels[level - 1][0])
-            left, right = [x for x in (2 * i, 2 * i + 1) if x < size], [x for x in (2 * j, 2 * j + 1) if x < size]
-            stack.extend((level - 1, x, y) for x in left for y in right if x <= y)
+    for rows, cols in tree.close_pairs(max_diff):
+        for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
+            forest.join(x, y)
     roots = np.fromiter(map(forest.find, range(n)), np.int64, n)
     members = np.nonzero(roots != np.arange(n))[0]
     return codes[members], codes[roots[members]]
@@ -194,9 +236,9 @@ def _link_batches(max_diff: int):
     return run
 
 
-def links(fps: DataFrame, max_diff: int = MAX_DIFF, blocks: int = BLOCKS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def links(fps: DataFrame, max_diff: int = MAX_DIFF, run: int = RUN, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what pairs within ``max_diff`` bits connect."""
-    each = F.posexplode(F.array(*[F.lit(m) for m in masks(max_diff, blocks)]))
+    each = F.posexplode(F.array(*[F.lit(m) for m in masks(fps.count(), max_diff, run)]))
     dealt = fps.select("fp", each.alias("m", "mask")).select("m", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     sizes = dealt.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / max_bucket).cast("int")
