@@ -8,11 +8,14 @@ the merge list, is the length of its longest product. So a token that the chains
 these positions share can't change any more: it is emitted and forgotten. State is the
 positions since the last shared token.
 
-Chunks of text first pass a splitter into pretokens, which holds back only what more input
-could still join or cut; the ids of short pretokens are kept in a cache of bounded size.
+Documents are fed in chunks of CHUNK characters. Chunks first pass a splitter into pretokens,
+which holds back only what more input could still join or cut. A pretoken within the lookahead
+has no stable token before its end, so it is encoded at its end, over the same positions in one
+array, and its ids are kept in a cache of bounded size; a longer one is pushed through position
+by position. Beside the ids of the row that is returned, memory doesn't grow with a text.
 
-Decoding maps ids to bytes and bytes to text with an incremental UTF-8 state machine that
-replaces what is no UTF-8.
+Decoding maps ids to bytes and bytes to text, CHUNK ids at a time, with an incremental UTF-8
+state machine that replaces what is no UTF-8.
 
 Defined results: a null text counts as empty and has no ids; special tokens in a text become
 their ids, as the library does by default; rows with null or repeated ids are encoded like
@@ -39,6 +42,8 @@ CACHED_CHARS = 48
 PAIRS = 1_000_000
 #: A pretoken longer than this is passed on in parts.
 HOLD = 1024
+#: Characters of a text, and ids, that are taken at once.
+CHUNK = 1 << 16
 
 #: The pretokens of the byte-level vocabularies, and the contractions split off.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -216,8 +221,12 @@ class Transducer:
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes() if _LITTLE else np.asarray(ids, "<i4").tobytes()
+
+
 class Encoder:
-    """Text in, ids out, as little-endian bytes; feed() and finish() take a text in chunks, encode() at once."""
+    """Text in, ids out, as little-endian bytes; feed() and finish() take a text in chunks, encode() a short one at once."""
 
     def __init__(self, path: str):
         import regex
@@ -230,9 +239,10 @@ class Encoder:
         self._library = None
         self._classes = [regex.compile(c) for c in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
         self._spaces = self._classes[-1]
-        self._gap = regex.compile(r"(?<=\S)(?=\s)")
+        self._last_gap = regex.compile(r"(?r)(?<=\S)(?=\s)")
         self._run, self._held = None, ""
         self._keep = max(map(len, self.v.special), default=1)
+        self._begun = {t[:k] for t in self.v.special for k in range(1, len(t))}
 
     def pretokens(self, text: str) -> list[str]:
         if not _NEWER.search(text):
@@ -250,7 +260,7 @@ class Encoder:
         else:
             ids = self.transducer.push(data)
             ids += self.transducer.finish()
-        return array("i", ids).tobytes() if _LITTLE else np.asarray(ids, "<i4").tobytes()
+        return _packed(ids)
 
     def _plain(self, text: str) -> bytes:
         parts, cache = self.pretokens(text), self.cache
@@ -281,7 +291,10 @@ class Encoder:
 
     def feed(self, chunk: str) -> bytes:
         """Ids that no further chunk can change. What is held back is short, however long the text or a pretoken is."""
-        text, out = self._held + chunk, []
+        text, out = self._held + chunk if self._held else chunk, []
+        # What may be the beginning of a special token waits.
+        waits = next((k for k in range(min(self._keep - 1, len(text)), 0, -1) if text[-k:] in self._begun), 0)
+        text, rest = text[: len(text) - waits], text[len(text) - waits :]
         while True:
             special = self.special.search(text)
             limit = special.start() if special else len(text)
@@ -293,53 +306,61 @@ class Encoder:
                     stop = max(0, end - self._keep)
                 elif self._run is self._spaces and end < limit:
                     stop = end - 1  # the last space belongs to what follows
-                out += self.transducer.push(text[:stop].encode("utf-8", "surrogatepass"))
+                out.append(self._pushed(text[:stop]))
                 text = text[stop:]
                 if goes_on:
-                    self._held = text
-                    return np.asarray(out, "<i4").tobytes()
-                out += self.transducer.finish()
+                    self._held = text + rest
+                    return b"".join(out)
+                out.append(_packed(self.transducer.finish()))
                 self._run = None
                 continue
             if not special:
                 break
-            out += self._ids(text[:limit]) + [self.v.special[special[0]]]
+            out += [self._plain(text[:limit]), _packed([self.v.special[special[0]]])]
             text = text[special.end() :]
         # No pretoken spans the place between something visible and a space after it.
-        cut = max((m.start() for m in self._gap.finditer(text)), default=0)
-        out += self._ids(text[:cut])
-        text = text[cut:]
+        m = self._last_gap.search(text)
+        cut = m.start() if m else 0
+        if cut:
+            out.append(self._plain(text[:cut]))
+            text = text[cut:]
         if len(text) > HOLD:
             parts = self.pretokens(text)
             if len(parts[-1]) > HOLD // 2:
                 tail = parts.pop()
-                out += self._ids("".join(parts)) if parts else []
+                out.append(self._plain("".join(parts)))
                 self._run = next(c for c in self._classes if c.match(tail[-1]))
                 stop = len(tail) - self._keep
-                out += self.transducer.push(tail[:stop].encode("utf-8", "surrogatepass"))
+                out.append(self._pushed(tail[:stop]))
                 text = tail[stop:]
             else:
                 back = 0
                 while parts and back < self._keep:
                     back += len(parts.pop())
                 back += len(parts.pop()) if parts else 0
-                out += self._ids("".join(parts)) if parts else []
+                out.append(self._plain("".join(parts)))
                 text = text[len(text) - back :]
-        self._held = text
-        return np.asarray(out, "<i4").tobytes()
+        self._held = text + rest
+        return b"".join(out)
 
-    def _ids(self, text: str) -> list[int]:
-        return np.frombuffer(self._plain(text), "<i4").tolist()
+    def _pushed(self, text: str) -> bytes:
+        return _packed(self.transducer.push(text.encode("utf-8", "surrogatepass")))
 
     def finish(self) -> bytes:
         rest, self._held = self._held, ""
         if self._run:
-            end = self._run.match(rest).end() if self._run.match(rest) else 0
-            ids = self.transducer.push(rest[:end].encode("utf-8", "surrogatepass")) + self.transducer.finish()
+            end = m.end() if (m := self._run.match(rest)) else 0
+            if self._run is self._spaces and end < len(rest):
+                end = max(0, end - 1)  # the last space belongs to what follows
+            ids = self._pushed(rest[:end]) + _packed(self.transducer.finish())
             self._run = None
-            return np.asarray(ids, "<i4").tobytes() + self.encode(rest[end:])
+            return ids + self.encode(rest[end:])
         return self.encode(rest)
 
+    def stream(self, text: str, chunk: int = CHUNK) -> bytes:
+        """The ids of a whole text, fed in chunks."""
+        return b"".join([*[self.feed(text[at : at + chunk]) for at in range(0, len(text), chunk)], self.finish()])
+
 
 class Decoder:
     """Ids in, text out: a table from ids to bytes, then an incremental UTF-8 state machine."""
@@ -356,8 +377,8 @@ class Decoder:
         self.machine.reset()
         return text
 
-    def decode(self, ids) -> str:
-        return self.feed(ids) + self.finish()
+    def decode(self, ids: np.ndarray) -> str:
+        return "".join([*[self.feed(ids[at : at + CHUNK].tolist()) for at in range(0, len(ids), CHUNK)], self.finish()])
 
 
 _WORKER: dict[str, Encoder] = {}
@@ -378,10 +399,10 @@ def _encode_batches(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [np.frombuffer(encoder.encode(t.as_py() or ""), "<i4") for t in part.column(1)]
+                got = [np.frombuffer(encoder.stream(t.as_py() or ""), "<i4") for t in part.column(1)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))
-                text = pa.array([decoder.decode(x.tolist()) for x in got], pa.string())
+                text = pa.array([decoder.decode(x) for x in got], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, text], names=["doc_id", "ids", "decoded"])
 
     return run
