@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by a linear grouping scheme.
 
-A document's ids, then END, are cut into pieces of at most CAPACITY ids (full pieces are
-sequences of their own). The rest is packed:
+A document's ids, then END, are cut into pieces of at most CAPACITY ids. Full pieces are sequences
+of their own and take no further part. The rest is packed:
 
 1. Lengths above SMALL are large. Sorted by length, they are cut into GROUPS groups of equal
-   cardinality; each length counts as the largest of its group, so few sizes remain.
+   cardinality; each length counts as the largest of its group, so few sizes remain (groups of
+   one size are one).
 2. Configurations (how many of each size a sequence holds) are chosen by a bounded knapsack
    over the sizes still left: the fullest configuration, used as often as counts allow.
 3. Actual documents are substituted: the r-th document of a group takes its r-th place.
@@ -15,7 +16,8 @@ sequences of their own). The rest is packed:
 
 Only histograms reach the driver: at most CAPACITY lengths, groups and free sizes, whatever
 the number of documents. Documents find their place by rank within a length, and ranks come
-from counts by (bucket, length), so a common length is never sorted in one task.
+from counts by (length, bucket); a length has a bucket for each BUCKET_ROWS of its pieces, and
+pieces are dealt by row, so neither a common length nor equal rows meet in one task.
 
 Defined results: a null or empty text is the single id END; rows that repeat a doc_id are
 packed like any other row (their pieces share doc_id and piece); a null doc_id is packed too;
@@ -39,10 +41,10 @@ from .common import materialize
 CAPACITY = 2048
 END = 0
 #: Lengths over this are large.
-SMALL = 256
-GROUPS = 48
-#: Hash buckets within which ranks are counted.
-BUCKETS = 64
+SMALL = 512
+GROUPS = 1024
+#: Pieces of one length aimed at in each bucket within which ranks are counted.
+BUCKET_ROWS = 20_000
 #: Words, and runs of letters, whose ids a task keeps; words have at most CACHED_CHARS characters.
 CACHE, STEMS = 200_000, 300_000
 CACHED_CHARS = 64
@@ -161,7 +163,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def group_sizes(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[int, int]]:
-    """Linear grouping: counts by length -> (size, count) of groups of equal cardinality, largest first; size is the longest of a group."""
+    """Linear grouping: counts by length -> (size, count) of groups of equal cardinality, largest first; size is the longest of a group.
+    Groups of one size are given as one."""
     total, out, seen = sum(counts.values()), [], 0
     if not total:
         return []
@@ -176,7 +179,13 @@ def group_sizes(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[int,
             out[-1][1] += take
             seen += take
             left -= take
-    return [(size, n) for size, n in out]
+    merged: list[list[int]] = []
+    for size, n in out:
+        if merged and merged[-1][0] == size:
+            merged[-1][1] += n
+        else:
+            merged.append([size, n])
+    return [(size, n) for size, n in merged]
 
 
 def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
@@ -251,12 +260,16 @@ def best_fit(free: dict[int, int], counts: dict[int, int], capacity: int = CAPAC
     return done
 
 
-def _ranked(rows: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
-    """Add ``rank`` (from 0) within ``key``: counts by (bucket, key) give each bucket its first rank."""
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = rows.groupBy(key, "_b").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_at", F.sum("_n").over(W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).select(key, "_b", F.coalesce("_at", F.lit(0)).alias("_at"))
-    own = rows.withColumn("_r", F.row_number().over(W.partitionBy(key, "_b").orderBy(*order)) - 1)
+def _ranked(rows: DataFrame, key: str, row: str, counts: dict[int, int]) -> DataFrame:
+    """Add ``rank`` (from 0) within ``key``, by the distinct numbers ``row``: counts by (key, bucket) give each bucket its first rank."""
+    many = [(x, -(-n // BUCKET_ROWS)) for x, n in counts.items() if n > BUCKET_ROWS]
+    rows = rows.withColumn("_b", F.lit(0).cast("long"))
+    if many:
+        buckets = F.broadcast(_plan_frame(rows.sparkSession, many, "_key long, _of long"))
+        rows = rows.join(buckets, rows[key] == F.col("_key"), "left").withColumn("_b", F.pmod(F.xxhash64(row), F.coalesce("_of", F.lit(1)))).drop("_key", "_of")
+    sizes = rows.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_at", F.sum("_n").over(W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).select(key, "_b", F.coalesce("_at", F.lit(0)).alias("_at"))
+    own = rows.withColumn("_r", F.row_number().over(W.partitionBy(key, "_b").orderBy(row)) - 1)
     return own.join(before, [key, "_b"]).withColumn("rank", F.col("_at") + F.col("_r")).drop("_b", "_at", "_r")
 
 
@@ -270,12 +283,13 @@ def _place(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(plan), hit).withColumn("seq", F.col("base") + ((F.col("rank") - F.col("lo")) / F.col("per")).cast("long")).withColumn("slot", F.col("slot") + (F.col("rank") - F.col("lo")) % F.col("per"))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, buckets: int = BUCKETS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = cut.sparkSession
-    cut = materialize(cut)
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    whole = materialize(cut.withColumn("row", F.monotonically_increasing_id()))
+    order = ["doc_id", "piece", "start", "ids_crc32", "row"]
+    full, cut = whole.where(F.col("length") == capacity), whole.where(F.col("length") < capacity)
+    hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than ``capacity`` rows
     large = group_sizes({x: n for x, n in hist.items() if x > small}, groups)
     plan, base = [], 0
     used = [0] * len(large)
@@ -301,16 +315,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: i
                 filled += take
             if filled == n:
                 break
-    ranked = materialize(_ranked(cut, "length", order, buckets))
+    ranked = materialize(_ranked(cut, "length", "row", hist))
     schema = "p_key long, lo long, hi long, base long, per long, slot long"
     grouped = _plan_frame(spark, bounds, "g_len long, g_lo long, g_hi long, g long, g_at long")
     inside = (ranked["length"] == F.col("g_len")) & (ranked["rank"] >= F.col("g_lo")) & (ranked["rank"] < F.col("g_hi"))
     big = ranked.join(F.broadcast(grouped), inside).withColumn("rank", F.col("g_at") + F.col("rank") - F.col("g_lo")).drop("g_len", "g_lo", "g_hi", "g_at")
     big = materialize(_place(big, _plan_frame(spark, plan, schema), "g").select(*order, "length", "seq", "slot"))
     # Room left in each sequence; its histogram plans the small lengths.
-    free = big.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("room")).where("room > 0")
-    free = materialize(_ranked(free, "room", ["seq"], buckets).select("room", "seq", "rank"))
+    free = materialize(big.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("room")).where("room > 0"))
     rooms = {r["room"]: r["n"] for r in free.groupBy("room").agg(F.count("*").alias("n")).collect()}
+    free = materialize(_ranked(free, "room", "seq", rooms).select("room", "seq", "rank"))
     low = min((x for x in hist if x <= small), default=capacity + 1)
     filled = best_fit({r: n for r, n in rooms.items() if r >= low}, {x: n for x, n in hist.items() if x <= small}, capacity)
     fill, homes = [], []
@@ -336,8 +350,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: i
     tiny = tiny.join(spots, ["h_room", "f_rank"], "left")
     tiny = tiny.withColumn("seq", F.when(F.col("h_room") < 0, F.col("h_base") + F.col("seq")).otherwise(F.col("f_seq"))).withColumn("slot", F.col("slot") + capacity)
     both = big.select(*order, "length", "seq", "slot").unionByName(tiny.select(*order, "length", "seq", "slot"))
-    run = W.partitionBy("seq").orderBy("slot", *order).rowsBetween(W.unboundedPreceding, -1)
-    return both.withColumn("offset", F.coalesce(F.sum("length").over(run), F.lit(0))).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
+    run = W.partitionBy("seq").orderBy("slot", "row").rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("offset", F.coalesce(F.sum("length").over(run), F.lit(0)))
+    both = both.unionByName(full.withColumn("seq", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")), allowMissingColumns=True)
+    return both.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
