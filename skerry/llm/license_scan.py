@@ -12,12 +12,15 @@ which that is at least PROBABILITY at s = THRESHOLD / (2 - THRESHOLD), the simil
 of one length that share THRESHOLD (0.8) of their shingles. A document that holds a template in
 one piece also has a window equal to the template's, which is always retrieved.
 
-The templates are a parameter of bounded size (checked), so they are broadcast. Documents are
-streamed; nothing is gathered by key.
-
-Defined results: a null or short text matches nothing and gives no row; a template of fewer
-than SHINGLE words is its whole word sequence; rows with null or repeated ids are scanned like
-any other; an empty table gives an empty result; further columns are ignored.
+The templates are a parameter of bounded size (checked), so they are broadcast; a worker keeps
+its index between tasks. Documents are streamed; nothing is gathered by key. The shingles of
+many documents are hashed in one array; windows that cross from one into the next only add
+candidates, which the exact containment judges.
+
+Defined results: a null or wordless text matches nothing and gives no row; of templates of one
+license that a text holds, the largest share is given; a template of fewer than SHINGLE words is
+its whole word sequence; a very long text is scanned whole; rows with null or repeated ids are
+scanned like any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 SHINGLE = 5
 THRESHOLD = 0.8
 PROBABILITY = 0.999
@@ -40,20 +45,8 @@ MAX_TEMPLATE_WORDS = 2_000_000
 #: Word hashes that a worker keeps.
 CACHE = 400_000
 
-#: Short public license notices, as they stand in texts.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+#: Characters of texts whose windows are hashed together.
+CHUNK_CHARS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -98,6 +91,11 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _joined(key, low):
+    """The key of a band's minima so far, and one more."""
+    return low * np.uint64(0xC2B2AE3D27D4EB4F) if key is None else (key + low) * np.uint64(0x9E3779B97F4A7C15)
+
+
 class Index:
     """Band tables of the templates' windows, by number of shingles in a window."""
 
@@ -116,8 +114,8 @@ class Index:
             span = 1 << (min(len(h), window - shingle + 1).bit_length() - 1)
             table = self.tables.setdefault(span, [defaultdict(set) for _ in range(self.bands)])
             for at in sorted({*range(0, len(h) - span + 1, max(1, span // 2)), len(h) - span}):
-                for b, keys in enumerate(self._keys(h[at : at + span], [span])):
-                    table[b][int(keys[span][0])].add(t)
+                for b in range(self.bands):
+                    table[b][self._window_key(h[at : at + span], b)].add(t)
         self.spans = sorted(self.tables)
         #: Which top bits of a key any listed key has.
         self.marks = {}
@@ -126,43 +124,73 @@ class Index:
                 mark = self.marks[span, b] = np.zeros(1 << 16, bool)
                 mark[np.fromiter(keys, np.uint64, len(keys)) >> np.uint64(48)] = True
 
-    def _keys(self, h: np.ndarray, spans: list[int]):
-        """For each band, the keys of every window of each number of shingles; a text shorter than that is one window."""
+    def _window_key(self, h: np.ndarray, band: int) -> int:
+        """The key of one window's shingles in a band."""
+        key = None
+        for seed in self.seeds[band * self.rows : (band + 1) * self.rows]:
+            key = _joined(key, _mixed(h, seed).min(keepdims=True))
+        return int(key[0])
+
+    def candidates(self, h: np.ndarray, starts: np.ndarray) -> list[set[int]]:
+        """For each text, whose shingles begin at ``starts`` in ``h``, the templates of which a window shares a band."""
+        found: list[set[int]] = [set() for _ in starts]
+        sizes = np.diff(np.concatenate((starts, [len(h)])))
         for b in range(self.bands):
-            keys = {}
+            keys, least = {}, {}
             for seed in self.seeds[b * self.rows : (b + 1) * self.rows]:
                 low, have = _mixed(h, seed), 1
-                for span in spans:
+                whole = np.minimum.reduceat(low, starts)
+                for span in self.spans:
                     while have < span and len(low) > 1:
                         step = min(have, len(low) - 1)
                         low, have = np.minimum(low[: len(low) - step], low[step:]), have + step
-                    keys[span] = (keys[span] + low) * np.uint64(0x9E3779B97F4A7C15) if span in keys else low * np.uint64(0xC2B2AE3D27D4EB4F)
-            yield keys
-
-    def candidates(self, h: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        for b, keys in enumerate(self._keys(h, self.spans)):
+                    keys[span] = _joined(keys.get(span), low)
+                    least[span] = _joined(least.get(span), whole)
             for span in self.spans:
-                here = keys[span]
-                table = self.tables[span][b]
-                for k in here[self.marks[span, b][here >> np.uint64(48)]].tolist():
-                    found |= table.get(k, set())
+                table, mark = self.tables[span][b], self.marks[span, b]
+                at = np.nonzero(mark[keys[span] >> np.uint64(48)])[0]
+                for k, doc in zip(keys[span][at].tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True):
+                    found[doc] |= table.get(k, _NONE)
+                # A text with fewer shingles is one window.
+                for doc in np.nonzero(mark[least[span] >> np.uint64(48)] & (sizes < span))[0].tolist():
+                    found[doc] |= table.get(int(least[span][doc]), _NONE)
         return found
 
+    def scan_texts(self, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[str, float]]]:
+        """For each text (license, share of the template's shingles that it holds), the best of each license."""
+        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+        rows, hashes = [], []
+        for row, text in enumerate(texts):
+            if words := license_words(text):
+                rows.append(row)
+                hashes.append(_hashes(words, self.shingle))
+        if not rows or not self.spans:
+            return out
+        starts = np.cumsum([0, *map(len, hashes[:-1])])
+        for row, h, found in zip(rows, hashes, self.candidates(np.concatenate(hashes), starts), strict=True):
+            own = set(h.tolist()) if found else set()
+            best: dict[str, float] = {}
+            for t in found:
+                share = len(self.shingles[t] & own) / len(self.shingles[t])
+                if share >= threshold:
+                    best[self.names[t]] = max(best.get(self.names[t], 0.0), share)
+            out[row] = sorted(best.items())
+        return out
+
     def scan(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, float]]:
-        """(license, share of the template's shingles that the text holds), the best of each license."""
-        words = license_words(text)
-        if not words:
-            return []
-        h = _hashes(words, self.shingle)
-        best: dict[str, float] = {}
-        found = self.candidates(h)
-        own = set(h.tolist()) if found else set()
-        for t in found:
-            share = len(self.shingles[t] & own) / len(self.shingles[t])
-            if share >= threshold:
-                best[self.names[t]] = max(best.get(self.names[t], 0.0), share)
-        return sorted(best.items())
+        return self.scan_texts([text], threshold)[0]
+
+
+_NONE: frozenset = frozenset()
+_WORKER: dict[str, Index] = {}
+
+
+def _index(name: str, templates: list[tuple[str, str]]) -> Index:
+    """One index for each Python worker."""
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Index(templates)
+    return _WORKER[name]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,12 +199,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     n = sum(len(license_words(t)) for _, t in chosen)
     if n > MAX_TEMPLATE_WORDS:
         raise ValueError(f"the templates have {n} words; at most {MAX_TEMPLATE_WORDS} can be broadcast")
-    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    import uuid
+
+    sent, name = docs.sparkSession.sparkContext.broadcast(chosen), uuid.uuid4().hex
 
     def run(batches):
-        index = Index(sent.value)
+        index = _index(name, sent.value)
         for batch in batches:
-            rows = [(d, name, share) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for name, share in index.scan(t.as_py(), threshold)]
+            rows: list[tuple] = []
+            ids, texts, size = [], [], 0
+
+            def scanned(ids: list, texts: list) -> list[tuple]:
+                return [(d, license, share) for d, found in zip(ids, index.scan_texts(texts, threshold), strict=True) for license, share in found]
+
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(d)
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if size > CHUNK_CHARS:
+                    rows += scanned(ids, texts)
+                    ids, texts, size = [], [], 0
+            rows += scanned(ids, texts)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "license", "containment"])
 
