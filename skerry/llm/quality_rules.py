@@ -1,8 +1,10 @@
 """Line-first quality rules (native: DataFrame functions only).
 
-Every line is judged by punctuation, navigation and boilerplate rules; failing lines
-are removed; a document that loses too much of its text is rejected. Base counts over
-the whole text reject short and repetitive documents before that.
+Every line is judged by punctuation rules (symbols, shouting, a cut-off end), a navigation rule
+(separators of menus and breadcrumbs) and boilerplate phrases; failing lines are removed; a
+document that loses too much of its text is rejected. Base counts over the whole text reject
+short and repetitive documents before that. :func:`judge` counts what would be lost,
+:func:`filter_documents` passes the documents on without their failing lines.
 
 Defined results: a null text counts as empty (no words, rejected as too short); rows
 with null or repeated ids are judged by their text like any other; an empty table gives
@@ -26,7 +28,8 @@ WINDOW = 5
 #: Rule parameters, in hundredths of a line's words.
 SYMBOL_PERCENT = 20  # symbols a word
 SHOUT_PERCENT = 30  # words that end in two exclamation or question marks
-BAR_PERCENT = 15  # column separators a word
+BAR_PERCENT = 15  # separators a word
+BARS = "|»›•·→"
 #: A line of at most this many words that holds one of the phrases is boilerplate.
 BOILERPLATE_WORDS = 30
 BOILERPLATE = (
@@ -63,12 +66,13 @@ def line_fails(line: Column) -> Column:
     def rules(n: Column) -> Column:
         symbols = _count(line, SYMBOLS) * 100 > n * SYMBOL_PERCENT
         shouts = F.regexp_count(line, F.lit(r"[!?][!?]")) * 100 > n * SHOUT_PERCENT
-        bars = _count(line, "|") * 100 > n * BAR_PERCENT
+        bars = _count(line, BARS) * 100 > n * BAR_PERCENT
+        cut_off = F.regexp_like(line, F.lit(r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"))
         low = F.lower(line)
         phrase = F.lit(False)
         for text in BOILERPLATE:
             phrase = phrase | F.contains(low, F.lit(text))
-        return symbols | shouts | bars | ((n <= BOILERPLATE_WORDS) & phrase)
+        return symbols | shouts | bars | cut_off | ((n <= BOILERPLATE_WORDS) & phrase)
 
     return let(_line_words(line), rules)
 
@@ -139,9 +143,17 @@ def clean_text(text: Column) -> Column:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns and text as they were."""
+    """The documents that pass, with their columns, and without the lines that fail; ``n_chars`` counts the text that is left.
+
+    A text without failing lines stays as it is.
+    """
     flag = "_skerry_quality"
-    return docs.withColumn(flag, stats(docs["text"])).where(passes(F.col(flag))).drop(flag)
+    kept = docs.withColumn(flag, stats(docs["text"])).where(passes(F.col(flag)))
+    cleaned = F.col(flag)["n_lost_words"] > 0
+    kept = kept.withColumn("text", F.when(cleaned, clean_text(F.col("text"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(cleaned, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.drop(flag)
 
 
 def _sql() -> str:
@@ -164,7 +176,8 @@ ln AS (SELECT k, line, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-
 lines AS (SELECT k, line, n,
     {count("line", SYMBOLS)} * 100 > n * {SYMBOL_PERCENT}
     OR len(regexp_extract_all(line, '[!?][!?]')) * 100 > n * {SHOUT_PERCENT}
-    OR {count("line", "|")} * 100 > n * {BAR_PERCENT}
+    OR {count("line", BARS)} * 100 > n * {BAR_PERCENT}
+    OR regexp_matches(line, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z')
     OR (n <= {BOILERPLATE_WORDS} AND ({phrases})) AS bad
   FROM ln WHERE n > 0),
 byline AS (SELECT k, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM lines GROUP BY k),
