@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that Python's str.strip() and str.split() take for white space.
 UNICODE_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-#: Latin letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrsssstt" + "uuuuuu" + "wyzzz"
+#: Combining marks that folding drops, so that they join the letters around them.
+COMBINING = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark and what they fold to, from their Unicode decompositions."""
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).lower() == chr(c)]
+    base = {c: d[0] for c in letters if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and d[0].isalpha()}
+    base |= {"\u017f": "s", "\u1e9b": "s"}
+    return "".join(base), "".join(base.values())
+
+
+#: What folding replaces and drops: the characters past the end of PLAIN have nothing in their place.
+MARKED, PLAIN = _folding()
+MARKED += COMBINING
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 DASHES = "‐‑‒–—―−"
 
 _CLASS = "[" + UNICODE_SPACES.replace("\\", "\\\\") + "]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, also for uses inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{_CLASS}+", ""), f"{_CLASS}+$", "")
 
@@ -43,7 +61,7 @@ def tokens(text: Column) -> Column:
 
 def fold_py(text: str) -> str:
     """The same folding for query strings, on the driver."""
-    return text.lower().translate(str.maketrans(MARKED, PLAIN))
+    return text.lower().translate(str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :]))
 
 
 def normalise_dashes(text: str) -> str:

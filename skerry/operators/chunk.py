@@ -22,11 +22,22 @@ def windows(length: Column, size: int, overlap: int) -> Column:
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step))
 
 
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """The windows' texts. The text is cut once into blocks of a step each, and a window is its block with the head of the next ones: linear in its length."""
+    step = _check(size, overlap)
+    more = -(-size // step)
+
+    def windows_of(blocks: Column) -> Column:
+        return F.transform(blocks, lambda _, k: F.substring(F.array_join(F.slice(blocks, k + 1, F.lit(more)), ""), 1, size))
+
+    return T.let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), windows_of)
+
+
 def chunk(docs: DataFrame, text: str = "text", size: int = 300, overlap: int = 50) -> DataFrame:
     """One row a chunk: the columns of ``docs`` but the text, then chunk_id, start, chunk_text. Blank chunks go; ids stay."""
     keep = [c for c in docs.columns if c != text]
-    cut = docs.select(*keep, text, F.posexplode(windows(F.length(text), size, overlap)).alias("chunk_id", "start"))
-    return cut.select(*keep, "chunk_id", "start", T.strip(F.substring(F.col(text), F.col("start") + 1, F.lit(size))).alias("chunk_text")).where("chunk_text <> ''")
+    cut = docs.select(*keep, F.posexplode(pieces(F.col(text), size, overlap)).alias("chunk_id", "_piece"))
+    return cut.select(*keep, "chunk_id", (F.col("chunk_id") * (size - overlap)).alias("start"), T.strip(F.col("_piece")).alias("chunk_text")).where("chunk_text <> ''")
 
 
 def chunk_tokens(docs: DataFrame, text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:

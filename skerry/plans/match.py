@@ -279,6 +279,13 @@ def phrases_of(node) -> list[Phrase]:
     return []
 
 
+def leaves_of(node) -> list:
+    """The phrases, NEAR groups and fields of a query."""
+    if isinstance(node, Without):
+        return leaves_of(node.keep) + leaves_of(node.drop)
+    return [x for part in node.parts for x in leaves_of(part)] if isinstance(node, All | Any) else [node]
+
+
 def terms_of(node) -> list[str]:
     return list(dict.fromkeys(t for p in phrases_of(node) for t in p.tokens))
 
@@ -304,8 +311,18 @@ def _starts(tokens: Column, p: Phrase) -> Column:
 
 
 def compile_match(node, tokens: Column, text: Column | None = None, metadata: dict[str, Column] | None = None) -> Column:
-    """One boolean column. ``tokens``: array of folded tokens; ``text``: joined(tokens), if it is at hand."""
-    s = joined(tokens) if text is None else text
+    """One boolean column. ``tokens``: array of folded tokens; ``text``: joined(tokens), if it is at hand.
+
+    The tokens and their joined text are bound once a row, however many phrases ask for them.
+    """
+    if text is None:
+        kinds = [isinstance(x, Near) for x in leaves_of(node)]
+        if len(kinds) == 1:
+            return compile_match(node, tokens, joined(tokens), metadata)
+        if not any(kinds):
+            return T.let(joined(tokens), lambda s: compile_match(node, tokens, s, metadata))
+        return T.let(tokens, lambda tk: T.let(joined(tk), lambda s: compile_match(node, tk, s, metadata)))
+    s = text
     go = lambda x: compile_match(x, tokens, s, metadata)
     if isinstance(node, Nothing):
         return F.lit(False)
@@ -320,18 +337,13 @@ def compile_match(node, tokens: Column, text: Column | None = None, metadata: di
         wanted = F.lit(" " + " ".join(node.tokens) + ("" if node.prefix else " "))
         return F.startswith(s, wanted) if node.initial else F.contains(s, wanted)
     if isinstance(node, Near):
-        return _let(tokens, lambda tk: _near(tk, node))
+        return T.let(tokens, lambda tk: _near(tk, node))
     if isinstance(node, Without):
         return go(node.keep) & ~go(node.drop)
     parts = [go(p) for p in node.parts]
     return reduce((lambda a, b: a & b) if isinstance(node, All) else (lambda a, b: a | b), parts)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row, also for uses inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _near(tokens: Column, node: Near) -> Column:
     """Whether starts of all phrases lie so close that at most ``distance`` tokens are between each one's end and the last start."""
 
@@ -343,7 +355,7 @@ def _near(tokens: Column, node: Near) -> Column:
 
         return F.exists(F.flatten(places), close)
 
-    return _let(F.array(*[_starts(tokens, p) for p in node.phrases]), bound)
+    return T.let(F.array(*[_starts(tokens, p) for p in node.phrases]), bound)
 
 
 def _within(places: Column, m: Column, n: int, distance: int) -> Column:

@@ -63,6 +63,29 @@ def test_match_conformance(spark, fts):
         assert sorted(r["id"] for r in table if r[f"q{i}"]) == expected(fts, q), q
 
 
+def test_folding_equals_fts5(spark):
+    """Letters with marks, composed and not, against the tokens of SQLite: every Latin letter with a mark, and combining marks."""
+    import unicodedata
+
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    texts = ["cafés cafe\u0301s", "İstanbul ǎ ș ơ", "a\u0301b a\u0488b", "Ångström ſo"] + [f"x{chr(c)}y {unicodedata.normalize('NFD', chr(c))}" for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    want = {}
+    for doc, term in con.execute("SELECT doc, term FROM v ORDER BY doc, offset"):
+        want.setdefault(doc, []).append(term)
+    got = {r["id"]: r["tk"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, x string").select("id", T.tokens(F.col("x")).alias("tk")).collect()}
+    assert got == {k: want.get(k, []) for k in range(len(texts))}
+    assert match.split_words("cafe\u0301s İSTANBUL") == ("cafes", "istanbul")
+
+
+def test_tokens_are_bound_once(spark):
+    df = spark.createDataFrame([(1, "a b c")], "id int, text string")
+    plan = df.where(match.compile_match(match.parse("(a OR b) AND c NOT d"), T.tokens(F.col("text"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 @pytest.mark.parametrize("query", ["alpha beta", '"alpha beta"', '"the cat" "cat cat"', "cafe", "alph*", "alpha OR mat", "^delta"])
 def test_snippet_equals_fts5(fts, query):
     wanted = [(p.tokens, p.prefix, p.initial) for p in match.phrases_of(match.parse(query))]
