@@ -5,21 +5,29 @@ An extractor returns text and never raises: what can't be read has an empty text
 
 from __future__ import annotations
 
+import html
 import html.parser
 import io
 import re
 import zipfile
 
 _BLOCK = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header footer ul ol table blockquote pre".split())
-_SKIP = frozenset("script style head title noscript template".split())
+_SKIP = frozenset("script style title noscript template".split())
+#: What a head may hold; any other element begins the body.
+_HEAD = frozenset("base link meta script style title noscript template head html".split())
 
 
 class _Text(html.parser.HTMLParser):
     def __init__(self, links: bool, skip: frozenset = _SKIP):
         super().__init__(convert_charrefs=True)
         self.links, self.skip, self.depth, self.out, self.href = links, skip, 0, [], []
+        self.head = False
 
     def handle_starttag(self, tag, attrs):
+        if self.head and tag not in _HEAD:
+            self.head, self.depth = False, 0
+        elif tag == "head":
+            self.head = True
         if tag in self.skip:
             self.depth += 1
         elif tag in _BLOCK:
@@ -29,6 +37,8 @@ class _Text(html.parser.HTMLParser):
             self.out.append("[")
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head, self.depth = False, 0
         if tag in self.skip:
             self.depth = max(0, self.depth - 1)
         elif tag in _BLOCK:
@@ -37,7 +47,7 @@ class _Text(html.parser.HTMLParser):
             self.out.append(f"]({self.href.pop()})")
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.depth and not self.head:
             self.out.append(data)
 
     def text(self) -> str:
@@ -52,19 +62,102 @@ def html_text(data: bytes, links: bool = True) -> str:
     return parser.text()
 
 
+def _inline(text: str) -> str:
+    """Code spans, images, links and emphasis as elements; the rest escaped."""
+    spans: list[str] = []
+
+    def code(m) -> str:
+        spans.append(f"<code>{html.escape(m[2].strip(), quote=False)}</code>")
+        return f"\0{len(spans) - 1}\0"
+
+    text = html.escape(re.sub(r"(`+)(.+?)\1", code, text), quote=False)
+    text = re.sub(r"!\[([^\]]*)\]\(([^)\s]*)[^)]*\)", r'<img alt="\1" src="\2">', text)
+    text = re.sub(r"\[([^\]]*)\]\(([^)\s]*)[^)]*\)", r'<a href="\2">\1</a>', text)
+    text = re.sub(r"&lt;(https?://[^\s&]+)&gt;", r'<a href="\1">\1</a>', text)
+    for mark, tag in ((r"\*\*", "strong"), ("__", "strong"), ("~~", "del"), (r"\*", "em"), (r"(?<!\w)_", "em")):
+        end = mark.replace("(?<!", "(?!").replace("(?!\\w)_", "_(?!\\w)")
+        text = re.sub(rf"{mark}(?=\S)(.+?)(?<=\S){end}", rf"<{tag}>\1</{tag}>", text)
+    return re.sub("\0(\\d+)\0", lambda m: spans[int(m[1])], text)
+
+
+_ITEM = re.compile(r"(\s*)(?:[-*+]|(\d+)[.)])\s+(.*)")
+_RULE = re.compile(r"\s{0,3}(?:\|?\s*:?-+:?\s*)(?:\|\s*:?-+:?\s*)*\|?\s*")
+
+
+def _cells(line: str, tag: str) -> str:
+    return "<tr>" + "".join(f"<{tag}>{_inline(c.strip())}</{tag}>" for c in line.strip().strip("|").split("|")) + "</tr>"
+
+
+def _list_html(items: list[tuple[int, str, str]]) -> str:
+    """(indent, tag, text) -> nested lists."""
+    out: list[str] = []
+    levels: list[tuple[int, str]] = []
+    for indent, tag, text in items:
+        while levels and indent < levels[-1][0]:
+            out.append(f"</li></{levels.pop()[1]}>")
+        if levels and indent <= levels[-1][0] + 1:
+            out.append("</li>")
+        else:
+            out.append(f"<{tag}>")
+            levels.append((indent, tag))
+        out.append(f"<li>{_inline(text)}")
+    return "".join([*out, *[f"</li></{tag}>" for _, tag in reversed(levels)]])
+
+
+def _markdown_html(text: str) -> str:
+    """Headings, fenced code, quotes, nested lists, tables, rules and paragraphs as elements."""
+    lines, out, k = text.split("\n"), [], 0
+    while k < len(lines):
+        line = lines[k]
+        if m := re.match(r"\s{0,3}(```+|~~~+)", line):
+            end = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith(m[1])), len(lines))
+            out.append("<pre><code>" + html.escape("\n".join(lines[k + 1 : end]), quote=False) + "</code></pre>")
+            k = end + 1
+        elif m := re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*$", line):
+            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
+            k += 1
+        elif re.fullmatch(r"\s{0,3}([-*_])(\s*\1){2,}\s*", line):
+            out.append("<hr>")
+            k += 1
+        elif line.lstrip().startswith(">"):
+            end = next((j for j in range(k, len(lines)) if not lines[j].lstrip().startswith(">")), len(lines))
+            out.append("<blockquote>" + _markdown_html("\n".join(re.sub(r"^\s*> ?", "", x) for x in lines[k:end])) + "</blockquote>")
+            k = end
+        elif _ITEM.fullmatch(line):
+            items: list[tuple[int, str, str]] = []
+            while k < len(lines) and lines[k].strip():
+                if m := _ITEM.fullmatch(lines[k]):
+                    items.append((len(m[1].expandtabs(4)), "ol" if m[2] else "ul", m[3]))
+                else:
+                    items[-1] = (*items[-1][:2], f"{items[-1][2]} {lines[k].strip()}")
+                k += 1
+            out.append(_list_html(items))
+        elif "|" in line and k + 1 < len(lines) and "-" in lines[k + 1] and _RULE.fullmatch(lines[k + 1]):
+            end = next((j for j in range(k + 2, len(lines)) if "|" not in lines[j]), len(lines))
+            out.append("<table>" + _cells(line, "th") + "".join(_cells(x, "td") for x in lines[k + 2 : end]) + "</table>")
+            k = end
+        elif line.strip():
+            end = next((j for j in range(k + 1, len(lines)) if not lines[j].strip() or re.match(r"\s{0,3}(#{1,6}\s|```|~~~|>)", lines[j])), len(lines))
+            body = lines[k:end]
+            if len(body) > 1 and re.fullmatch(r"(=+|-+)\s*", body[-1]):
+                level = 1 if body[-1][0] == "=" else 2
+                out.append(f"<h{level}>{_inline(' '.join(x.strip() for x in body[:-1]))}</h{level}>")
+            else:
+                out.append(f"<p>{_inline(' '.join(x.strip() for x in body))}</p>")
+            k = end
+        else:
+            k += 1
+    return "\n".join(out)
+
+
 def markdown_text(data: bytes, markup: str = "strip") -> str:
-    """``strip``: marks removed; ``html``: headings, paragraphs and emphasis as elements; ``keep``: as it is."""
+    """``strip``: marks removed; ``html``: blocks and inline marks as elements; ``keep``: as it is."""
     text = data.decode("utf-8", "replace")
     text = re.sub(r"\A---\n.*?\n---\n", "", text, flags=re.S)
     if markup == "keep":
         return text
     if markup == "html":
-        out = []
-        for block in re.split(r"\n\s*\n", text.strip()):
-            m = re.match(r"(#{1,6})\s+(.*)", block)
-            inner = re.sub(r"\*(.+?)\*", r"<em>\1</em>", re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", m[2] if m else block))
-            out.append(f"<h{len(m[1])}>{inner}</h{len(m[1])}>" if m else f"<p>{inner}</p>")
-        return "\n".join(out)
+        return _markdown_html(text)
     text = re.sub(r"```.*?\n(.*?)```", r"\1", text, flags=re.S)
     text = re.sub(r"^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+", "", text, flags=re.M)
     text = re.sub(r"^\s*\|?[\s:|-]*-{3,}[\s:|-]*$", "", text, flags=re.M)
