@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--mode", default="hybrid", choices=("semantic", "keyword", "hybrid"))
     s.add_argument("--top-k", type=int, default=10)
     s.add_argument("--thesaurus")
+    s.add_argument("--config", help="the configuration that the index was built with: its thesaurus and its embedding model")
     lib = sub.add_parser("library", help="export a library's items as JSON")
     lib.add_argument("database")
     lib.add_argument("out")
@@ -30,16 +31,19 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "index":
         cfg = files.load_config(args.config)
         docs = files.documents(spark, cfg.input_folder, cfg.file_types)
-        tables = library.read_sqlite(spark, args.library) if args.library else None
+        database = args.library or (library.database_in(cfg.library_directory) if cfg.library_enabled else None)
+        tables = library.read_sqlite(spark, database) if database else None
         if tables:
             from .operators.facets import merge_sources
 
             docs = merge_sources(docs, library.documents(library.items(tables)), "doc_id")
-        engine = Engine(spark, cfg.output_folder)
-        engine.build(docs, cfg.chunk_size, cfg.overlap)
-        print(engine.status())
+        engine = Engine(spark, cfg.output_folder, **cfg.engine())
+        print(engine.ensure(docs, cfg.chunk_size, cfg.overlap), engine.status())
     elif args.command == "search":
-        engine = Engine.open(spark, args.folder, thesaurus=thesaurus.load(args.thesaurus) if args.thesaurus else {})
+        kind = files.load_config(args.config).engine() if args.config else {}
+        if args.thesaurus:
+            kind["thesaurus"] = thesaurus.load(args.thesaurus)
+        engine = Engine.open(spark, args.folder, **kind)
         for row in engine.search(SearchQuery(args.query, mode=args.mode, top_k=args.top_k)).collect():
             print(f"{row['score']:.4f}  {row['path']}  {row['snippet']}")
     else:

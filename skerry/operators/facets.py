@@ -33,11 +33,33 @@ def within_months(day: Column, months: int, as_of: str) -> Column:
     return (day > F.add_months(F.to_date(F.lit(as_of)), -months)) & (day <= F.to_date(F.lit(as_of)))
 
 
+#: Rows aimed at in each range within which :func:`display_rank` numbers rows, and ranges at most.
+RANGE_ROWS, MAX_RANGES = 50_000, 200
+
+
+def display_rank(rows: DataFrame, first: str, tie: str) -> DataFrame:
+    """Number rows from 1 in order of a numeric column and a tie-breaker, without one task for all: ranges by quantiles, numbered within, moved by the ranges' counts."""
+    n = rows.count()
+    parts = min(MAX_RANGES, -(-n // RANGE_ROWS))
+    bounds = sorted(set(rows.approxQuantile(first, [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(first))) if bounds else F.lit(0)
+    placed = rows.withColumn("_range", at)
+    inside = placed.withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(first, tie)))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # MAX_RANGES rows at most
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return inside.join(F.broadcast(before), "_range").withColumn("rank", (F.col("_before") + F.col("_r")).cast("int")).drop("_range", "_r", "_before")
+
+
 def group_hits(hits: DataFrame, path: str = "path", order: str = "ord") -> DataFrame:
     """One row a path in order of its first hit: hits, mean score where there is one, display rank (AGG-1..AGG-3, WIN-4)."""
     own = hits.where(F.col(path).isNotNull() & (F.col(path) != ""))
     groups = own.groupBy(path).agg(F.min(order).alias("first"), F.count("*").alias("n_hits"), F.avg("score").alias("avg_score"))
-    return groups.withColumn("rank", F.row_number().over(W.orderBy("first", path)))
+    return display_rank(groups, "first", path)
+
+
+def group_by_basename(hits: DataFrame, path: str = "path", order: str = "ord") -> DataFrame:
+    """Groups as in :func:`group_hits`, by the last part of the path (AGG-2)."""
+    return group_hits(hits.withColumn("basename", T.basename(F.col(path))), "basename", order)
 
 
 def top_per_group(hits: DataFrame, group: str, order: list[Column], n: int = 5) -> DataFrame:
@@ -52,13 +74,13 @@ def overflow(hits: DataFrame, group: str, n: int = 3) -> DataFrame:
 
 
 def filter_options(items: DataFrame) -> DataFrame:
-    """Distinct tags and collections in order, and the year range (AGG-4..AGG-6)."""
-    return items.agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("collections")))).alias("collections"),
-        F.coalesce(F.min("year"), F.lit(2000)).alias("year_min"),
-        F.coalesce(F.max("year"), F.lit(2024)).alias("year_max"),
-    )
+    """Distinct tags and collections in order, and the year range (AGG-4..AGG-6); values are made distinct before any are gathered."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("values")) for k, c in enumerate(("tags", "collections"))])
+    each = items.select(F.explode(kinds).alias("k")).select("k.kind", F.explode("k.values").alias("value")).distinct()
+    years = items.agg(F.min("year").alias("low"), F.max("year").alias("high"))
+    rows = each.unionByName(years, allowMissingColumns=True)
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value"))))
+    return rows.agg(listed(0).alias("tags"), listed(1).alias("collections"), F.coalesce(F.max("low"), F.lit(2000)).alias("year_min"), F.coalesce(F.max("high"), F.lit(2024)).alias("year_max"))
 
 
 def dedup_content(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

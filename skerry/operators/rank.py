@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,17 +34,22 @@ def knn(vectors: DataFrame, query: list[float], k: int, ids: list[str], vector:
     return got.orderBy("distance", *ids).limit(k).withColumn("similarity", 1 - F.col("distance") / 2)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, ids: list[str], query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
-    """The k nearest rows of each of a bounded set of queries (VEC-3).
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, ids: list[str], query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector", digits: int | None = None) -> DataFrame:
+    """The k nearest rows of each of a stated set of queries (VEC-3), by the distance as it is or rounded to ``digits``.
 
-    Each query meets all rows, in blocks of the table: every task keeps its k best for each query before anything is shuffled.
+    The set is counted; up to MAX_QUERIES are broadcast and meet the table in one pass, more take a pass for each such part.
+    Every task keeps its k best for each query before anything is shuffled.
     """
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; at most {MAX_QUERIES} go over the table at once")
-    pairs = vectors.join(F.broadcast(queries.select(query_id, query_vector)), F.lit(True))
-    scored = pairs.select(query_id, *ids, squared_l2(F.col(vector), F.col(query_vector)).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", *ids))).where(F.col("rank") <= k)
+    passes = max(1, -(-queries.count() // MAX_QUERIES))
+    found = None
+    for p in range(passes):
+        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p) if passes > 1 else queries
+        pairs = vectors.join(F.broadcast(part.select(query_id, query_vector)), F.lit(True))
+        distance = squared_l2(F.col(vector), F.col(query_vector))
+        scored = pairs.select(query_id, *ids, (distance if digits is None else F.round(distance, digits)).alias("distance"))
+        best = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", *ids))).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def quantise(vector: Column) -> Column:
@@ -82,6 +88,24 @@ def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], t
     return docs.withColumn("embedding", run(text))
 
 
+def embedder(name: str) -> Callable[[list[str]], list[list[float]]]:
+    """The function of a named model: ``md5-hash-N``, or a sentence-embedding model where that optional package is there."""
+    if m := re.fullmatch(r"md5-hash-([0-9]+)", name):
+        return hash_embedder(int(m[1]))
+    models: dict = {}
+
+    def run(texts: list[str]) -> list[list[float]]:
+        if not models:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as e:
+                raise RuntimeError(f"the embedding model {name} needs the optional package sentence-transformers") from e
+            models[name] = SentenceTransformer(name)
+        return models[name].encode(texts, normalize_embeddings=True).tolist()
+
+    return run
+
+
 def hash_embedder(dimensions: int = DIMENSIONS) -> Callable[[list[str]], list[list[float]]]:
     """The default embedding as a function of a batch of texts."""
 

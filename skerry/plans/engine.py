@@ -7,12 +7,14 @@ from dataclasses import asdict, dataclass, field
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk as C
 from ..operators import facets, rank
 from ..sources import thesaurus as thes
+from ..streaming import ingest
 from . import match
 
 
@@ -26,6 +28,7 @@ class SearchQuery:
     year_min: int | None = None
     year_max: int | None = None
     sources: list[str] | None = None
+    file_types: list[str] | None = None
     fusion: Literal["rrf", "concat", "weighted"] = "rrf"
     alpha: float = 0.5
     lenient: bool = True
@@ -51,19 +54,92 @@ class Engine:
     def _embed(self):
         return self.embedder or rank.hash_embedder()
 
+    _WANTED = {"source": "string", "path": "string", "title": "string", "year": "int", "tags": "array<string>", "collections": "array<string>"}
+
+    def _whole(self, docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "text", *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in self._WANTED.items()])
+
+    def _chunked(self, docs: DataFrame, size: int, overlap: int, vectors: bool) -> DataFrame:
+        chunks = C.chunk(docs.select("doc_id", "text"), size=size, overlap=overlap).withColumn("tokens", T.tokens(F.col("chunk_text")))
+        return rank.embed(chunks, self._embed, "chunk_text") if vectors else chunks
+
+    def _settings(self, size: int, overlap: int, vectors: bool) -> dict:
+        return {"chunk_size": size, "overlap": overlap, "model": self.model if vectors else None}
+
+    @staticmethod
+    def sources_digest(docs: DataFrame) -> str:
+        """One digest of all documents: their ids, texts and metadata."""
+        row = F.to_json(F.struct(*[c for c in docs.columns if c != "doc_id"]))
+        got = ingest.digest(docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1(row)).alias("key"))).first()
+        return (got["digest"] if got else None) or "empty"
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _drop(self, name: str) -> None:
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def _finish(self, settings: dict) -> None:
+        """The manifest, written last: an index without one is not complete."""
+        row = self.spark.range(1).select(F.lit(json.dumps(settings)).alias("settings"), F.lit(self.chunks().count()).alias("n_chunks"), F.lit(self.sources_digest(self.documents())).alias("digest"), F.current_timestamp().alias("built"))
+        row.write.mode("overwrite").json(f"{self.folder}/manifest")
+
+    def _replace(self, tables: dict[str, DataFrame], settings: dict) -> None:
+        """Tables are written beside the old ones; the manifest goes before they are put in place and comes back after."""
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
+        self._drop("manifest")
+        for name in tables:
+            self._drop(name)
+            fs, new = self._path(f"{name}.next")
+            fs.rename(new, self._path(name)[1])
+        self._finish(settings)
+
     def build(self, docs: DataFrame, size: int = 300, overlap: int = 50, vectors: bool = True) -> None:
         """Write everything anew. ``docs``: doc_id, text and any of source, path, title, year, tags, collections."""
-        wanted = {"source": "string", "path": "string", "title": "string", "year": "int", "tags": "array<string>", "collections": "array<string>"}
-        full = docs.select("doc_id", "text", *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()])
-        full.write.mode("overwrite").parquet(f"{self.folder}/documents")
-        stored = self.spark.read.parquet(f"{self.folder}/documents")
-        chunks = C.chunk(stored.select("doc_id", "text"), size=size, overlap=overlap).withColumn("tokens", T.tokens(F.col("chunk_text")))
-        if vectors:
-            chunks = rank.embed(chunks, self._embed, "chunk_text")
-        chunks.write.mode("overwrite").parquet(f"{self.folder}/chunks")
-        settings = {"chunk_size": size, "overlap": overlap, "model": self.model if vectors else None}
-        n = self.chunks().count()
-        self.spark.range(1).select(F.lit(json.dumps(settings)).alias("settings"), F.lit(n).alias("n_chunks"), F.current_timestamp().alias("built")).write.mode("overwrite").json(f"{self.folder}/manifest")
+        self._drop("manifest")
+        self._whole(docs).write.mode("overwrite").parquet(f"{self.folder}/documents")
+        self._chunked(self.documents(), size, overlap, vectors).write.mode("overwrite").parquet(f"{self.folder}/chunks")
+        self._finish(self._settings(size, overlap, vectors))
+
+    def ensure(self, docs: DataFrame, size: int = 300, overlap: int = 50, vectors: bool = True) -> str:
+        """Bring the index up to date with ``docs`` by the least work (INC-1, INC-2): ``reused``, ``updated`` or ``built``."""
+        try:
+            then = self.status()
+        except FileNotFoundError:
+            then = None
+        settings = self._settings(size, overlap, vectors)
+        if then is not None and all(then[k] == v for k, v in settings.items()):
+            if ingest.unchanged(then["digest"], self.sources_digest(self._whole(docs)), settings, settings):
+                return "reused"
+            self.update(docs)
+            return "updated"
+        self.build(docs, size, overlap, vectors)
+        return "built"
+
+    def update(self, docs: DataFrame, complete: bool = True) -> None:
+        """Index added and changed documents only; those that ``docs`` no longer has go (INC-2), or stay if it isn't ``complete`` (SP-13: add)."""
+        status = self.status()
+        settings = {k: status[k] for k in ("chunk_size", "overlap", "model")}
+        whole, old = self._whole(docs), self.documents()
+        state = lambda df: df.select("doc_id", F.sha1("text").alias("sha1"))
+        change = ingest.diff(state(old), state(whole), "doc_id")
+        stale = change.where(F.col("change").isin("changed", "removed") if complete else F.col("change") == "changed").select("doc_id")
+        fresh = change.where("change IN ('added', 'changed')").select("doc_id")
+        kept = self.chunks().join(stale, "doc_id", "left_anti")
+        new = self._chunked(whole.join(fresh, "doc_id", "left_semi"), settings["chunk_size"], settings["overlap"], settings["model"] is not None)
+        documents = whole if complete else old.join(whole.select("doc_id"), "doc_id", "left_anti").unionByName(whole)
+        self._replace({"chunks": kept.unionByName(new), "documents": documents}, settings)
+
+    def add(self, docs: DataFrame) -> None:
+        """Add documents, or put them in the place of those with their ids (SP-13)."""
+        self.update(docs, complete=False)
+
+    def flush(self) -> None:
+        """Drop all documents; the index stays, empty (SP-13)."""
+        self.remove(self.documents().select("doc_id"))
 
     def documents(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/documents")
@@ -81,26 +157,44 @@ class Engine:
         return engine
 
     def status(self) -> dict:
-        row = self.spark.read.schema("settings string, n_chunks long, built string").json(f"{self.folder}/manifest").first()
+        """What the manifest says, and the bytes that the tables take."""
+        fs, path = self._path("manifest")
+        row = self.spark.read.schema("settings string, n_chunks long, digest string, built string").json(f"{self.folder}/manifest").first() if fs.exists(path) else None
         if row is None:
             raise FileNotFoundError(f"no complete index in {self.folder}")
-        return {"status": "ok", "index_type": "exact", "total_chunks": row["n_chunks"], "built": row["built"], **json.loads(row["settings"])}
+        size = sum(fs.getContentSummary(self._path(name)[1]).getLength() for name in ("documents", "chunks"))
+        return {"status": "ok", "index_type": "exact", "total_chunks": row["n_chunks"], "built": row["built"], "digest": row["digest"], "bytes": size, **json.loads(row["settings"])}
 
-    def _allowed(self, q: SearchQuery) -> DataFrame | None:
-        """doc_id of the documents that pass the facets; None: all do."""
-        if not (q.tags or q.collections or q.sources or q.year_min is not None or q.year_max is not None):
+    def _barred(self, q: SearchQuery) -> DataFrame | None:
+        """doc_id of the documents that the facets keep out; None: no facet. What the documents don't know passes (FIL-5)."""
+        if not (q.tags or q.collections or q.sources or q.file_types or q.year_min is not None or q.year_max is not None):
             return None
         ok: Column = facets.any_of("tags", q.tags) & facets.any_of("collections", q.collections) & facets.year_between(F.col("year"), q.year_min, q.year_max)
+        ok = ok & facets.file_types("path", q.file_types)
         if q.sources:
             ok = ok & F.col("source").isin(q.sources)
-        return self.documents().where(ok).select("doc_id")
+        return self.documents().where(~F.coalesce(ok, F.lit(False))).select("doc_id")
+
+    def advanced(self, query: str, limit: int = 50) -> DataFrame:
+        """The advanced keyword search: the strict match language, marked snippets, 50 rows (FTS-16)."""
+        return self.search(SearchQuery(query, mode="keyword", top_k=limit, lenient=False))
+
+    def grouped(self, q: SearchQuery, by: Literal["path", "basename"] = "path") -> DataFrame:
+        """The hits of a search by path or file name, in order of their first hit (AGG-1, AGG-2)."""
+        hits = self.search(q)
+        hits = hits.withColumn("ord", F.row_number().over(W.orderBy(F.desc("score"), "doc_id", "chunk_id")))  # top_k rows
+        return facets.group_by_basename(hits) if by == "basename" else facets.group_hits(hits)
 
     def search(self, q: SearchQuery) -> DataFrame:
-        """path, snippet, score, distance, similarity of at most top_k hits, best first; facets filter before the cut (Q-1, Q-4)."""
+        """path, snippet, score, distance, similarity of at most top_k hits, best first; facets filter before the cut (Q-1, Q-4).
+
+        Hybrid search fuses what over-fetching finds: the 5 * top_k nearest chunks (50 at least) and the keyword hits (of
+        these as many, by their score, for ``rrf``). A chunk further down in either ranking counts as not in it.
+        """
         chunks = self.chunks()
-        allowed = self._allowed(q)
-        if allowed is not None:
-            chunks = chunks.join(allowed, "doc_id", "left_semi")
+        barred = self._barred(q)
+        if barred is not None:
+            chunks = chunks.join(barred, "doc_id", "left_anti")
         text = thes.expand_query(q.query, self.thesaurus) if thes.matched_concepts(q.query, self.thesaurus) else q.query
         key = ["doc_id", "chunk_id"]
         deep = max(q.top_k, 10) * 5
@@ -147,16 +241,11 @@ class Engine:
         return facets.filter_options(self.documents())
 
     def remove(self, doc_ids: DataFrame) -> None:
-        """Take documents out of the index (SP-13): both tables are written without them, then put in place."""
-        for name in ("documents", "chunks"):
-            kept = self.spark.read.parquet(f"{self.folder}/{name}").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
-            kept.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in ("documents", "chunks"):
-            old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in (name, f"{name}.next"))
-            fs = old.getFileSystem(conf)
-            fs.delete(old, True)
-            fs.rename(new, old)
+        """Take documents out of the index (SP-13): both tables are written without them, then put in place; the manifest follows."""
+        status = self.status()
+        settings = {k: status[k] for k in ("chunk_size", "overlap", "model")}
+        gone = doc_ids.select("doc_id").distinct()
+        self._replace({name: self.spark.read.parquet(f"{self.folder}/{name}").join(gone, "doc_id", "left_anti") for name in ("documents", "chunks")}, settings)
 
     def config(self) -> dict:
         return {k: v for k, v in asdict(SearchQuery("")).items() if k != "query"}

@@ -23,6 +23,19 @@ class Config:
     embedding_model: str | None = None
     library_enabled: bool = False
     library_directory: str | None = None
+    encoding: str = "utf-8"
+    save_raw_text: bool = False
+    log_progress: bool = False
+
+    def engine(self) -> dict:
+        """What an engine takes from the configuration: the thesaurus, and the embedding model with its function."""
+        from ..operators import rank
+        from .thesaurus import load
+
+        kind: dict = {"thesaurus": load(self.ontology_file)} if self.ontology_file else {}
+        if self.embedding_model:
+            kind |= {"model": self.embedding_model, "embedder": rank.embedder(self.embedding_model)}
+        return kind
 
 
 def load_config(path: str) -> Config:

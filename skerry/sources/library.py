@@ -38,6 +38,12 @@ class _Range(InputPartition):
         self.low, self.high = low, high
 
 
+def database_in(directory: str | None) -> str | None:
+    """The first SQLite file of a library's folder, if there is one."""
+    found = sorted(Path(directory).expanduser().glob("*.sqlite")) if directory else []
+    return str(found[0]) if found else None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema, options):
         self.schema, self.options = schema, options
