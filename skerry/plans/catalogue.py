@@ -7,7 +7,7 @@ Every query runs over its whole tables; a limit stands only where a top-k is the
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk as C
 from ..operators import facets, rank
+from ..session import shared_folder
 from ..sources import library, thesaurus
 from . import match
 
@@ -280,8 +281,7 @@ SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDE
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     v = _t(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = v.join(F.broadcast(q), F.lit(True)).select("query_id", "vec_id", F.round(rank.squared_l2(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where("rank <= 10")
+    return rank.knn_batch(v, q, 10, ["vec_id"], digits=6)
 
 
 @query("SELECT vec_id, round(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127, 12) AS scale, list_transform(embedding::DOUBLE[], lambda x: round(x / (list_max(list_transform(embedding::DOUBLE[], lambda y: abs(y))) / 127))::INT) AS codes FROM embeddings")
@@ -479,11 +479,14 @@ def ontology_expand_match(spark: SparkSession, d: str) -> DataFrame:
 # Change detection
 
 
-@query("SELECT source, md5(string_agg(doc_id::VARCHAR || ':' || md5(text), '|' ORDER BY doc_id::VARCHAR || ':' || md5(text))) AS digest FROM documents GROUP BY 1")
+@query("""WITH k AS (SELECT source, doc_id::VARCHAR || ':' || md5(text) AS key FROM documents),
+f AS (SELECT source, substring(md5(key), 1, 3) AS p, md5(string_agg(key, '|' ORDER BY key)) AS d FROM k GROUP BY ALL)
+SELECT source, md5(string_agg(d, '' ORDER BY p)) AS digest FROM f GROUP BY 1""")
 def source_digest(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.ingest import digest
+
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))
-    rows = _docs(spark, d).select("source", key.alias("key"))
-    return rows.groupBy("source").agg(F.md5(F.array_join(F.array_sort(F.collect_list("key")), "|").cast("binary")).alias("digest"))
+    return digest(_docs(spark, d).select("source", key.alias("key")), ["source"])
 
 
 @query("""WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 3 <> 0)
@@ -500,10 +503,7 @@ def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.ingest import watch_documents
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-stream-")
-    import uuid
-
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = _docs(spark, d).schema
     watch_documents(spark, f"{d}/documents.parque[t]", schema, f"{run}/out", f"{run}/log").awaitTermination()
     return spark.read.parquet(f"{run}/out").agg(F.count("*").alias("n_chunks"), F.countDistinct("sha1").alias("n_contents"))

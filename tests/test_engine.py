@@ -30,6 +30,27 @@ def test_chunk_windows(spark):
         C.chunk(df, size=10, overlap=10)
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(400, 320), (7, 0), (10, 9)])
+def test_chunk_other_windows(spark, size, overlap):
+    text = "".join("ab😀 é\n"[k * 7 % 6] for k in range(1000)) + "end"
+    got = C.chunk(spark.createDataFrame([(1, text)], "doc_id int, text string"), size=size, overlap=overlap).orderBy("start").collect()
+    step = size - overlap
+    assert [(r["chunk_id"], r["start"], r["chunk_text"]) for r in got] == [(k, s, text[s : s + size].strip()) for k, s in enumerate(range(0, len(text), step)) if text[s : s + size].strip()]
+
+
+def test_chunk_is_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select("id", F.repeat(F.lit("some words of text "), n).alias("text"))
+        start = time.time()
+        assert C.chunk(df).count() > n // 20
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 4 + 8 * seconds(20_000)
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         T.clean(F.lit("  a \n b ")).alias("clean"),
@@ -112,6 +133,52 @@ def test_folder_of_files(spark, tmp_path):
     assert extract.markdown_text(b"# A\n\nb *c*", "html") == "<h1>A</h1>\n<p>b <em>c</em></p>"
 
 
+def test_html_without_the_end_of_its_head():
+    for page in (b"<html><head><title>T</title><body><p>Text</p></body>", b"<head><title>T</title><p>Text</p>", b"<head><meta x><style>p{}</style></head><p>Text</p>", b"<title>T</title><div>Text</div>"):
+        assert extract.html_text(page) == "Text", page
+
+
+def test_markdown_to_html():
+    text = """Title
+=====
+
+Some `a < b` and **bold** [link](http://u) ![pic](p.png)
+goes on
+
+- one
+  - inner *x*
+- two
+  more
+
+1. first
+2. second
+
+> quoted
+> text
+
+| a | b |
+|---|:-:|
+| 1 | `c` |
+
+```py
+x = "<y>"
+```
+---
+snake_case_name & <tag>"""
+    want = [
+        "<h1>Title</h1>",
+        '<p>Some <code>a &lt; b</code> and <strong>bold</strong> <a href="http://u">link</a> <img alt="pic" src="p.png"> goes on</p>',
+        "<ul><li>one<ul><li>inner <em>x</em></li></ul></li><li>two more</li></ul>",
+        "<ol><li>first</li><li>second</li></ol>",
+        "<blockquote><p>quoted text</p></blockquote>",
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><code>c</code></td></tr></table>",
+        '<pre><code>x = "&lt;y&gt;"</code></pre>',
+        "<hr>",
+        "<p>snake_case_name &amp; &lt;tag&gt;</p>",
+    ]
+    assert extract.markdown_text(text.encode(), "html").split("\n") == want
+
+
 @pytest.fixture(scope="module")
 def lib(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("lib") / "lib.sqlite"
@@ -175,12 +242,80 @@ def test_engine(spark, tmp_path):
     assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", tags=["t2"])).collect()} == {"b"}
     assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", year_min=2000)).collect()} == {"a", "c"}
     assert e.document("a")["path"] == "/x/a.md" and e.document("zz") is None and e.summarise("a")
+    assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", file_types=["md"])).collect()} == {"a", "b"}
+    assert [r["doc_id"] for r in e.advanced("cat* NOT sat").collect()] == ["b"] and e.status()["bytes"] > 0
+    groups = {r["basename"]: r["n_hits"] for r in e.grouped(SearchQuery("cat*", mode="keyword"), by="basename").collect()}
+    assert groups == {"a.md": 1, "b.md": 1}
     e.remove(spark.createDataFrame([("a",)], "doc_id string"))
-    assert e.search(SearchQuery("cat", mode="keyword")).count() == 0
+    assert e.search(SearchQuery("cat", mode="keyword")).count() == 0 and e.status()["total_chunks"] == e.chunks().count() == 2
+    spark.createDataFrame([("zz", 0, 0, "a cat unknown", ["a", "cat", "unknown"], [0.0] * 384)], e.chunks().schema).write.mode("append").parquet(f"{folder}/chunks")
+    assert [r["doc_id"] for r in e.search(SearchQuery("cat", mode="keyword", tags=["t9"])).collect()] == ["zz"]  # what the documents don't know passes
     with pytest.raises(ValueError):
         SearchQuery("x", mode="other")
 
 
+def test_index_is_reused_and_updated(spark, tmp_path):
+    kind = "doc_id string, text string, year int"
+    docs = spark.createDataFrame([("a", "one cat", 1), ("b", "two dogs", 2), ("c", "three", 3)], kind)
+    e = Engine(spark, str(tmp_path / "index"))
+    assert e.ensure(docs) == "built" and e.ensure(docs.repartition(3)) == "reused"
+    built = e.status()["built"]
+    new = spark.createDataFrame([("a", "one cat", 9), ("b", "two birds", 2), ("d", "four", 4)], kind)
+    assert e.ensure(new) == "updated" and e.ensure(new) == "reused" and e.status()["built"] > built
+    assert {(r["doc_id"], r["chunk_text"]) for r in e.chunks().collect()} == {("a", "one cat"), ("b", "two birds"), ("d", "four")}
+    assert {r["doc_id"]: r["year"] for r in e.documents().collect()} == {"a": 9, "b": 2, "d": 4}
+    assert e.ensure(new, size=200) == "built"
+    e.add(spark.createDataFrame([("d", "five", 5), ("e", "six", 6)], kind))
+    assert {r["chunk_text"] for r in e.chunks().collect()} == {"one cat", "two birds", "five", "six"} and e.status()["total_chunks"] == 4
+    e.flush()
+    assert e.status()["total_chunks"] == 0 and e.documents().count() == 0
+
+
+def test_an_unfinished_build_is_no_index(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "one cat")], "doc_id string, text string")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.build(docs)
+    monkeypatch.setattr(Engine, "_finish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.build(docs)
+    with pytest.raises(FileNotFoundError):
+        Engine.open(spark, e.folder)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skerry.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Notes\n\nAll about emergence here")
+    (tmp_path / "terms.ttl").write_text("")
+    config = tmp_path / "config.yaml"
+    config.write_text(f"input_folder: {tmp_path}/in\noutput_folder: {tmp_path}/index\nfile_types: [.md]\nembedding_model: md5-hash-64\nlib:\n  enabled: true\n  data_directory: {tmp_path}/none\n")
+    assert main(["index", str(config)]) == 0 and capsys.readouterr().out.startswith("built")
+    assert main(["index", str(config)]) == 0 and capsys.readouterr().out.startswith("reused")
+    with pytest.raises(ValueError, match="md5-hash-64"):
+        main(["search", f"{tmp_path}/index", "emergence"])
+    assert main(["search", f"{tmp_path}/index", "emergence", "--config", str(config)]) == 0 and "a.md" in capsys.readouterr().out
+
+
+def test_knn_batch_in_passes(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(k, [rnd.random() for _ in range(4)]) for k in range(60)]
+    v = spark.createDataFrame(rows, "id int, embedding array<float>")
+    q = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    one = sorted(map(tuple, rank.knn_batch(v, q, 3, ["id"]).collect()))
+    monkeypatch.setattr(rank, "MAX_QUERIES", 6)
+    assert sorted(map(tuple, rank.knn_batch(v, q, 3, ["id"]).collect())) == one and len(one) == 60
+
+
+def test_display_rank_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(facets, "RANGE_ROWS", 7)
+    rows = spark.range(100).select((F.col("id") * 37 % 50).alias("first"), F.concat(F.lit("p"), F.lpad("id", 3, "0")).alias("path"))
+    got = [(r["first"], r["path"]) for r in facets.display_rank(rows, "first", "path").orderBy("rank").collect()]
+    assert got == sorted(got) and [r["rank"] for r in facets.display_rank(rows, "first", "path").orderBy("rank").collect()] == list(range(1, 101))
+
+
 def test_knn_and_fusion(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id int, embedding array<float>")
     assert [r["id"] for r in rank.knn(v, [0.0, 1.0], 10, ["id"]).collect()] == [1, 3, 2]
