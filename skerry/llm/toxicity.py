@@ -13,7 +13,8 @@ the same channel and spaces dropped; the pieces are read as one word where their
 sample's clean documents make them unlikely (SPLIT_CHANCE) as words of their own.
 
 The classifier is fitted on a bounded sample: of the labelled rows outside the held-out fold,
-the MAX_TOXIC and MAX_CLEAN first ones by a hash of doc_id. A feature counts if it is in so many
+the MAX_TOXIC and MAX_CLEAN first ones by a hash of doc_id, of near copies about one each, so
+that a text copied often doesn't make signs of its words. A feature counts if it is in so many
 more toxic documents than chance explains (see :func:`choose_features`). The character model's
 counts cover every document.
 
@@ -31,26 +32,30 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import drop_materialized, materialize
+
 #: Bounds of the sample of labelled rows that the classifier is fitted on.
 MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
-#: Features that are looked up in clean documents, the most frequent of toxic ones first.
-MAX_CANDIDATES = 200_000
 PREFIXES = (3, 4, 5, 6)
+LEAST_LETTERS = 3
 #: Expected number of features that chance lets through.
 CHANCE = 5.0
 LEAST_LOG_ODDS = 1.5
 THRESHOLD = 0.3
 #: The score of a text where no classifier could be fitted.
 BASE = 0.02
-TOP = 6
 FOLD = 2
+#: Minima by which near copies in the sample are told.
+COPY_KEYS = 4
 #: Words whose weights a worker keeps.
 CACHE = 120_000
-BEAM = 24
+#: Characters of texts that are counted at once.
+CHUNK_CHARS = 1_000_000
 MAX_SPLIT = 40
 SPLIT_CHANCE = 1e-4
 
@@ -59,6 +64,12 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
+#: Letters of other scripts and widths that look like Latin ones.
+HOMOGLYPHS = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t",
+    "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+} | {chr(0xFF41 + k): chr(0x61 + k) for k in range(26)}
+LOOKALIKES |= HOMOGLYPHS
 _SEPARATORS = set(".-_*~'`^,:;/\\=#%&\"")
 _SIZE = 96
 
@@ -81,13 +92,31 @@ def char_class(c: str) -> int:
     return int(_CLASS[ord(c)]) if ord(c) < 0x250 else 0
 
 
+def _chunks(texts):
+    """Lists of texts of about CHUNK_CHARS characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _trigram_batches(batches):
     total = np.zeros(_SIZE**3, np.int64)
+
+    def count(texts: list[str]) -> None:
+        cps = np.frombuffer("\0\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = _CLASS[np.where(cps < 0x250, cps, 0)]
+        where, n = np.unique((codes[:-2] * _SIZE + codes[1:-1]) * _SIZE + codes[2:], return_counts=True)
+        total[where] += n
+
     for batch in batches:
-        for text in batch.column(0):
-            cps = np.frombuffer((text.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4")
-            codes = np.concatenate(([0, 0], _CLASS[np.where(cps < 0x250, cps, 0)], [0]))
-            np.add.at(total, (codes[:-2] * _SIZE + codes[1:-1]) * _SIZE + codes[2:], 1)
+        for part in _chunks(t.as_py() or "" for t in batch.column(0)):
+            count(part)
     where = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], names=["code", "n"])
 
@@ -120,6 +149,7 @@ def _edges(word: str) -> list[list[tuple[str, float]]]:
             options += [("", -0.5), (" ", -0.3)]
         elif c.isalpha():
             options.append((c, -0.1))
+            options += [(x, -0.7) for x in LOOKALIKES.get(c, "")]
             if i and word[i - 1] == c:
                 options.append(("", -0.7))
         else:
@@ -149,7 +179,7 @@ def decode(word: str, model: np.ndarray) -> str:
                     to, v = key % _SIZE * _SIZE + k, value + cost + logs[key * _SIZE + k]
                 if to not in after or after[to][0] < v:
                     after[to] = (v, (chain, char) if char else chain)
-        states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM]) if len(after) > BEAM else after
+        states = after
     chain = max(states.items(), key=lambda x: x[1][0] + (logs[x[0] * _SIZE] if x[0] % _SIZE else 0.0))[1][1]
     out = []
     while chain:
@@ -162,8 +192,13 @@ def decode(word: str, model: np.ndarray) -> str:
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*]+[^\W_@$!](?![^\s.\-_*])){3,}(?!\S)|(?<!\S)[^\W\d_](?:[\s.\-_*]+[\w@$!](?![^\s.\-_*])){3,}(?!\S)")
 _GAPS = re.compile(r"[\s.\-_*]+")
 _TRAIL = re.compile(r"([%&#*$!|?.<>])\1{1,}[.,]?$")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£¡]+|([^\W\d_])\1|[^\W\d_][.\-_*~'`^,:;/\\=#%&\"]+[^\W\d_]")
+_DISGUISED = re.compile("[" + "".join(HOMOGLYPHS) + r"]|[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£¡]+|([^\W\d_])\1|[^\W\d_][.\-_*~'`^,:;/\\=#%&\"]+[^\W\d_]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: Signs that end words and stand for nothing else.
+_PLAIN = ".,;:?\"'"
+_DOUBLED = re.compile(r"(.)\1")
+#: Letters of Latin-1 twice, for an engine without back references.
+_TWINS = "|".join(chr(c) * 2 for c in range(0x100) if chr(c).isalpha() and chr(c).lower() == chr(c))
 
 
 def restore_word(word: str, model: np.ndarray) -> str:
@@ -195,11 +230,11 @@ def word_features(word: str, model: np.ndarray) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    return [word + "$", *[word[:k] for k in PREFIXES if len(word) > k]] if len(word) > 2 else []
+    return [word + "$", *[word[:k] for k in PREFIXES if len(word) > k]] if len(word) >= LEAST_LETTERS else []
 
 
 class Scorer:
-    """Measures and scores texts, with a bounded cache of the weights of words.
+    """Measures and scores texts, with a bounded cache of what is known of words.
 
     ``weights``: log odds of features; ``final``: slopes of the measures, the constant, and
     the measures' least and largest values in the sample (none: no score); ``pieces``: the share
@@ -208,11 +243,23 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], final: tuple | None = None, pieces: dict[str, float] | None = None):
         self.model, self.weights, self.final, self.pieces = model, weights, final, pieces or {}
-        self.cache: dict[str, tuple[float, bool]] = {}
+        self.cache: dict[str, tuple] = {}
         self.signs = whole_signs(weights) if pieces else set()
         self.beginnings = {w[:k] for w in self.signs for k in range(1, len(w) + 1)}
+        #: The first letters that any feature has.
+        self.heads = {f[:LEAST_LETTERS] for f in weights}
         self.ends = {f.removesuffix("$") for f in weights}
         self.toward = {f[:k] for f in self.ends for k in range(1, len(f) + 1)}
+        self._starts = pa.array(sorted(self.heads | {b[:LEAST_LETTERS] for b in self.beginnings}), pa.string())
+
+    def telling(self, words: list[str]) -> list[str]:
+        """The words that may have a weight or begin a sign: all but those of Latin-1 letters whose readings all begin alike, and as no feature or sign does."""
+        given = pa.array(words, pa.string())
+        core = pc.utf8_rtrim(pc.utf8_lower(given), _PLAIN)
+        head = pc.utf8_slice_codeunits(core, 0, LEAST_LETTERS)
+        kept = pc.or_(pc.invert(pc.utf8_is_alpha(core)), pc.is_in(head, value_set=self._starts))
+        kept = pc.or_(kept, pc.or_(pc.match_substring_regex(head, _TWINS), pc.match_substring_regex(core, r"[^\x{00}-\x{ff}]")))
+        return given.filter(kept).to_pylist()
 
     def reaches(self, low: str) -> bool:
         """Whether any path of the lattice has a feature with a weight; if not, decoding can't change the weight."""
@@ -235,14 +282,23 @@ class Scorer:
         fs = features(_EDGES.sub("", low)) if not (_DISGUISED.search(low) and self.reaches(low)) else word_features(word, self.model)
         return max((self.weights[f] for f in fs if f in self.weights), default=0.0)
 
-    def starts(self, token: str) -> bool:
-        """Whether a token may be the beginning of a sign that goes on in the next one."""
-        if not self.signs:
-            return False
-        two = token[:2].lower()
-        if len(two) == 2 and two.isalpha() and two[0] != two[1] and two not in self.beginnings:
-            return False
-        return bool(self.walk({""}, token))
+    def known(self, word: str) -> tuple:
+        """Of a word: its weight, the beginnings of signs that it may be (or None), its share if it may be one, and its letters if the lattice has one path."""
+        core = word.lower().rstrip(_PLAIN)
+        if core.isalpha() and (core.isascii() or HOMOGLYPHS.keys().isdisjoint(core)):
+            doubled = _DOUBLED.search(core)
+            if not doubled:  # nothing to decode
+                weights = self.weights
+                best = max((weights[f] for f in features(core) if f in weights), default=0.0) if core[:LEAST_LETTERS] in self.heads else 0.0
+                return (best, {core}, self.share(word), core) if core in self.beginnings else (best, None, 1.0, core) if best else (0.0, None, 1.0, core)
+            if doubled.start() >= LEAST_LETTERS - 1:  # all readings begin alike
+                best = self.weight(word) if core[:LEAST_LETTERS] in self.heads else 0.0
+                nodes = self.walk({""}, word) if core[:LEAST_LETTERS] in self.beginnings else None
+                return (best, nodes, self.share(word), None) if nodes else (best, None, 1.0, None)
+        best, two = self.weight(word), core[:2]
+        plain = len(two) == 2 and two[0] != two[1] and two.isalpha() and two.isascii()
+        nodes = self.walk({""}, word) if self.signs and not (plain and two not in self.beginnings) else None
+        return (best, nodes, self.share(word), None) if nodes else (best, None, 1.0, None)
 
     def words(self, text: str) -> set[str]:
         own = set(text.split())
@@ -264,52 +320,89 @@ class Scorer:
                 break
         return nodes - {""}
 
-    def split_signs(self, tokens: list[str]) -> set[str]:
-        """The signs that lie in pieces over two or more tokens, and are unlikely as words of their own."""
-        found = set()
-        begin = {w: (self.walk({""}, w), self.share(w)) for w in set(tokens) if (self.cache[w][1] if w in self.cache else self.starts(w))}
-        for i in [i for i, w in enumerate(tokens) if w in begin]:
-            (nodes, chance), k = begin[tokens[i]], i + 1
-            while nodes and k < len(tokens):
-                nodes = self.walk(nodes, tokens[k])
-                chance *= self.share(tokens[k])
-                k += 1
-                if chance < SPLIT_CHANCE:
-                    found |= nodes & self.signs
+    def split_signs(self, tokens: list[str], known: dict[str, tuple]) -> set[str]:
+        """The signs that lie in pieces over two or more tokens, and are unlikely as words of their own.
+
+        ``known``: what :meth:`known` says of the telling ones. Linear in the tokens: paths that meet in one beginning go on as one.
+        """
+        found: set[str] = set()
+        active: dict[str, float] = {}  # beginnings of signs that end with the last token, and the least chance of their pieces
+        for token in tokens:
+            got = known.get(token)
+            if got is None:
+                if not active:
+                    continue
+                core = token.lower().rstrip(_PLAIN)
+                begin, own, plain = None, 1.0, None if _DOUBLED.search(core) else core
+            else:
+                _, begin, own, plain = got
+                if not active and not begin:
+                    continue
+            after: dict[str, float] = {}
+            for p, chance in active.items():
+                if plain is not None and p[-1] != plain[0]:
+                    nodes = (p + plain,) if p + plain in self.beginnings else ()
+                elif token[0].isalpha() and token[0].isascii() and (x := token[0].lower()) != p[-1] and p + x not in self.beginnings:
+                    nodes = ()
+                else:
+                    nodes = self.walk({p}, token)
+                for q in nodes:
+                    c = chance * self.share(token)
+                    if c < after.get(q, 2.0):
+                        after[q] = c
+                        if c < SPLIT_CHANCE and q in self.signs:
+                            found.add(q)
+            for q in begin or ():
+                after[q] = min(own, after.get(q, 2.0))
+            active = after
         return found
 
     def share(self, token: str) -> float:
         piece = _EDGES.sub("", token.lower())
         return self.pieces.get(piece, self.pieces[""]) if piece else 1.0
 
-    def measures(self, text: str | None) -> list[float]:
-        """Of the distinct words: the largest weight, the sum of the TOP largest, how many have one, that by the
-        square root of all, and the logarithm of all."""
-        signs, cache, own, cut = [], self.cache, self.words(text or ""), False
-        for w in own:
+    def measures_of(self, texts: list[str]) -> list[list[float]]:
+        """Of each text's distinct words: the largest weight, the logarithms of the sum of weights and of how many have one,
+        their number by the square root of all, and the logarithm of all."""
+        cache, words = self.cache, [self.words(t) for t in texts]
+        known: dict[str, tuple] = {}
+        for w in self.telling(list(set().union(*words))) if words else ():
             got = cache.get(w)
             if got is None:
-                got = self.weight(w), self.starts(w)
+                got = self.known(w)
                 if len(cache) > CACHE:
                     cache.clear()
                 if len(w) <= 64:
                     cache[w] = got
-            cut |= got[1]
-            if got[0]:
-                signs.append(got[0])
-        if cut:
-            signs += [self.weights[w + "$"] for w in self.split_signs(text.split())]
-        signs.sort(reverse=True)
-        n = len(own) + 1
-        return [max(signs, default=0.0), sum(signs[:TOP]), min(len(signs), 50), len(signs) / math.sqrt(n), math.log(n)]
+            if got[0] or got[1] or got[3] is None:
+                known[w] = got
+        out = []
+        for text, own in zip(texts, words, strict=True):
+            mine = [known[w] for w in own if w in known]
+            signs = [got[0] for got in mine if got[0]]
+            if any(got[1] for got in mine):
+                signs += [self.weights[w + "$"] for w in self.split_signs(text.split(), known)]
+            n = len(own) + 1
+            out.append([max(signs, default=0.0), math.log1p(math.fsum(signs)), math.log1p(len(signs)), len(signs) / math.sqrt(n), math.log(n)])
+        return out
+
+    def measures(self, text: str | None) -> list[float]:
+        return self.measures_of([text or ""])[0]
 
     def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
         if not self.final:
-            return BASE
+            return [BASE] * len(texts)
         slopes, constant, low, high = self.final
-        # Measures beyond those of the sample count as its extremes.
-        total = constant + sum(a * min(max(x, lo), hi) for a, x, lo, hi in zip(slopes, self.measures(text), low, high, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(total, 30.0))))
+        out = []
+        for part in _chunks([t or "" for t in texts]):
+            for measures in self.measures_of(part):
+                # Measures beyond those of the sample count as its extremes.
+                total = constant + math.fsum(a * min(max(x, lo), hi) for a, x, lo, hi in zip(slopes, measures, low, high, strict=True))
+                out.append(1 / (1 + math.exp(-max(-30.0, min(total, 30.0)))))
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple:
@@ -365,8 +458,8 @@ def _counted(sent_model, only):
     """(toxic, text) -> documents of each class that hold each feature (of ``only``, if given)."""
 
     def run(batches):
-        scorer = Scorer(sent_model.value, {})
         wanted = only.value if only is not None else None
+        scorer = Scorer(sent_model.value, dict.fromkeys(wanted or (), 1.0))
         count: Counter = Counter()
         known: dict[str, list[str]] = {}
         for batch in batches:
@@ -375,7 +468,8 @@ def _counted(sent_model, only):
                 for w in scorer.words(text.as_py() or ""):
                     fs = known.get(w)
                     if fs is None:
-                        fs = word_features(w, scorer.model)
+                        # Where only some features count, decoding is left out for words that reach none of them.
+                        fs = word_features(w, scorer.model) if wanted is None or scorer.weight(w) else []
                         if wanted is not None:
                             fs = [f for f in fs if f in wanted]
                         if len(known) > CACHE:
@@ -388,6 +482,35 @@ def _counted(sent_model, only):
     return run
 
 
+def _copy_keys(batches):
+    """(doc_id, toxic, text) -> COPY_KEYS minima over the text's 3-word shingles."""
+    import xxhash
+
+    flips = np.random.default_rng(FOLD).integers(0, 1 << 63, (COPY_KEYS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        keys = []
+        for text in batch.column(2):
+            words = text.as_py().lower().split()
+            n = max(1, len(words) - 2)
+            low = np.full(COPY_KEYS, ~np.uint64(0))
+            for at in range(0, n, 1 << 14):
+                h = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(at, min(n, at + (1 << 14)))), np.uint64)
+                low = np.minimum(low, ((h ^ (h >> np.uint64(29))) * flips).min(axis=1))
+            keys.append(low.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "toxic", "keys"])
+
+
+def without_copies(rows: list[tuple[int, int, list[int]]]) -> list[int]:
+    """Of documents (doc_id, toxic, keys), one for each key and class, key by key: of a group of near copies hardly more than one is left."""
+    rows = sorted(rows)
+    for k in range(COPY_KEYS):
+        first: dict[tuple[int, int], tuple] = {}
+        for r in rows:
+            first.setdefault((r[1], r[2][k]), r)
+        rows = list(first.values())
+    return [r[0] for r in rows]
+
+
 def log_odds(t: float, c: float, n_toxic: int, n_clean: int) -> float:
     return math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
 
@@ -418,7 +541,10 @@ def _measured(sent):
         model, weights, pieces = sent.value
         scorers = {k: Scorer(model, weights[k], None, pieces) for k in (0, 1)}
         for batch in batches:
-            rows = [[float(k), *scorers[k].measures(t.as_py())] for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            rows = []
+            for k, scorer in scorers.items():
+                for part in _chunks(t.as_py() or "" for of, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if of == k):
+                    rows += [[float(k), *m] for m in scorer.measures_of(part)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 
@@ -433,7 +559,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    each = materialize(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))  # one text for each id of the sample
+    keyed = each.mapInArrow(_copy_keys, "doc_id long, toxic int, keys array<long>").collect()  # a row for each id of the sample
+    once = spark.createDataFrame([(i,) for i in without_copies([tuple(r) for r in keyed])], "doc_id long")
+    texts = materialize(each.join(F.broadcast(once), "doc_id"))
+    drop_materialized(each)
     sent = spark.sparkContext.broadcast(model)
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -441,9 +572,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     def count(rows: DataFrame, only=None) -> DataFrame:
         return rows.select("text").mapInArrow(_counted(sent, only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    found = count(texts.where("toxic = 1")).where("n >= 3").orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES)
+    found = count(texts.where("toxic = 1")).where("n >= 3")
     toxic = {r["feature"]: r["n"] for r in found.collect()}
     if not toxic:
+        drop_materialized(texts)
         return model, {}, None, {}
     wanted = spark.sparkContext.broadcast(set(toxic))
     clean = {r["feature"]: r["n"] for r in count(texts.where("toxic = 0"), wanted).collect()}
@@ -457,6 +589,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     without = {1: {f: max(0.0, log_odds(t - 1, c, n_toxic, n_clean)) for f, (t, c) in chosen.items()}, 0: {f: log_odds(t, max(0, c - 1), n_toxic, n_clean) for f, (t, c) in chosen.items()}}
     sent = spark.sparkContext.broadcast((model, without, pieces))
     rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(_measured(sent), "row array<double>").collect()])
+    drop_materialized(texts)
     return model, weights, logistic(rows[:, 1:], rows[:, 0]), pieces
 
 
@@ -471,7 +604,7 @@ def score_column(docs: DataFrame, text: Column, fitted: tuple) -> Column:
         import pandas as pd
 
         scorer = _scorer(sent)
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        return pd.Series(scorer.scores(list(texts)), dtype="float64")
 
     return score(text.cast("string"))
 
