@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Documents whose summaries one summary is made of.
+SUMMARISED = 1_000
+
+
 def any_of(column: str, wanted: list[str] | None) -> Column:
     """Any requested value is there; no request lets everything pass (FIL-1, FIL-2)."""
     return F.arrays_overlap(F.coalesce(F.col(column), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in wanted])) if wanted else F.lit(True)
@@ -129,3 +133,17 @@ def summarise(text: str, query: str | None = None, sentences: int = 3, max_words
     best = sorted(sorted(range(len(parts)), key=lambda i: (-value(parts[i]), i))[:sentences])
     words = " ".join(parts[i] for i in best).split()
     return " ".join(words[:max_words])
+
+
+def summarise_many(docs: DataFrame, query: str | None = None, sentences: int = 3, max_words: int = 150, text: str = "text") -> str:
+    """One extractive summary of many documents (SP-11): each is summarised where it is, then the summaries of the SUMMARISED first by their order are."""
+    from pyspark.sql import types as types
+
+    @F.pandas_udf(types.StringType())
+    def each(texts):
+        import pandas as pd
+
+        return pd.Series([summarise(t or "", query, sentences, max_words) for t in texts])
+
+    rows = docs.limit(SUMMARISED).select(each(text).alias("s")).collect()
+    return summarise("\n".join(r["s"] for r in rows), query, sentences, max_words)

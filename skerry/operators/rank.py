@@ -52,6 +52,62 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, ids: list[str], qu
     return found
 
 
+#: Vectors on which the lists' centres are fitted.
+IVF_SAMPLE = 20_000
+
+
+def ivf_centres(vectors: DataFrame, lists: int, ids: list[str], vector: str = "embedding", rounds: int = 8) -> list[list[float]]:
+    """Centres of the lists of an inverted-file index (VEC-4): Lloyd's rounds on the IVF_SAMPLE first vectors by a hash of their ids."""
+    import numpy as np
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(vector, F.xxhash64(*ids).alias("_h"), *ids).orderBy("_h", *ids).limit(IVF_SAMPLE)
+    x = np.array([r[0] for r in rows.select(vector).collect()], np.float64)
+    if not len(x):
+        return []
+    centres = np.unique(x[: 4 * lists], axis=0)[:: max(1, len(np.unique(x[: 4 * lists], axis=0)) // lists)][:lists]
+    for _ in range(rounds):
+        nearest = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
+        centres = np.array([x[nearest == k].mean(0) if (nearest == k).any() else c for k, c in enumerate(centres)])
+    return centres.tolist()
+
+
+def ivf_index(vectors: DataFrame, centres: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """Every row with its ``list`` (the nearest centre) and its distance from it; written ``partitionBy("list")``, a search reads the lists it needs."""
+    @F.pandas_udf("list int, off double")
+    def assign(batch):
+        import numpy as np
+        import pandas as pd
+
+        c = np.array(centres, np.float64)
+        x = np.array(batch.tolist(), np.float64).reshape(len(batch), -1)
+        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+        k = d.argmin(1)
+        return pd.DataFrame({"list": k.astype("int32"), "off": np.sqrt(((x - c[k]) ** 2).sum(1))})
+
+    return vectors.where(F.col(vector).isNotNull()).withColumn("_a", assign(vector)).select("*", "_a.list", "_a.off").drop("_a")
+
+
+def ivf_knn(index: DataFrame, centres: list[list[float]], query: list[float], k: int, ids: list[str], vector: str = "embedding", probes: int = 4, exact: bool = True) -> DataFrame:
+    """The k nearest rows from the ``probes`` nearest lists, ranked by their full vectors (VEC-4).
+
+    With ``exact``, further lists follow that could hold a nearer row: those whose centre's distance, less the list's
+    radius, is within the k-th distance found. Lists of a bounded number have their radii gathered.
+    """
+    import math
+
+    away = [math.dist(query, c) for c in centres]
+    order = sorted(range(len(centres)), key=away.__getitem__)
+    chosen = order[:probes]
+    first = knn(index.where(F.col("list").isin(chosen)), query, k, ids, vector)
+    if not exact or len(chosen) == len(order):
+        return first
+    found = [r["distance"] for r in first.collect()]
+    reach = math.sqrt(max(found)) + 1e-6 if len(found) == k else math.inf
+    radius = {r["list"]: r["r"] for r in index.groupBy("list").agg(F.max("off").alias("r")).collect()}
+    more = [c for c in order if c in radius and (c in chosen or away[c] - radius[c] <= reach)]
+    return knn(index.where(F.col("list").isin(more)), query, k, ids, vector) if len(more) > len(chosen) else first
+
+
 def quantise(vector: Column) -> Column:
     """Struct of scale and bytes: 127 steps up to the largest magnitude (SP-9)."""
     top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))

@@ -275,6 +275,14 @@ def knn_l2(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, 10).select("vec_id", "distance")
 
 
+@query(f"SELECT vec_id, round(pow(array_distance(embedding::DOUBLE[64], q), 2), 6) AS distance FROM embeddings, {_Q0} ORDER BY 2, 1 LIMIT 10")
+def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
+    v = _t(spark, d, "embeddings")
+    centres = rank.ivf_centres(v, 32, ["vec_id"])
+    near = rank.ivf_knn(rank.ivf_index(v, centres), centres, _first_vector(spark, d), 20, ["vec_id"]).withColumn("distance", F.round("distance", 6))
+    return near.orderBy("distance", "vec_id").limit(10).select("vec_id", "distance")
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[64] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, round(pow(array_distance(embedding::DOUBLE[64], qv), 2), 6) AS distance FROM embeddings, q)
 SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM s QUALIFY rank <= 10""")

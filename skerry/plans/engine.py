@@ -237,6 +237,42 @@ class Engine:
             raise KeyError(doc_id)
         return facets.summarise(found["text"], query)
 
+    def summarise_hits(self, q: SearchQuery) -> str:
+        """One summary of the documents that a search finds, driven by its query (SP-11)."""
+        hits = self.search(q).select("doc_id").distinct()
+        return facets.summarise_many(self.documents().join(hits, "doc_id", "left_semi").orderBy("doc_id"), q.query)
+
+    def save_search(self, name: str, q: SearchQuery, parent: str | None = None) -> None:
+        """Keep a search under a name, and under another one if given (SP-15); the last one of a name counts."""
+        if parent is not None and parent not in {r["name"] for r in self.saved_searches().collect()}:
+            raise KeyError(parent)
+        row = self.spark.range(1).select(F.lit(name).alias("name"), F.lit(parent).cast("string").alias("parent"), F.lit(json.dumps(asdict(q))).alias("query"), F.current_timestamp().cast("string").alias("saved"))
+        row.write.mode("append").json(f"{self.folder}/searches")
+
+    def saved_searches(self) -> DataFrame:
+        """name, parent, path (names from the top, joined by slashes) and query of the saved searches."""
+        fs, path = self._path("searches")
+        schema = "name string, parent string, query string, saved string"
+        rows = self.spark.read.schema(schema).json(f"{self.folder}/searches") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        last = rows.groupBy("name").agg(F.max_by("parent", "saved").alias("parent"), F.max_by("query", "saved").alias("query"))
+        up = {r["name"]: r["parent"] for r in last.select("name", "parent").collect()}  # as many as someone has saved
+
+        def path_of(name: str) -> str:
+            names: list[str] = []
+            while name is not None and name not in names:
+                names.append(name)
+                name = up.get(name)
+            return "/".join(reversed(names))
+
+        paths = self.spark.createDataFrame([(n, path_of(n)) for n in up], "name string, path string")
+        return last.join(paths, "name").select("name", "parent", "path", "query").orderBy("path")
+
+    def search_saved(self, name: str) -> DataFrame:
+        row = self.saved_searches().where(F.col("name") == name).first()
+        if row is None:
+            raise KeyError(name)
+        return self.search(SearchQuery(**json.loads(row["query"])))
+
     def options(self) -> DataFrame:
         return facets.filter_options(self.documents())
 

@@ -71,3 +71,14 @@ def documents(spark: SparkSession, folder: str, file_types: list[str], markup: s
     """Files with text, as doc_id, source, path, text (FIL-7)."""
     got = extract(scan(spark, folder, file_types), markup).where(~T.is_blank(F.col("text")))
     return got.select(F.concat(F.lit("file:"), F.regexp_replace("path", "^file:/*", "/")).alias("doc_id"), F.lit("file").alias("source"), "path", "text")
+
+
+def pages(table: DataFrame) -> DataFrame:
+    """Documents of a table of fetched web pages (url string, html string), as doc_id, source, path, text (SP-18)."""
+
+    def run(batches):
+        for part in batches:
+            yield part[["url"]].assign(text=[extract_text("page.html", (h or "").encode("utf-8", "replace"))[0] for h in part["html"]])
+
+    got = table.where("url IS NOT NULL").select("url", "html").mapInPandas(run, "url string, text string").where(~T.is_blank(F.col("text")))
+    return got.select(F.concat(F.lit("page:"), "url").alias("doc_id"), F.lit("web").alias("source"), F.col("url").alias("path"), "text")

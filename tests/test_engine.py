@@ -254,6 +254,40 @@ def test_engine(spark, tmp_path):
         SearchQuery("x", mode="other")
 
 
+def test_saved_searches_and_summaries(spark, tmp_path):
+    pages = spark.createDataFrame([("http://a", "<head><title>T</title><body><p>Cats sleep all day. Dogs bark.</p>"), ("http://b", "<p>Cats eat. Cats purr.</p>"), ("http://c", ""), (None, "x")], "url string, html string")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.build(files.pages(pages))
+    assert {(r["doc_id"], r["source"]) for r in e.documents().collect()} == {("page:http://a", "web"), ("page:http://b", "web")}
+    assert e.saved_searches().count() == 0
+    e.save_search("animals", SearchQuery("cats", mode="keyword"))
+    e.save_search("dogs", SearchQuery("dogs", mode="keyword"), parent="animals")
+    assert [r["path"] for r in e.saved_searches().collect()] == ["animals", "animals/dogs"]
+    assert [r["path"] for r in e.search_saved("dogs").collect()] == ["http://a"]
+    with pytest.raises(KeyError):
+        e.search_saved("none")
+    with pytest.raises(KeyError):
+        e.save_search("x", SearchQuery("y"), parent="none")
+    assert "Cats" in e.summarise_hits(SearchQuery("cats", mode="keyword")) and e.summarise_hits(SearchQuery("zebra", mode="keyword")) == ""
+
+
+def test_inverted_file_index(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, [rnd.gauss(k % 6 * 2.0, 1) for _ in range(8)]) for k in range(600)] + [(1000, None)]
+    v = spark.createDataFrame(rows, "id int, embedding array<float>")
+    centres = rank.ivf_centres(v, 12, ["id"])
+    index = rank.ivf_index(v, centres).cache()
+    assert index.count() == 600 and 6 <= len(centres) <= 12
+    hit = 0
+    for q in range(0, 600, 100):
+        want = [r["id"] for r in rank.knn(v.where("embedding IS NOT NULL"), rows[q][1], 10, ["id"]).collect()]
+        assert [r["id"] for r in rank.ivf_knn(index, centres, rows[q][1], 10, ["id"], probes=2).collect()] == want
+        hit += len({r["id"] for r in rank.ivf_knn(index, centres, rows[q][1], 10, ["id"], probes=4, exact=False).collect()} & set(want))
+    assert hit >= 54  # recall of 0.9 without the exact step
+
+
 def test_index_is_reused_and_updated(spark, tmp_path):
     kind = "doc_id string, text string, year int"
     docs = spark.createDataFrame([("a", "one cat", 1), ("b", "two dogs", 2), ("c", "three", 3)], kind)
