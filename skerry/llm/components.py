@@ -4,7 +4,7 @@ Each round orders the nodes anew (by their bits against a key of the round), map
 the first of itself and its neighbours, contracts the links by that map, and writes the rest to
 the shared folder. As the order changes, a path whose numbers ascend is halved a round, not
 followed link by link. The maps are composed at the end. The map is an aggregation with map-side
-combine; the links move by equi-joins, where those of a hub share a key, which Spark's skew join
+combine (callers delete the rounds' tables by :func:`.common.scratch`); the links move by equi-joins, where those of a hub share a key, which Spark's skew join
 divides (each round leaves a hub fewer of them).
 
 Defined results: links with a null end are ignored; repeated links and loops count for nothing;
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import materialize
 
 
 def _round_key(k: int) -> int:
@@ -41,11 +41,9 @@ def components(links: DataFrame) -> DataFrame:
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = rest.join(left, "a").join(right, "b").where("ra <> rb")
         smaller = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        drop_materialized(rest)
         rest = smaller
         if rest.isEmpty():
             break
-    drop_materialized(rest)
     roots = maps[-1]
     for step in reversed(maps[:-1]):
         later = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words
+from .common import let, materialize, scratch, words
 
 SAMPLES = 64
 #: Documents aimed at in each range of the order, and ranges at most.
@@ -157,7 +157,8 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     ids = materialize(base.groupBy("did", "th", "doc_id").agg(F.count("*").alias("m"), F.max(F.char_length("text")).cast("long").alias("n")))
-    beside = materialize(neighbours(ids.groupBy("did", "th").agg(F.max("n").alias("n"))))
+    with scratch() as keep:
+        beside = keep(materialize(neighbours(ids.groupBy("did", "th").agg(F.max("n").alias("n")))))
     keyed = base.select("did", "th", "text").join(beside, ["did", "th"])
     heads = keyed.select(F.col("prev_did").alias("did"), F.col("prev_th").alias("th"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head")).dropDuplicates(["did", "th"])
     both = keyed.select("did", "th", "text", "n").join(heads, ["did", "th"])

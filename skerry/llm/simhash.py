@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import materialize
+from .common import materialize, scratch
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -261,7 +261,8 @@ def components_of(found: DataFrame, max_diff: int = MAX_DIFF, max_bucket: int =
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_diff: int = MAX_DIFF) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     found = materialize(fingerprints(docs, shingle_words))
-    named = components_of(found, max_diff)
+    with scratch() as keep:
+        named = keep(materialize(components_of(found, max_diff)))
     return found.join(named, "fp", "left").select("doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -273,5 +274,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     name = "_skerry_row"
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row").alias(name)))
-    kept = near_copies.groups(docs).groupBy("root").agg(first.alias("first")).select(f"first.{name}")
+    with scratch() as keep:
+        kept = keep(materialize(near_copies.groups(docs).groupBy("root").agg(first.alias("first")).select(f"first.{name}")))
     return near_copies.with_row(docs, name).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, scratch
 
 WINDOW = 50
 ANCHOR = 8
@@ -367,14 +367,17 @@ def _flat(spans):
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_group: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row."""
-    spans = materialize(removed_spans(docs, window, anchor, max_group))
+    with scratch() as keep:
+        spans = keep(materialize(removed_spans(docs, window, anchor, max_group)))
     joined = _with_side(keyed(docs), spans, "spans", "left")
     return joined.select("doc_id", _cut("text", _flat(F.col("spans"))).alias("c")).select("doc_id", "c.*")
 
 
 def apply(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents with repeated passages removed; documents that lose nothing keep their text as it is, those that lose all go."""
-    spans = materialize(removed_spans(docs, window, anchor)).select(F.col("doc_id").alias("_skerry_id"), F.col("th").alias("_skerry_th"), "spans")
+    with scratch() as keep:
+        spans = keep(materialize(removed_spans(docs, window, anchor)))
+    spans = spans.select(F.col("doc_id").alias("_skerry_id"), F.col("th").alias("_skerry_th"), "spans")
     spans = spans.select("_skerry_id", "_skerry_th", _flat(F.col("spans")).alias("_skerry_spans"))
     joined = docs.join(spans, (docs["doc_id"] == F.col("_skerry_id")) & (F.xxhash64(docs["text"]) == F.col("_skerry_th")), "left")
     cut = F.when(F.col("_skerry_spans").isNotNull(), _cut(docs["text"], F.col("_skerry_spans"))["kept"]).otherwise(docs["text"])

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_materialized, materialize
+from .common import materialize, scratch
 
 #: Bounds of the sample of labelled rows that the classifier is fitted on.
 MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
@@ -564,7 +564,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     keyed = each.mapInArrow(_copy_keys, "doc_id long, toxic int, keys array<long>").collect()  # a row for each id of the sample
     once = spark.createDataFrame([(i,) for i in without_copies([tuple(r) for r in keyed])], "doc_id long")
     texts = materialize(each.join(F.broadcast(once), "doc_id"))
-    drop_materialized(each)
     sent = spark.sparkContext.broadcast(model)
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -575,7 +574,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     found = count(texts.where("toxic = 1")).where("n >= 3")
     toxic = {r["feature"]: r["n"] for r in found.collect()}
     if not toxic:
-        drop_materialized(texts)
         return model, {}, None, {}
     wanted = spark.sparkContext.broadcast(set(toxic))
     clean = {r["feature"]: r["n"] for r in count(texts.where("toxic = 0"), wanted).collect()}
@@ -589,7 +587,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     without = {1: {f: max(0.0, log_odds(t - 1, c, n_toxic, n_clean)) for f, (t, c) in chosen.items()}, 0: {f: log_odds(t, max(0, c - 1), n_toxic, n_clean) for f, (t, c) in chosen.items()}}
     sent = spark.sparkContext.broadcast((model, without, pieces))
     rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(_measured(sent), "row array<double>").collect()])
-    drop_materialized(texts)
     return model, weights, logistic(rows[:, 1:], rows[:, 0]), pieces
 
 
@@ -611,13 +608,15 @@ def score_column(docs: DataFrame, text: Column, fitted: tuple) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    fitted = fit(docs, labels)
+    with scratch():
+        fitted = fit(docs, labels)
     got = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(docs, F.col("text"), fitted).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with their columns."""
-    fitted = fit(docs, labels)
+    with scratch():
+        fitted = fit(docs, labels)
     name = "_skerry_toxicity"
     return docs.withColumn(name, score_column(docs, docs["text"], fitted)).where(F.col(name) < THRESHOLD).drop(name)

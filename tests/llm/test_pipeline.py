@@ -1,13 +1,17 @@
 """The pipeline's stages against what their operators say, on small tables."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skerry.llm import near_copies, quality_rules, simhash
+from skerry.llm import near_copies, packing, quality_rules, simhash
 
 from .conftest import prose
+from .test_operators import brute_dedup, brute_quality
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +25,47 @@ def folder(spark, tmp_path_factory):
     return out
 
 
+def brute_rules(text):
+    """The text without failing lines, or None for a rejected one, in plain Python."""
+    n, *_, failed = brute_quality(text)
+    lines, lost = [], 0
+    for line in (text or "").split("\n"):
+        words = line.split()
+        share = lambda signs, line=line: 100 * sum(c in signs for c in line)
+        bad = words and (
+            share("#*$%&|<>") > 20 * len(words) or share("|»›•·→") > 15 * len(words) or 100 * len(re.findall("[!?][!?]", line)) > 30 * len(words)
+            or re.search(r"(\.\.\.|…)\s*\Z", line) or (len(words) <= 30 and any(p in line.lower() for p in quality_rules.BOILERPLATE))
+        )
+        if bad:
+            lost += len(words)
+        else:
+            lines.append(line)
+    return None if failed or 100 * lost > 30 * n else "\n".join(lines)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows, columns with clashing names, one very long text; and no rows at all."""
+    base = [(k, prose(5000 + k, 100)) for k in range(40)]
+    odd = [(None, prose(5100, 80)), (None, prose(5101, 80)), (None, None), (3, prose(5102, 80)), (4, base[4][1]), (50, ""), (51, None), (52, prose(5103, 30_000)), (53, base[5][1])]
+    docs = [(i, t, "en", "s", 0, "a", 1, 2.0, "b") for i, t in base + odd]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, root string, row int, score double, spans string"
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(docs, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = [r for r in got if r["piece"] == 0]
+    assert sum(r["doc_id"] is None for r in whole) == 2 and {r["doc_id"] for r in whole} == {None, *range(40), 52}
+    assert sum(r["doc_id"] == 3 for r in whole) == 2 and sum(r["doc_id"] == 4 for r in whole) == 1
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, out, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == [c.split()[0] for c in kind.split(", ")]
+    none = tmp_path / "none"
+    spark.createDataFrame([], kind).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_stages(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -33,15 +78,25 @@ def test_stages(spark, folder, tmp_path):
         docs = after
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     before, after = seen["quality_rules"]
+    good = {r["doc_id"]: brute_rules(r["text"]) for r in before.collect()}
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == {i: t for i, t in good.items() if t is not None}
     assert ids(after) == {r["doc_id"] for r in quality_rules.judge(before).where("kept").collect()} and not {400, 401} & ids(after)
     before, after = seen["toxicity"]
     assert all(i % 5 for i in ids(after) if i < 300) and {i for i in ids(before) if i < 300 and i % 5} <= ids(after)
     before, after = seen["simhash_near_dedup"]
-    assert ids(after) == {r["component_id"] for r in simhash.near_duplicates(before).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    assert ids(after) == {rows[k][0] for k in set(shingle_groups([t for _, t in rows]))}
     before, after = seen["substring_dedup"]
+    want = {i: kept for i, _, gone, kept in brute_dedup([(r["doc_id"], r["text"]) for r in before.collect()]) if gone}
+    assert {r["doc_id"]: r["text"] for r in after.collect() if r["doc_id"] in want} == {i: t for i, t in want.items() if t} and want
     text = {r["doc_id"]: r["text"] for r in after.collect()}
     assert text[500] == prose(9, 60) and all(text[r["doc_id"]] == r["text"] for r in before.collect() if r["doc_id"] != 500)
     assert ids(docs) == ids(after)
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    lengths = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in text.items()}
+    packed = seen["best_fit_packing"][1].collect()
+    assert Counter(i for i, n in lengths.items() for _ in range(-(-n // 2048))) == Counter(r["doc_id"] for r in packed)
+    assert sum(lengths.values()) == sum(r["length"] for r in packed)
     run = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, run.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
 
