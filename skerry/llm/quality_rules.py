@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, words
+from .common import SPACE_CLASS, SPACES, let, words
 
 #: The contract's thresholds.
 MIN_WORDS = 10
@@ -67,7 +67,8 @@ def line_fails(line: Column) -> Column:
         symbols = _count(line, SYMBOLS) * 100 > n * SYMBOL_PERCENT
         shouts = F.regexp_count(line, F.lit(r"[!?][!?]")) * 100 > n * SHOUT_PERCENT
         bars = _count(line, BARS) * 100 > n * BAR_PERCENT
-        cut_off = F.regexp_like(line, F.lit(r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"))
+        trimmed = F.rtrim(line, F.lit(SPACES))
+        cut_off = F.endswith(trimmed, F.lit("...")) | F.endswith(trimmed, F.lit("…"))
         low = F.lower(line)
         phrase = F.lit(False)
         for text in BOILERPLATE:
@@ -148,7 +149,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     A text without failing lines stays as it is.
     """
     flag = "_skerry_quality"
-    kept = docs.withColumn(flag, stats(docs["text"])).where(passes(F.col(flag)))
+    # Generated, so that the filter is not moved before it and the counts are taken once.
+    kept = docs.select("*", F.explode(F.array(stats(docs["text"]))).alias(flag)).where(passes(F.col(flag)))
     cleaned = F.col(flag)["n_lost_words"] > 0
     kept = kept.withColumn("text", F.when(cleaned, clean_text(F.col("text"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
