@@ -37,7 +37,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{_CLASS}+", ""), f"{_CLASS}+$", "")
+    return F.btrim(text, F.lit(UNICODE_SPACES))
 
 
 def clean(text: Column) -> Column:
