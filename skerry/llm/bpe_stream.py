@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Pretokens whose ids a worker keeps, of at most CACHED_CHARS characters.
 CACHE = 700_000
 CACHED_CHARS = 48
@@ -417,4 +419,4 @@ def tokenizer_path() -> str:
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every row."""
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return got.mapInArrow(_encode_batches(path or tokenizer_path()), "doc_id long, ids array<int>, decoded string")
+    return got.mapInArrow(released(_encode_batches(path or tokenizer_path())), "doc_id long, ids array<int>, decoded string")

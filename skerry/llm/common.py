@@ -42,6 +42,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def released(run):
+    """A function of Arrow batches that gives freed memory back after each one; a worker's pool would keep it for its next task."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        pool = pa.default_memory_pool()
+        for out in run(batches):
+            yield out
+            pool.release_unused()
+        pool.release_unused()
+
+    return each
+
+
 @contextmanager
 def scratch():
     """What is materialised within is deleted at the end, but for the frames given to the function that this yields."""

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -327,5 +329,5 @@ def _batches(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    got = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_batches, "page_id long, url string, text string")
+    got = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(released(_batches), "page_id long, url string, text string")
     return got.withColumn("n_chars", F.char_length("text").cast("long"))

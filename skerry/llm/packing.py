@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 CAPACITY = 2048
 END = 0
@@ -159,7 +159,7 @@ def tokenizer_path() -> str:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return got.mapInArrow(_piece_batches(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return got.mapInArrow(released(_piece_batches(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def group_sizes(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[int, int]]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import materialize, scratch
+from .common import materialize, released, scratch
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -77,7 +77,7 @@ def _fingerprint_batches(shingle_words: int):
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches(shingle_words), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(_fingerprint_batches(shingle_words)), "doc_id long, fp long")
 
 
 def to_hex(fp: Column) -> Column:
@@ -246,7 +246,7 @@ def links(fps: DataFrame, max_diff: int = MAX_DIFF, run: int = RUN, max_bucket:
     cut = dealt.join(sizes, ["m", "k"]).withColumn("parts", parts).withColumn("own", own)
     cut = cut.select("m", "k", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cut = cut.select("m", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return cut.repartition("m", "k", "i", "j").sortWithinPartitions("m", "k", "i", "j").mapInArrow(_link_batches(max_diff), "a long, b long")
+    return cut.repartition("m", "k", "i", "j").sortWithinPartitions("m", "k", "i", "j").mapInArrow(released(_link_batches(max_diff)), "a long, b long")
 
 
 def components_of(found: DataFrame, max_diff: int = MAX_DIFF, max_bucket: int = MAX_BUCKET) -> DataFrame:

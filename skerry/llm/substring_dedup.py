@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch
+from .common import materialize, released, scratch
 
 WINDOW = 50
 ANCHOR = 8
@@ -312,7 +312,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_group: int = 256) -> DataFrame:
     """(doc_id, th, spans array<struct<s,e>>): word spans to remove from each document that loses any."""
     base = keyed(docs)
-    occ = materialize(base.mapInArrow(_segment_batches(window, anchor), "anchor long, seg long, doc_id long, th long, start int, n int"))
+    occ = materialize(base.mapInArrow(released(_segment_batches(window, anchor)), "anchor long, seg long, doc_id long, th long, start int, n int"))
     segs = occ.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     shared = segs.groupBy("anchor").agg(F.count("*").alias("nseg"), F.min("lo").alias("alo"), F.max("hi").alias("ahi")).where("nseg > 1 AND alo < ahi")
     flagged = segs.join(shared.select("anchor", "nseg"), "anchor", "left").where("hi > lo OR nseg IS NOT NULL").select("anchor", "seg", "lo", "nseg")
@@ -324,9 +324,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, m
     part = F.when(F.col("nseg") > max_group, F.pmod(F.xxhash64("seg"), F.ceil(F.col("nseg") / max_group)).cast("int")).otherwise(F.lit(-1))
     once = first.dropDuplicates(["anchor", "seg"]).withColumn("part", part)
     side = once.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "part", "seg", "start", "n")).alias("todo"))
-    shards = _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo").mapInArrow(_segment_words(window), "anchor long, part int, seg long, doc_id long, symbols array<long>")
+    shards = _with_side(base, side, "todo", "inner").select("doc_id", "th", "text", "todo").mapInArrow(released(_segment_words(window)), "anchor long, part int, seg long, doc_id long, symbols array<long>")
     shards = shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "seg")
-    found = materialize(shards.mapInArrow(_shard_batches(window), "anchor long, seg long, doc_id long, s int, e int, h1 long, h2 long"))
+    found = materialize(shards.mapInArrow(released(_shard_batches(window)), "anchor long, seg long, doc_id long, s int, e int, h1 long, h2 long"))
     # Between parts: what each has left once meets by hash.
     left = found.where("h1 IS NOT NULL")
     least = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
@@ -355,6 +355,7 @@ def _cut(text, spans):
         stays = (np.cumsum(gone)[:-1] == 0).tolist()
         kept = [w for w, s in zip(words, stays, strict=True) if s]
         rows.append((len(words), len(words) - len(kept), b" ".join(kept)))
+    pa.default_memory_pool().release_unused()
     return pd.DataFrame([(a, b, c.decode("utf-8", "surrogatepass")) for a, b, c in rows], columns=["n_words", "n_removed", "kept"])
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch
+from .common import materialize, released, scratch
 
 #: Bounds of the sample of labelled rows that the classifier is fitted on.
 MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
@@ -123,7 +123,7 @@ def _trigram_batches(batches):
 
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Counts of character trigrams over every text; at most _SIZE cubed of them, whatever the input."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_trigram_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(released(_trigram_batches), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(_SIZE**3)
     total[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return total
@@ -561,7 +561,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     sample = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     each = materialize(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))  # one text for each id of the sample
-    keyed = each.mapInArrow(_copy_keys, "doc_id long, toxic int, keys array<long>").collect()  # a row for each id of the sample
+    keyed = each.mapInArrow(released(_copy_keys), "doc_id long, toxic int, keys array<long>").collect()  # a row for each id of the sample
     once = spark.createDataFrame([(i,) for i in without_copies([tuple(r) for r in keyed])], "doc_id long")
     texts = materialize(each.join(F.broadcast(once), "doc_id"))
     sent = spark.sparkContext.broadcast(model)
@@ -569,7 +569,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
 
     def count(rows: DataFrame, only=None) -> DataFrame:
-        return rows.select("text").mapInArrow(_counted(sent, only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        return rows.select("text").mapInArrow(released(_counted(sent, only)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
     found = count(texts.where("toxic = 1")).where("n >= 3")
     toxic = {r["feature"]: r["n"] for r in found.collect()}
@@ -581,12 +581,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     weights = {f: log_odds(t, c, n_toxic, n_clean) for f, (t, c) in chosen.items()}
     signs = whole_signs(weights)
     parts = spark.sparkContext.broadcast({w[i:k] for w in signs for i in range(len(w)) for k in range(i + 1, len(w) + 1)})
-    held = texts.where("toxic = 0").select("text").mapInArrow(_pieces_batches(parts), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    held = texts.where("toxic = 0").select("text").mapInArrow(released(_pieces_batches(parts)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     pieces = {"": 0.5 / (n_clean + 1)} | {r["piece"]: (r["n"] + 0.5) / (n_clean + 1) for r in held}
     # Each text of the sample is measured with weights that leave it out.
     without = {1: {f: max(0.0, log_odds(t - 1, c, n_toxic, n_clean)) for f, (t, c) in chosen.items()}, 0: {f: log_odds(t, max(0, c - 1), n_toxic, n_clean) for f, (t, c) in chosen.items()}}
     sent = spark.sparkContext.broadcast((model, without, pieces))
-    rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(_measured(sent), "row array<double>").collect()])
+    rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(released(_measured(sent)), "row array<double>").collect()])
     return model, weights, logistic(rows[:, 1:], rows[:, 0]), pieces
 
 
