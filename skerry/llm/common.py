@@ -6,6 +6,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -42,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank`` from 0 in a total order: sorted in ranges, then numbered by the ranges' counts (a row for each range)."""
+    rows = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    place = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = place.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return place.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_in")).alias("rank"))
+
+
 def released(run):
     """A function of Arrow batches that gives freed memory back after each one; a worker's pool would keep it for its next task."""
 

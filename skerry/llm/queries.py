@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, fingerprints, html_extract, license_scan, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from . import bpe_stream, fingerprints, html_extract, license_scan, mixing, packing, phrases, quality_rules, simhash, spelling, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_document_fingerprints, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_document_fingerprints, op5_substring_dedup, op6_bpe_round_trip, op7_best_fit_packing, op8_url_filters, op9_simhash, op10_toxicity, op11_source_mix, op12_spelling_variants, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op8_url_filters": url_filter.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op8_url_filters": url_filter.SQL, "op11_source_mix": mixing.SQL, "op13_phrase_collocations": phrases.SQL}
