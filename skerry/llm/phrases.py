@@ -39,7 +39,9 @@ UNKNOWN = "und"
 #: Words in the dictionary that go to tasks by broadcast.
 DICTIONARY = 1_000_000
 #: Keys that a task sorts at a time, and keys aimed at in a range; distinct words held while counting.
-CHUNK, RANGE, HELD = 3_000_000, 1_000_000, 300_000
+CHUNK, RANGE, HELD = 2_000_000, 1_000_000, 300_000
+#: Bytes of text that are words at a time.
+BYTES = 4_000_000
 #: A phrase goes if a longer candidate around it has this share of its count, in percent.
 INSIDE = 80
 SCALE = 2_000_000
@@ -50,6 +52,31 @@ _AS_WORDS = bytes(_LOWER.get(c, ord(" ") if c in BREAKS else c) for c in range(2
 _AS_PIECES = bytes(_LOWER.get(c, ord("\n") if c in BREAKS else ord(" ") if c == ord("\t") else c) for c in range(256))
 
 
+def _slices(data: bytes):
+    """``data`` in slices of about BYTES, cut at spaces."""
+    start = 0
+    while len(data) - start > BYTES:
+        end = data.rfind(b" ", start, start + BYTES)
+        end = end if end >= start else data.find(b" ", start + BYTES)
+        if end < 0:
+            break
+        yield data[start:end]
+        start = end + 1
+    yield data[start:]
+
+
+def _groups(texts: list[bytes]):
+    """Neighbouring texts joined by line ends, up to about BYTES at a time; a longer one alone."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > BYTES:
+            yield b"\n".join(group)
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    yield b"\n".join(group)
+
+
 def _by_language(batch) -> dict[str, list[bytes]]:
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -65,9 +92,10 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, texts in _by_language(batch).items():
-                for text in texts:
-                    # split() parts at the six ASCII spaces, and those that end a piece are spaces here
-                    held.setdefault(lang, Counter()).update(text.translate(_AS_WORDS).split())
+                counts = held.setdefault(lang, Counter())
+                for group in _groups(texts):
+                    for part in _slices(group.translate(_AS_WORDS)):
+                        counts.update(part.split())  # at the six ASCII spaces; those that end a piece are plain spaces here
             if sum(map(len, held.values())) > HELD:
                 yield from _rows(held)
                 held = {}
@@ -163,9 +191,13 @@ def keys_by_broadcast(docs: DataFrame, dictionary: DataFrame, longest: int) -> D
             for batch in batches:
                 for lang, texts in _by_language(batch).items():
                     if lang in known:
-                        tokens = b"\n".join(texts).translate(_AS_PIECES).replace(b"\n", b" \n ").split(b" ")
-                        found = np.fromiter(map(known[lang].__getitem__, tokens), np.int64, len(tokens))
-                        yield found[found >= 0]
+                        for group in _groups(texts):
+                            parts = []
+                            for part in _slices(group.translate(_AS_PIECES).replace(b"\n", b" \n ")):
+                                tokens = part.split(b" ")
+                                found = np.fromiter(map(known[lang].__getitem__, tokens), np.int64, len(tokens))
+                                parts.append(found[found >= 0].astype(np.uint32))
+                            yield np.concatenate(parts)
 
         yield from _key_counts(sequences(), longest)
 

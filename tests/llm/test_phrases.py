@@ -52,8 +52,9 @@ def texts(spark):
     return rows, spark.createDataFrame([(k, lang, t, "w", 1) for k, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string, word string, n int")
 
 
-def test_equals_brute_force(texts):
+def test_equals_brute_force(texts, monkeypatch):
     rows, docs = texts
+    monkeypatch.setattr(phrases, "BYTES", 100)
     got = listed(phrases.collocations(docs, min_count=10))
     assert got == brute(rows, 10, 2_000) and len({r[0] for r in got}) >= 4
 
