@@ -90,7 +90,7 @@ def light_edges(words: DataFrame) -> DataFrame:
     paths = words.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("word")), letter)).alias("at", "p")).select("id", "at", "p.node", "p.letter")
     children = paths.groupBy("node", "letter").agg(F.count("*").alias("n"))
     inner = children.groupBy("node").agg(F.count("*").alias("children"), F.max(F.when(F.col("letter") != "", F.struct("n", "letter"))).alias("most"))
-    heavy = inner.where("children > 1").select("node", F.col("most.letter").alias("heavy"))
+    heavy = materialize(inner.where("children > 1").select("node", F.col("most.letter").alias("heavy")))  # a table of its own, so that Spark may divide the hot nodes of the join
     return paths.join(heavy, "node").where("letter <> heavy").select("id", "at", "heavy")
 
 
