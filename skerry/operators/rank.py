@@ -27,31 +27,121 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, ids: list[str], vector: str = "embedding") -> DataFrame:
-    """The k nearest rows by squared L2, ties by id; at most as many as there are (VEC-2, Q-3). No shuffle of the table."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    got = vectors.select(*ids, squared_l2(F.col(vector), q).alias("distance"))
-    return got.orderBy("distance", *ids).limit(k).withColumn("similarity", 1 - F.col("distance") / 2)
+def _matrix(column):
+    """An Arrow list column without nulls as a matrix of doubles."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = np.asarray(pc.list_flatten(column), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _measured(x, q, metric: str):
+    """Distances of the rows of ``x`` from ``q``: squared L2, or 1 - cosine (null where a vector is zero)."""
+    import numpy as np
+
+    if metric == "l2":
+        return ((x - q) ** 2).sum(1)
+    norm = np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum())
+    return 1 - np.divide(x @ q, norm, out=np.full(len(x), np.nan), where=norm > 0)
+
+
+def distances(vectors: DataFrame, query: list[float], ids: list[str], vector: str = "embedding", metric: str = "l2", k: int | None = None) -> DataFrame:
+    """The distance of every row with a vector, by Arrow batches; with ``k``, of a batch only the rows that may be among the k nearest."""
+    kinds = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ids)
+    wanted = [float(x) for x in query]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q = np.array(wanted, np.float64)
+        for batch in batches:
+            d = _measured(_matrix(batch.column(len(ids))), q, metric) if len(batch) else np.zeros(0)
+            keep = np.arange(len(d))
+            if k is not None and len(d) > k:
+                keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])  # equal distances stay, the id decides among them later
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep)) for i in range(len(ids))), pa.array(d[keep])], [*ids, "distance"])
+
+    return vectors.where(F.col(vector).isNotNull()).select(*ids, vector).mapInArrow(run, f"{kinds}, distance double")
+
+
+def knn(vectors: DataFrame, query: list[float], k: int, ids: list[str], vector: str = "embedding", metric: str = "l2") -> DataFrame:
+    """The k nearest rows by squared L2 (or cosine distance), ties by id; at most as many as there are (VEC-2, VEC-5, Q-3). No shuffle of the table."""
+    got = distances(vectors, query, ids, vector, metric, k).orderBy("distance", *ids).limit(k)
+    return got.withColumn("similarity", 1 - F.col("distance") / 2 if metric == "l2" else 1 - F.col("distance"))
+
+
+#: Rows of the table that are compared with all queries of a pass at a time.
+BATCH_ROWS = 2_000
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, ids: list[str], query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector", digits: int | None = None) -> DataFrame:
     """The k nearest rows of each of a stated set of queries (VEC-3), by the distance as it is or rounded to ``digits``.
 
-    The set is counted; up to MAX_QUERIES are broadcast and meet the table in one pass, more take a pass for each such part.
-    Every task keeps its k best for each query before anything is shuffled.
+    The set is counted and goes to the tasks MAX_QUERIES at a time, as a matrix. A task multiplies it with BATCH_ROWS rows at
+    a time and keeps the k nearest for each query, so it passes on k rows a query; a window over those gives the ranks.
+    The product only tells which rows may be near: their distances are taken from the differences.
     """
+    id_type = queries.schema[query_id].dataType.simpleString()
+    kinds = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ids)
     passes = max(1, -(-queries.count() // MAX_QUERIES))
     found = None
     for p in range(passes):
         part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p) if passes > 1 else queries
-        pairs = vectors.join(F.broadcast(part.select(query_id, query_vector)), F.lit(True))
-        distance = squared_l2(F.col(vector), F.col(query_vector))
-        scored = pairs.select(query_id, *ids, (distance if digits is None else F.round(distance, digits)).alias("distance"))
-        best = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", *ids))).where(F.col("rank") <= k)
+        block = part.where(F.col(query_vector).isNotNull()).select(query_id, query_vector).toArrow()
+        near = vectors.where(F.col(vector).isNotNull()).select(*ids, vector).mapInArrow(_nearest_of_block(block, ids, k, digits), f"`{query_id}` {id_type}, {kinds}, distance double")
+        best = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", *ids))).where(F.col("rank") <= k)
+        best = best.select(query_id, *ids, "distance", "rank")
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _nearest_of_block(block, ids: list[str], k: int, digits: int | None):
+    n_ids = len(ids)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        queries = _matrix(block.column(1).combine_chunks())
+        lengths = (queries * queries).sum(1)
+        held = None  # query, row of ids, distance
+        for batch in batches:
+            for start in range(0, len(batch) if len(queries) else 0, BATCH_ROWS):
+                rows = batch.slice(start, BATCH_ROWS)
+                x = _matrix(rows.column(n_ids))
+                rough = (x * x).sum(1)[:, None] - 2 * x @ queries.T + lengths
+                last = np.partition(rough, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(queries), np.inf)
+                slack = 1e-9 * (1 + lengths) + (0 if digits is None else 10.0**-digits)
+                at, of = np.nonzero(rough <= last + slack)
+                d = np.concatenate([((x[at[i : i + 50_000]] - queries[of[i : i + 50_000]]) ** 2).sum(1) for i in range(0, len(at), 50_000)] or [np.zeros(0)])
+                d = d if digits is None else np.round(d, digits)
+                new = pa.table([pa.array(of), *(rows.column(i).take(pa.array(at)) for i in range(n_ids)), pa.array(d)], names=["q", *(f"i{i}" for i in range(n_ids)), "d"])
+                held = new if held is None else pa.concat_tables([held, new])
+                if len(held) > 4 * k * len(queries) + 100_000:
+                    held = _first_of_each(held, n_ids, k)
+        if held is not None:
+            held = _first_of_each(held, n_ids, k)
+            out = [pc.take(block.column(0).combine_chunks(), held["q"].combine_chunks()), *(held[f"i{i}"].combine_chunks() for i in range(n_ids)), held["d"].combine_chunks()]
+            yield pa.RecordBatch.from_arrays(out, [block.column_names[0], *ids, "distance"])
+
+    return run
+
+
+def _first_of_each(held, n_ids: int, k: int):
+    """The k first rows of each query in order of distance and ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = held.sort_by([("q", "ascending"), ("d", "ascending"), *((f"i{i}", "ascending") for i in range(n_ids))])
+    q = held["q"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
+    return held.take(pa.array(np.flatnonzero(place < k)))
+
+
 #: Vectors on which the lists' centres are fitted.
 IVF_SAMPLE = 20_000
 

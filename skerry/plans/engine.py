@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk as C
-from ..operators import facets, rank
+from ..operators import facets, postings, rank
 from ..sources import thesaurus as thes
 from ..streaming import ingest
 from . import match
@@ -40,15 +42,28 @@ class SearchQuery:
             raise ValueError("top_k must be positive")
 
 
+#: Chunks for each bucket of terms, and buckets at most; rows of one search that are fetched by their numbers.
+BUCKET_CHUNKS, MAX_BUCKETS, FETCHED = 20_000, 4_096, 10_000
+
+
 @dataclass
 class Engine:
-    """An index: documents and chunks (with tokens and vectors) as Parquet under one folder, and a manifest written last."""
+    """An index under one folder, kept as segments and generations (SNK-*, INC-2, SP-5, SP-13).
+
+    A segment has the documents, chunks, posting lists, terms and vectors of the documents that one
+    commit added or changed, and the ids it took out of earlier segments; a commit writes nothing
+    else, so it grows with the change. A generation is one small file that names the live segments,
+    written last under a number that must be free: until then the index is what it was, and two
+    writers cannot both win. Readers may stay at a generation (``at``); :meth:`vacuum` deletes what
+    only old ones use, :meth:`compact` makes one segment of many.
+    """
 
     spark: SparkSession
     folder: str
     thesaurus: dict[str, list[str]] = field(default_factory=dict)
     embedder: object = None
     model: str = "md5-hash-384"
+    at: int | None = None
 
     @property
     def _embed(self):
@@ -59,10 +74,6 @@ class Engine:
     def _whole(self, docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text", *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in self._WANTED.items()])
 
-    def _chunked(self, docs: DataFrame, size: int, overlap: int, vectors: bool) -> DataFrame:
-        chunks = C.chunk(docs.select("doc_id", "text"), size=size, overlap=overlap).withColumn("tokens", T.tokens(F.col("chunk_text")))
-        return rank.embed(chunks, self._embed, "chunk_text") if vectors else chunks
-
     def _settings(self, size: int, overlap: int, vectors: bool) -> dict:
         return {"chunk_size": size, "overlap": overlap, "model": self.model if vectors else None}
 
@@ -73,97 +84,205 @@ class Engine:
         got = ingest.digest(docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1(row)).alias("key"))).first()
         return (got["digest"] if got else None) or "empty"
 
+    # Files
+
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _drop(self, name: str) -> None:
+    def _names(self, name: str) -> list[str]:
         fs, path = self._path(name)
-        fs.delete(path, True)
-
-    def _finish(self, settings: dict) -> None:
-        """The manifest, written last: an index without one is not complete."""
-        row = self.spark.range(1).select(F.lit(json.dumps(settings)).alias("settings"), F.lit(self.chunks().count()).alias("n_chunks"), F.lit(self.sources_digest(self.documents())).alias("digest"), F.current_timestamp().alias("built"))
-        row.write.mode("overwrite").json(f"{self.folder}/manifest")
-
-    def _replace(self, tables: dict[str, DataFrame], settings: dict) -> None:
-        """Tables are written beside the old ones; the manifest goes before they are put in place and comes back after."""
-        for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
-        self._drop("manifest")
-        for name in tables:
-            self._drop(name)
-            fs, new = self._path(f"{name}.next")
-            fs.rename(new, self._path(name)[1])
-        self._finish(settings)
-
-    def build(self, docs: DataFrame, size: int = 300, overlap: int = 50, vectors: bool = True) -> None:
-        """Write everything anew. ``docs``: doc_id, text and any of source, path, title, year, tags, collections."""
-        self._drop("manifest")
-        self._whole(docs).write.mode("overwrite").parquet(f"{self.folder}/documents")
-        self._chunked(self.documents(), size, overlap, vectors).write.mode("overwrite").parquet(f"{self.folder}/chunks")
-        self._finish(self._settings(size, overlap, vectors))
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def generations(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self._names("generations") if n.endswith(".json")]
+
+    def _manifest(self) -> dict | None:
+        """The generation that this engine reads."""
+        number = self.at if self.at is not None else max(self.generations(), default=None)
+        if number is None or number not in self.generations():
+            return None
+        rows = self.spark.read.text(f"{self.folder}/generations/{number:012d}.json", wholetext=True).first()
+        return json.loads(rows["value"])
+
+    def _now(self) -> dict:
+        found = self._manifest()
+        if found is None:
+            raise FileNotFoundError(f"no complete index in {self.folder}")
+        return found
+
+    def _finish(self, manifest: dict) -> None:
+        """The generation's file, written beside and put in its place last; where another writer was first, an error."""
+        number = max(self.generations(), default=-1) + 1
+        if number != manifest["generation"]:
+            raise RuntimeError("the index has been changed by another writer")
+        fs, path = self._path(f"generations/{number:012d}.json")
+        _, beside = self._path(f"generations/.{uuid.uuid4().hex}")
+        out = fs.create(beside, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if fs.exists(path) or not fs.rename(beside, path):
+            raise RuntimeError("the index has been changed by another writer")
+
+    # Writing
+
+    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, buckets: int | None) -> dict:
+        """The tables of a segment; what a manifest says of it."""
+        name = uuid.uuid4().hex
+        at = f"{self.folder}/segments/{name}"
+        made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets}
+        if gone is not None:
+            gone.select("doc_id").distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
+        if docs is None:
+            return made
+        docs.withColumn("seg", F.lit(number)).write.parquet(f"{at}/documents")
+        chunks = C.chunk(self.spark.read.parquet(f"{at}/documents").select("doc_id", "text"), size=settings["chunk_size"], overlap=settings["overlap"])
+        numbered = chunks.withColumn("seg", F.lit(number)).withColumn("row", F.monotonically_increasing_id()).withColumn("n_tokens", F.size(T.tokens(F.col("chunk_text"))))
+        numbered.write.parquet(f"{at}/chunks")
+        written = self.spark.read.parquet(f"{at}/chunks")
+        n, tokens = written.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        made |= {"n_chunks": n, "n_tokens": tokens, "buckets": buckets or min(MAX_BUCKETS, max(8, n // BUCKET_CHUNKS))}
+        postings.write(written.withColumn("tokens", T.tokens(F.col("chunk_text"))), at, made["buckets"])
+        if settings["model"] is not None:
+            rank.embed(written, self._embed, "chunk_text").select("seg", "row", "doc_id", "chunk_id", "embedding").write.parquet(f"{at}/vectors")
+        return made
+
+    def _commit(self, before: dict | None, docs: DataFrame | None, gone: DataFrame | None, settings: dict, digest: str | None = None) -> None:
+        """One more generation: the segments of ``before``, if any, and a new one."""
+        segments = before["segments"] if before else []
+        lost = (0, 0)
+        if gone is not None:
+            lost = self.chunks().join(gone, "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, segments[0]["buckets"] if segments else None)
+        manifest = {
+            "generation": max(self.generations(), default=-1) + 1 if before is None else before["generation"] + 1,
+            "settings": settings,
+            "segments": [*segments, new],
+            "n_chunks": (before["n_chunks"] if before else 0) - lost[0] + new["n_chunks"],
+            "n_tokens": (before["n_tokens"] if before else 0) - lost[1] + new["n_tokens"],
+        }
+        manifest["digest"] = digest or self.sources_digest(self._read(manifest, "documents").drop("seg"))
+        manifest["built"] = self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
+        self._finish(manifest)
+
+    def build(self, docs: DataFrame, size: int = 300, overlap: int = 50, vectors: bool = True, digest: str | None = None) -> None:
+        """Write everything anew, as one segment. ``docs``: doc_id, text and any of source, path, title, year, tags, collections."""
+        self._commit(None, self._whole(docs), None, self._settings(size, overlap, vectors), digest)
 
     def ensure(self, docs: DataFrame, size: int = 300, overlap: int = 50, vectors: bool = True) -> str:
         """Bring the index up to date with ``docs`` by the least work (INC-1, INC-2): ``reused``, ``updated`` or ``built``."""
-        try:
-            then = self.status()
-        except FileNotFoundError:
-            then = None
-        settings = self._settings(size, overlap, vectors)
-        if then is not None and all(then[k] == v for k, v in settings.items()):
-            if ingest.unchanged(then["digest"], self.sources_digest(self._whole(docs)), settings, settings):
+        then, settings = self._manifest(), self._settings(size, overlap, vectors)
+        digest = self.sources_digest(self._whole(docs))
+        if then is not None and then["settings"] == settings:
+            if ingest.unchanged(then["digest"], digest, settings, settings):
                 return "reused"
-            self.update(docs)
+            self.update(docs, digest=digest)
             return "updated"
-        self.build(docs, size, overlap, vectors)
+        self.build(docs, size, overlap, vectors, digest)
         return "built"
 
-    def update(self, docs: DataFrame, complete: bool = True) -> None:
+    def update(self, docs: DataFrame, complete: bool = True, digest: str | None = None) -> None:
         """Index added and changed documents only; those that ``docs`` no longer has go (INC-2), or stay if it isn't ``complete`` (SP-13: add)."""
-        status = self.status()
-        settings = {k: status[k] for k in ("chunk_size", "overlap", "model")}
+        before = self._now()
         whole, old = self._whole(docs), self.documents()
-        state = lambda df: df.select("doc_id", F.sha1("text").alias("sha1"))
+        state = lambda df: df.select("doc_id", F.sha1(F.to_json(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias("sha1"))
         change = ingest.diff(state(old), state(whole), "doc_id")
         stale = change.where(F.col("change").isin("changed", "removed") if complete else F.col("change") == "changed").select("doc_id")
         fresh = change.where("change IN ('added', 'changed')").select("doc_id")
-        kept = self.chunks().join(stale, "doc_id", "left_anti")
-        new = self._chunked(whole.join(fresh, "doc_id", "left_semi"), settings["chunk_size"], settings["overlap"], settings["model"] is not None)
-        documents = whole if complete else old.join(whole.select("doc_id"), "doc_id", "left_anti").unionByName(whole)
-        self._replace({"chunks": kept.unionByName(new), "documents": documents}, settings)
+        self._commit(before, whole.join(fresh, "doc_id", "left_semi"), stale, before["settings"], digest)
 
     def add(self, docs: DataFrame) -> None:
         """Add documents, or put them in the place of those with their ids (SP-13)."""
         self.update(docs, complete=False)
 
+    def remove(self, doc_ids: DataFrame) -> None:
+        """Take documents out of the index (SP-13): their ids are all that is written."""
+        before = self._now()
+        self._commit(before, None, doc_ids.select("doc_id"), before["settings"])
+
     def flush(self) -> None:
         """Drop all documents; the index stays, empty (SP-13)."""
         self.remove(self.documents().select("doc_id"))
 
+    def compact(self) -> None:
+        """One segment in the place of many, without what was taken out."""
+        before = self._now()
+        alone = before | {"segments": []}
+        new = self._write_segment(self.documents(), None, max(s["number"] for s in before["segments"]) + 1, before["settings"], None)
+        self._finish(alone | {"generation": before["generation"] + 1, "segments": [new], "n_chunks": new["n_chunks"], "n_tokens": new["n_tokens"]})
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all but the last ``keep`` generations, and the segments that none of those names (unfinished ones too, so not while writing); how many segments went."""
+        numbers = self.generations()
+        used: set[str] = set()
+        for n in numbers[-keep:]:
+            used |= {s["name"] for s in replace(self, at=n)._now()["segments"]}
+        for n in numbers[:-keep]:
+            fs, path = self._path(f"generations/{n:012d}.json")
+            fs.delete(path, False)
+        gone = [s for s in self._names("segments") if s not in used]
+        for s in gone:
+            fs, path = self._path(f"segments/{s}")
+            fs.delete(path, True)
+        return len(gone)
+
+    # Reading
+
+    def _gone(self, manifest: dict) -> DataFrame | None:
+        paths = [f"{self.folder}/segments/{s['name']}/gone" for s in manifest["segments"] if s["gone"]]
+        return self.spark.read.parquet(*paths).groupBy("doc_id").agg(F.max("at").alias("at")) if paths else None
+
+    def _raw(self, manifest: dict, table: str) -> DataFrame | None:
+        parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if s["documents"]]
+        if table == "postings":
+            frames = [self.spark.read.option("basePath", p).parquet(p) for p in parts]
+            return reduce(DataFrame.unionByName, frames) if frames else None
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def _read(self, manifest: dict, table: str) -> DataFrame:
+        """The live rows of a table."""
+        rows, gone = self._raw(manifest, table), self._gone(manifest)
+        if rows is None:
+            raise FileNotFoundError(f"no {table} in {self.folder}")
+        if gone is None:
+            return rows
+        g = gone.select(F.col("doc_id").alias("_gone"), "at")
+        return rows.join(g, (rows["doc_id"] == g["_gone"]) & (rows["seg"] < g["at"]), "left_anti")
+
+    def _index(self, manifest: dict) -> postings.Index:
+        n = manifest["n_chunks"]
+        return postings.Index(self.spark, self._raw(manifest, "postings"), self._raw(manifest, "terms"), manifest["segments"][0]["buckets"], n, manifest["n_tokens"] / n if n else 0.0, self._gone(manifest))
+
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/documents")
+        return self._read(self._now(), "documents").drop("seg")
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/chunks")
+        return self._read(self._now(), "chunks")
+
+    def vectors(self) -> DataFrame:
+        return self._read(self._now(), "vectors")
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, **kind) -> Engine:
-        """An index that is complete: without its manifest, or built by another model, it is an error (SRC-15, Q-15)."""
+        """An index that is complete: without a generation, or built by another model, it is an error (SRC-15, Q-15)."""
         engine = cls(spark, folder, **kind)
         status = engine.status()
         if status["model"] not in (None, engine.model):
             raise ValueError(f"the index was built with {status['model']}, not {engine.model}")
         return engine
 
+    def snapshot(self) -> Engine:
+        """This engine at the present generation, whatever is written later."""
+        return replace(self, at=self._now()["generation"])
+
     def status(self) -> dict:
-        """What the manifest says, and the bytes that the tables take."""
-        fs, path = self._path("manifest")
-        row = self.spark.read.schema("settings string, n_chunks long, digest string, built string").json(f"{self.folder}/manifest").first() if fs.exists(path) else None
-        if row is None:
-            raise FileNotFoundError(f"no complete index in {self.folder}")
-        size = sum(fs.getContentSummary(self._path(name)[1]).getLength() for name in ("documents", "chunks"))
-        return {"status": "ok", "index_type": "exact", "total_chunks": row["n_chunks"], "built": row["built"], "digest": row["digest"], "bytes": size, **json.loads(row["settings"])}
+        """What the manifest says, and the bytes that the live segments take."""
+        now = self._now()
+        sizes = []
+        for s in now["segments"]:
+            fs, path = self._path(f"segments/{s['name']}")
+            sizes.append(fs.getContentSummary(path).getLength())
+        return {"status": "ok", "index_type": "exact", "generation": now["generation"], "segments": len(sizes), "total_chunks": now["n_chunks"], "built": now["built"], "digest": now["digest"], "bytes": sum(sizes), **now["settings"]}
 
     def _barred(self, q: SearchQuery) -> DataFrame | None:
         """doc_id of the documents that the facets keep out; None: no facet. What the documents don't know passes (FIL-5)."""
@@ -188,44 +307,58 @@ class Engine:
     def search(self, q: SearchQuery) -> DataFrame:
         """path, snippet, score, distance, similarity of at most top_k hits, best first; facets filter before the cut (Q-1, Q-4).
 
-        Hybrid search fuses what over-fetching finds: the 5 * top_k nearest chunks (50 at least) and the keyword hits (of
-        these as many, by their score, for ``rrf``). A chunk further down in either ranking counts as not in it.
+        Keyword hits come from the posting lists of the query's terms, and only the chunks shown are read; scores use the
+        statistics of the whole index, also under facets. ``rrf`` fuses the best max(5 * top_k, 50) of both rankings,
+        ``concat`` as many semantic hits with all keyword hits, ``weighted`` every chunk's similarity with every keyword score.
         """
-        chunks = self.chunks()
+        now = self._now()
         barred = self._barred(q)
-        if barred is not None:
-            chunks = chunks.join(barred, "doc_id", "left_anti")
         text = thes.expand_query(q.query, self.thesaurus) if thes.matched_concepts(q.query, self.thesaurus) else q.query
         key = ["doc_id", "chunk_id"]
+        both = [*key, "seg", "row"]
         deep = max(q.top_k, 10) * 5
-        parts: dict[str, DataFrame] = {}
         node = match.parse(text, lenient=q.lenient) if q.mode != "semantic" else None
+        keyword = semantic = None
         if q.mode != "semantic":
-            hits = chunks.where(match.compile_match(node, F.col("tokens")))
-            terms = match.terms_of(node)
-            scored = rank.bm25(chunks, terms, key) if terms else chunks.select(*key, F.lit(0.0).alias("score")).limit(0)
-            parts["keyword"] = hits.select(*key).join(scored, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+            index = self._index(now)
+            cut = {"keyword": q.top_k, "hybrid": deep if q.fusion == "rrf" else None}[q.mode]
+            keyword = index.top(node, cut, barred) if cut else index.search(node, barred)
         if q.mode != "keyword":
             vector = self._embed([" ".join(thes.expand_terms(q.query, self.thesaurus))])[0]
-            parts["semantic"] = rank.knn(chunks, vector, deep, key).withColumn("score", F.col("similarity"))
+            rows = self._read(now, "vectors")
+            rows = rows if barred is None else rows.join(barred, "doc_id", "left_anti")
+            everything = q.mode == "hybrid" and q.fusion == "weighted"
+            semantic = rank.distances(rows, vector, both) if everything else rank.knn(rows, vector, q.top_k if q.mode == "semantic" else deep, both)
+            semantic = semantic.withColumn("similarity", 1 - F.col("distance") / 2).withColumn("score", F.col("similarity"))
         if q.mode == "keyword":
-            top = parts["keyword"].orderBy(F.desc("score"), *key).limit(q.top_k)
+            top = keyword.orderBy(F.desc("score"), *key).limit(q.top_k)
         elif q.mode == "semantic":
-            top = parts["semantic"].orderBy("distance", *key).limit(q.top_k)
+            top = semantic.orderBy("distance", *key).limit(q.top_k)
         elif q.fusion == "rrf":
-            a = rank.ranked(parts["semantic"], [F.col("distance"), *map(F.col, key)], "rank_a", deep).select(*key, "rank_a")
-            b = rank.ranked(parts["keyword"], [F.desc("score"), *map(F.col, key)], "rank_b", deep).select(*key, "rank_b")
-            top = rank.rrf(a, b, key).orderBy(F.desc("score"), *key).limit(q.top_k)
+            a = rank.ranked(semantic, [F.col("distance"), *map(F.col, key)], "rank_a", deep).select(*both, "rank_a")
+            b = rank.ranked(keyword, [F.desc("score"), *map(F.col, key)], "rank_b", deep).select(*both, "rank_b")
+            top = rank.rrf(a, b, both).orderBy(F.desc("score"), *key).limit(q.top_k)
         elif q.fusion == "weighted":
-            top = rank.weighted(parts["semantic"].select(*key, "score"), parts["keyword"], key, q.alpha).orderBy(F.desc("score"), *key).limit(q.top_k)
+            top = rank.weighted(semantic.select(*both, "score"), keyword, both, q.alpha).orderBy(F.desc("score"), *key).limit(q.top_k)
         else:
-            top = rank.concat_fusion(parts["semantic"].select(*key, "score"), parts["keyword"], "doc_id", [F.desc("score"), *map(F.col, key)], q.top_k)
-        shown = top.join(chunks.select(*key, "chunk_text"), key)
+            top = rank.concat_fusion(semantic.select(*both, "score"), keyword, "doc_id", [F.desc("score"), *map(F.col, key)], q.top_k)
+        return self._shown(now, top, node, q.top_k)
+
+    def _shown(self, now: dict, top: DataFrame, node, k: int) -> DataFrame:
+        """The hits with path, title and snippet: up to FETCHED of them by number, so that nothing else of the tables is read."""
+        key = ["doc_id", "chunk_id"]
+        chunks, docs = self._raw(now, "chunks"), self._read(now, "documents")
+        if k <= FETCHED:
+            rows = top.collect()
+            top = self.spark.createDataFrame(rows, top.schema)
+            chunks = chunks.where(F.col("row").isin([r["row"] for r in rows]) & F.col("seg").isin(sorted({r["seg"] for r in rows})))
+            docs = docs.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})))
+        shown = top.join(F.broadcast(chunks.select("seg", "row", "chunk_text")) if k <= FETCHED else chunks.select("seg", "row", "chunk_text"), ["seg", "row"])
+        named = shown.join(F.broadcast(docs.select("doc_id", "path", "title")) if k <= FETCHED else docs.select("doc_id", "path", "title"), "doc_id", "left")
         snippet = match.snippet(F.col("chunk_text"), node) if node is not None else T.shorten(F.col("chunk_text"))
-        named = shown.join(self.documents().select("doc_id", "path", "title"), "doc_id", "left")
-        extra = [c for c in ("distance", "similarity") if c in shown.columns]
+        extra = [c for c in ("distance", "similarity") if c in top.columns]
         out = named.select(F.coalesce("path", F.col("doc_id").cast("string")).alias("path"), "doc_id", "chunk_id", "title", snippet.alias("snippet"), "score", *extra)
-        return out.orderBy(F.desc("score"), *key)
+        return out.orderBy(F.desc("score"), *key).limit(k)
 
     def document(self, doc_id) -> dict | None:
         row = self.documents().where(F.col("doc_id") == F.lit(doc_id)).first()
@@ -276,12 +409,5 @@ class Engine:
     def options(self) -> DataFrame:
         return facets.filter_options(self.documents())
 
-    def remove(self, doc_ids: DataFrame) -> None:
-        """Take documents out of the index (SP-13): both tables are written without them, then put in place; the manifest follows."""
-        status = self.status()
-        settings = {k: status[k] for k in ("chunk_size", "overlap", "model")}
-        gone = doc_ids.select("doc_id").distinct()
-        self._replace({name: self.spark.read.parquet(f"{self.folder}/{name}").join(gone, "doc_id", "left_anti") for name in ("documents", "chunks")}, settings)
-
     def config(self) -> dict:
         return {k: v for k, v in asdict(SearchQuery("")).items() if k != "query"}

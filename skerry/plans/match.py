@@ -347,15 +347,51 @@ def compile_match(node, tokens: Column, text: Column | None = None, metadata: di
 def _near(tokens: Column, node: Near) -> Column:
     """Whether starts of all phrases lie so close that at most ``distance`` tokens are between each one's end and the last start."""
 
-    def bound(places: Column) -> Column:
-        each = [F.get(places, F.lit(i)) for i in range(len(node.phrases))]
+    return T.let(F.array(*[_starts(tokens, p) for p in node.phrases]), lambda places: _close_places(places, node))
 
-        def close(m: Column) -> Column:
-            return reduce(lambda a, b: a & b, [_within(at, m, len(p.tokens), node.distance) for at, p in zip(each, node.phrases, strict=True)])
 
-        return F.exists(F.flatten(places), close)
+def _close_places(places: Column, node: Near) -> Column:
+    each = [F.get(places, F.lit(i)) for i in range(len(node.phrases))]
 
-    return T.let(F.array(*[_starts(tokens, p) for p in node.phrases]), bound)
+    def close(m: Column) -> Column:
+        return reduce(lambda a, b: a & b, [_within(at, m, len(p.tokens), node.distance) for at, p in zip(each, node.phrases, strict=True)])
+
+    return F.exists(F.flatten(places), close)
+
+
+def compile_places(node, places) -> Column:
+    """The same predicate over posting lists: ``places(token, prefix)`` is the sorted positions of a token (or of a prefix' tokens) in the row."""
+
+    def starts(p: Phrase) -> Column:
+        own = [places(t, p.prefix and k == len(p.tokens) - 1) for k, t in enumerate(p.tokens)]
+        found = own[0] if len(own) == 1 else F.filter(own[0], lambda s: reduce(lambda a, b: a & b, [F.array_contains(o, s + k) for k, o in enumerate(own) if k]))
+        return F.filter(found, lambda s: s == 0) if p.initial else found
+
+    go = lambda x: compile_places(x, places)
+    if isinstance(node, Nothing) or isinstance(node, Phrase) and not node.tokens:
+        return F.lit(False)
+    if isinstance(node, Field):
+        raise QuerySyntaxError(f"no such field: {node.name}")
+    if isinstance(node, Phrase):
+        return F.size(starts(node)) > 0
+    if isinstance(node, Near):
+        return T.let(F.array(*map(starts, node.phrases)), lambda found: _close_places(found, node))
+    if isinstance(node, Without):
+        return go(node.keep) & ~go(node.drop)
+    return reduce((lambda a, b: a & b) if isinstance(node, All) else (lambda a, b: a | b), map(go, node.parts))
+
+
+def needed(node) -> set[str]:
+    """Whole tokens that every hit holds."""
+    if isinstance(node, Phrase):
+        return set(node.tokens[:-1] if node.prefix else node.tokens)
+    if isinstance(node, Near):
+        return set().union(*map(needed, node.phrases))
+    if isinstance(node, Without):
+        return needed(node.keep)
+    if isinstance(node, All):
+        return set().union(*map(needed, node.parts))
+    return set.intersection(*map(needed, node.parts)) if isinstance(node, Any) else set()
 
 
 def _within(places: Column, m: Column, n: int, distance: int) -> Column:
