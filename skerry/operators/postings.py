@@ -2,13 +2,13 @@
 
 ``chunks`` have a segment number ``seg`` and a number ``row`` within it. A posting row holds the
 occurrences of one term in one block of BLOCK neighbouring chunks: parallel arrays of row, doc_id,
-chunk_id, length and position, and what bounds a score there (the largest frequency, the shortest
-length). Blocks are made where the chunks lie, so only finished posting rows are shuffled, into
+chunk_id, length and position, and what bounds a score there: for some classes of frequency, the
+largest frequency and the shortest length. Blocks are made where the chunks lie, so only finished posting rows are shuffled, into
 buckets by the term's hash; a common term is one row a block, not one list. A query reads the
 buckets of its terms.
 
-Ranking stops early: the bounds alone say how much a block can score. The best FIRST blocks are
-scored first; then only blocks whose bound reaches the k-th score found there, and which hold
+Ranking stops early: the bounds alone say how much a block can score. The best FIRST blocks (k
+at least) are scored first; then only blocks whose bound reaches the k-th score found there, and which hold
 every term that must be there, are read at all.
 """
 
@@ -29,6 +29,8 @@ FIRST = 64
 #: Terms of a prefix that are asked for by name; beyond, the posting rows are filtered by the prefix itself.
 MAX_EXPANSION = 1_000
 K1, B = 1.2, 0.75
+#: Classes of frequency whose bounds a block keeps apart: 1, 2, 3 to 4, and more.
+CLASSES = 4
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -41,13 +43,21 @@ def bucket_py(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+def schema_of(id_type: str) -> str:
+    """The columns of posting rows for documents with ids of a type; files have ``bucket`` besides."""
+    return f"term string, seg int, block long, n int, cf int, max_tfs array<int>, min_dls array<int>, rows array<long>, docs array<{id_type}>, chunks array<int>, dls array<int>, pos array<int>"
+
+
+def read(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
+    return spark.read.schema(f"{schema_of(id_type)}, bucket int").parquet(f"{folder}/postings")
+
+
 def posting_rows(chunks: DataFrame) -> DataFrame:
     """Posting rows of (seg, row, doc_id, chunk_id, tokens): term, seg, block, n (chunks), max_tf, min_dl and the arrays.
 
     A block that lies in two tasks gives two rows of the same term and block, which counts as one list in two parts.
     """
-    id_type = chunks.schema["doc_id"].dataType.simpleString()
-    schema = f"term string, seg int, block long, n int, cf int, max_tf int, min_dl int, rows array<long>, docs array<{id_type}>, chunks array<int>, dls array<int>, pos array<int>"
+    schema = schema_of(chunks.schema["doc_id"].dataType.simpleString())
 
     def run(batches):
         import numpy as np
@@ -79,14 +89,19 @@ def posting_rows(chunks: DataFrame) -> DataFrame:
             offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
             lists_of = lambda values: pa.ListArray.from_arrays(offsets, values)
             take = pa.array(at)
+            group = np.repeat(np.arange(len(starts)), np.diff(first_row, append=len(row_starts))) * CLASSES + np.minimum(tf - 1, 2 + (tf > 4))
+            max_tf, min_dl = np.zeros(len(starts) * CLASSES, np.int32), np.full(len(starts) * CLASSES, np.iinfo(np.int32).max, np.int32)
+            np.maximum.at(max_tf, group, tf.astype(np.int32))
+            np.minimum.at(min_dl, group, dl[at[row_starts]].astype(np.int32))
+            classes_of = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * CLASSES), pa.array(values))
             columns = {
                 "term": coded.dictionary.take(pa.array(term[starts])),
                 "seg": pa.array(seg[at[starts]].astype(np.int32)),
                 "block": pa.array(block[at[starts]]),
                 "n": pa.array(np.diff(first_row, append=len(row_starts)).astype(np.int32)),
                 "cf": pa.array(np.diff(starts, append=len(at)).astype(np.int32)),
-                "max_tf": pa.array(np.maximum.reduceat(tf, first_row).astype(np.int32)),
-                "min_dl": pa.array(np.minimum.reduceat(dl[at], starts).astype(np.int32)),
+                "max_tfs": classes_of(max_tf),
+                "min_dls": classes_of(min_dl),
                 "rows": lists_of(pa.array(row[at])),
                 "docs": lists_of(table["doc_id"].combine_chunks().take(take)),
                 "chunks": lists_of(table["chunk_id"].combine_chunks().take(take)),
@@ -102,8 +117,8 @@ def write(chunks: DataFrame, folder: str, buckets: int) -> None:
     """Write ``postings`` (by bucket, sorted by term and block) and ``terms`` (term, df) below ``folder``."""
     rows = posting_rows(chunks).withColumn("bucket", bucket_of(F.col("term"), buckets))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    read = chunks.sparkSession.read.parquet(f"{folder}/postings")
-    read.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).orderBy("term").write.parquet(f"{folder}/terms")
+    written = read(chunks.sparkSession, folder, chunks.schema["doc_id"].dataType.simpleString())
+    written.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).orderBy("term").write.parquet(f"{folder}/terms")
 
 
 @dataclass
@@ -165,16 +180,18 @@ class Index:
     def bounds(self, node, idf: dict[str, float]) -> DataFrame:
         """(seg, block, bound): the most that a chunk of each block can score, for blocks with every term that must be there."""
         terms, must = match.terms_of(node), match.needed(node)
-        rows = self._of_terms(*_wanted(node)).groupBy("seg", "block", "term").agg(F.max("max_tf").alias("tf"), F.min("min_dl").alias("dl"))
-        part = F.lit(0.0)
+        weight = F.lit(0.0)
         for t in terms:
-            part = F.when(F.col("term") == t, self._part(idf[t], F.col("tf"), F.col("dl"))).otherwise(part)
+            weight = F.when(F.col("term") == t, F.lit(idf[t])).otherwise(weight)
+        most = F.array_max(F.zip_with("max_tfs", "min_dls", lambda tf, dl: self._part(1.0, tf, dl)))
+        rows = self._of_terms(*_wanted(node)).groupBy("seg", "block", "term").agg(F.max(most).alias("most"))
+        part = weight * F.col("most")
         per = rows.groupBy("seg", "block").agg(F.sum(part).alias("bound"), F.count(F.when(F.col("term").isin(sorted(must)), 1)).alias("there"))
         return per.where(F.col("there") == len(must)).select("seg", "block", "bound")
 
-    def hits(self, node, idf: dict[str, float], blocks: DataFrame | list | None = None, barred: DataFrame | None = None) -> DataFrame:
-        """(seg, row, doc_id, chunk_id, score) of the chunks that match, of all blocks or of those given (rows or (seg, block) pairs)."""
-        terms, prefixes = _wanted(node)
+    def places(self, terms: list[str], prefixes: list[str], blocks: DataFrame | list | None = None, barred: DataFrame | None = None) -> tuple[DataFrame, dict]:
+        """A row for each live chunk with one of the terms, of all blocks or of those given (rows or (seg, block) pairs); and the
+        columns with the positions of each (term, False) and (prefix, True)."""
         rows = self._of_terms(terms, prefixes)
         if isinstance(blocks, list):
             each = {}
@@ -193,7 +210,11 @@ class Index:
         of = lambda t, prefix: F.startswith("term", F.lit(t)) if prefix else F.col("term") == t
         places = [F.array_sort(F.collect_list(F.when(of(t, p), F.col("pos")))).alias(f"p{i}") for i, (t, p) in enumerate(slots)]
         grouped = own.groupBy("seg", "row").agg(F.first("doc_id").alias("doc_id"), F.first("chunk_id").alias("chunk_id"), F.first("dl").alias("dl"), *places)
-        at = {s: F.col(f"p{i}") for i, s in enumerate(slots)}
+        return grouped, {s: F.col(f"p{i}") for i, s in enumerate(slots)}
+
+    def hits(self, node, idf: dict[str, float], blocks: DataFrame | list | None = None, barred: DataFrame | None = None) -> DataFrame:
+        """(seg, row, doc_id, chunk_id, score) of the chunks that match, of all blocks or of those given."""
+        grouped, at = self.places(*_wanted(node), blocks, barred)
         score = F.lit(0.0)
         for t in sorted(match.terms_of(node)):
             score = score + self._part(idf[t], F.size(at[(t, False)]), F.col("dl"))
@@ -209,14 +230,15 @@ class Index:
         """The hits with the k best scores, more where scores are equal; ``told`` gets how many blocks there are and how many were read."""
         idf = self._idf(match.terms_of(node))
         bounds = self.bounds(node, idf)
-        first = bounds.orderBy(F.desc("bound"), "seg", "block").limit(FIRST + 1).collect()
-        pairs = [(r["seg"], r["block"]) for r in first[:FIRST]]
+        count = max(FIRST, k)
+        first = bounds.orderBy(F.desc("bound"), "seg", "block").limit(count + 1).collect()
+        pairs = [(r["seg"], r["block"]) for r in first[:count]]
         if told is not None:
             told |= {"blocks": len(pairs), "read": len(pairs)}
-        if len(first) <= FIRST:
+        if len(first) <= count:
             return self.hits(node, idf, pairs, barred)
         best = [r["score"] for r in self.hits(node, idf, pairs, barred).select("score").orderBy(F.desc("score")).limit(k).collect()]
-        if len(best) == k and first[FIRST]["bound"] < best[-1] - 1e-9:
+        if len(best) == k and first[count]["bound"] < best[-1] - 1e-9:
             if told is not None:
                 told["blocks"] = bounds.count()
             return self.hits(node, idf, pairs, barred)

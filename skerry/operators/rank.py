@@ -261,11 +261,14 @@ def hash_embedder(dimensions: int = DIMENSIONS) -> Callable[[list[str]], list[li
 
         from ..plans.match import split_words
 
+        known: dict[str, int] = {}  # buckets of the words of a batch
         out = []
         for text in texts:
             v = [0.0] * dimensions
             for t in split_words(text):
-                v[int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dimensions] += 1
+                if t not in known:
+                    known[t] = int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dimensions
+                v[known[t]] += 1
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / norm for x in v])
         return out

@@ -335,6 +335,85 @@ def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query("SELECT vec_id, round(1 - array_cosine_similarity(embedding::DOUBLE[64], q), 6) AS distance FROM embeddings, (SELECT embedding::DOUBLE[64] AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY 2, 1 LIMIT 10")
+def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    near = rank.knn(_t(spark, d, "embeddings"), _first_vector(spark, d), 20, ["vec_id"], metric="cosine")
+    return near.select("vec_id", F.round("distance", 6).alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
+# The engine: an index of all documents, searched and changed
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _engine(spark: SparkSession, d: str, own: bool = False):
+    """An engine with an index of ``documents``, built once a session and table, or anew for a query that changes it."""
+    from .engine import Engine
+
+    at = (spark.sparkContext.applicationId, d)
+    if own or at not in _INDEXES:
+        engine = Engine(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+        engine.build(_docs(spark, d).select("doc_id", "text", "source", F.col("source").alias("path")), vectors=not own)
+        if own:
+            return engine
+        _INDEXES[at] = engine.folder
+    return Engine.open(spark, _INDEXES[at])
+
+
+def _engine_sql(hit: str, terms: list[str], k: int, where: str = "TRUE") -> str:
+    """BM25 over chunks with the statistics of all of them, for the chunks where ``hit`` holds."""
+    tf = ", ".join(f"len(list_filter(tk, lambda w: w = '{t}'))::DOUBLE AS t{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"(count(*) FILTER (WHERE t{i} > 0))::DOUBLE AS d{i}" for i in range(len(terms)))
+    part = lambda i: f"ln(1 + (n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
+    return f"""WITH {_CHUNKS}, t AS (SELECT doc_id, source, chunk_id, {_TK} AS tk FROM chunks WHERE text <> ''),
+f AS (SELECT doc_id, source, chunk_id, ' ' || array_to_string(tk, ' ') || ' ' AS j, len(tk)::DOUBLE AS dl, {tf} FROM t), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM f)
+SELECT doc_id, chunk_id, round({' + '.join(part(i) for i in range(len(terms)))}, 6) AS score FROM f, s WHERE ({hit}) AND ({where}) ORDER BY 3 DESC, 1, 2 LIMIT {k}"""
+
+
+def _hits(engine, text: str, k: int, **more) -> DataFrame:
+    from .engine import SearchQuery
+
+    return engine.search(SearchQuery(text, mode="keyword", top_k=k, **more)).select("doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_engine_sql("contains(j, ' of ') AND contains(j, ' the ') AND NOT contains(j, ' and ')", ["of", "the"], 25))
+def engine_keyword(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_engine(spark, d), "the of NOT and", 25)
+
+
+@query(_engine_sql("contains(j, ' of the ')", ["of", "the"], 25))
+def engine_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_engine(spark, d), '"of the"', 25)
+
+
+@query(_engine_sql("contains(j, ' eau ') OR contains(j, ' der ')", ["der", "eau"], 40))
+def engine_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_engine(spark, d), "eau OR der", 40)
+
+
+@query(_engine_sql("contains(j, ' the ')", ["the"], 25, "source IN ('src1', 'src3')"))
+def engine_facets(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_engine(spark, d), "the", 25, sources=["src1", "src3"])
+
+
+@query(_engine_sql("contains(j, ' the ') AND contains(j, ' thr')", ["the", "thr"], 25))
+def engine_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_engine(spark, d), "the thr*", 25)
+
+
+@query(f"""WITH documents AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'changed the text ' || text ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 0),
+{_CHUNKS} SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE contains(' ' || array_to_string({_TK}, ' ') || ' ', ' the ')) AS n_hits FROM chunks WHERE text <> '' GROUP BY 1""")
+def engine_update(spark: SparkSession, d: str) -> DataFrame:
+    """An index whose documents are changed, taken out by an update and removed; then its chunks and hits by document."""
+    engine = _engine(spark, d, own=True)
+    docs = _docs(spark, d).select("doc_id", "source", F.col("source").alias("path"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("changed the text "), "text")).otherwise(F.col("text")).alias("text"))
+    engine.update(docs.where("doc_id % 3 <> 0"))
+    engine.remove(docs.where("doc_id % 11 = 0"))
+    hits = engine._index(engine._now()).search(match.parse("the")).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+    own = engine.chunks().groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return own.join(hits, "doc_id", "left").select("doc_id", "n_chunks", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+
+
 # Facets, groups, sets
 
 

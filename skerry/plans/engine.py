@@ -234,9 +234,9 @@ class Engine:
 
     def _raw(self, manifest: dict, table: str) -> DataFrame | None:
         parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if s["documents"]]
-        if table == "postings":
-            frames = [self.spark.read.option("basePath", p).parquet(p) for p in parts]
-            return reduce(DataFrame.unionByName, frames) if frames else None
+        if table == "postings" and parts:
+            id_type = self._raw(manifest, "chunks").schema["doc_id"].dataType.simpleString()
+            return reduce(DataFrame.unionByName, [postings.read(self.spark, p.removesuffix("/postings"), id_type) for p in parts])
         return self.spark.read.parquet(*parts) if parts else None
 
     def _read(self, manifest: dict, table: str) -> DataFrame:
