@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk as C
-from ..operators import facets, postings, rank
+from ..operators import facets, ivf, postings, rank
 from ..sources import thesaurus as thes
 from ..streaming import ingest
 from . import match
@@ -44,6 +44,8 @@ class SearchQuery:
 
 #: Chunks for each bucket of terms, and buckets at most; rows of one search that are fetched by their numbers.
 BUCKET_CHUNKS, MAX_BUCKETS, FETCHED = 20_000, 4_096, 10_000
+#: What names a chunk: its document, its number there, and its place in the index.
+_PLACE = ["doc_id", "chunk_id", "seg", "row"]
 
 
 @dataclass
@@ -64,6 +66,8 @@ class Engine:
     embedder: object = None
     model: str = "md5-hash-384"
     at: int | None = None
+    #: How vectors are searched: all of them, or by inverted lists of product-quantised codes (see :mod:`..operators.ivf`).
+    index: Literal["exact", "ivf_pq"] = "exact"
 
     @property
     def _embed(self):
@@ -75,7 +79,7 @@ class Engine:
         return docs.select("doc_id", "text", *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in self._WANTED.items()])
 
     def _settings(self, size: int, overlap: int, vectors: bool) -> dict:
-        return {"chunk_size": size, "overlap": overlap, "model": self.model if vectors else None}
+        return {"chunk_size": size, "overlap": overlap, "model": self.model if vectors else None, "index": self.index if vectors else "exact"}
 
     @staticmethod
     def sources_digest(docs: DataFrame) -> str:
@@ -126,11 +130,11 @@ class Engine:
 
     # Writing
 
-    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, buckets: int | None) -> dict:
+    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, buckets: int | None, fitted: str | None = None) -> dict:
         """The tables of a segment; what a manifest says of it."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
-        made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets}
+        made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets, "fitted": fitted}
         if gone is not None:
             gone.select("doc_id").distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
         if docs is None:
@@ -145,6 +149,14 @@ class Engine:
         postings.write(written.withColumn("tokens", T.tokens(F.col("chunk_text"))), at, made["buckets"])
         if settings["model"] is not None:
             rank.embed(written, self._embed, "chunk_text").select("seg", "row", "doc_id", "chunk_id", "embedding").write.parquet(f"{at}/vectors")
+        if settings["index"] == "ivf_pq":
+            vectors = self.spark.read.parquet(f"{at}/vectors")
+            if fitted is None and n:
+                ivf.fit(vectors, ["seg", "row"]).write(self.spark, f"{at}/fitted")
+                made["fitted"] = name
+            if made["fitted"]:
+                codes = ivf.encode(vectors, ivf.Model.read(self.spark, f"{self.folder}/segments/{made['fitted']}/fitted"), _PLACE)
+                codes.hint("rebalance", "list").write.partitionBy("list").parquet(f"{at}/codes")
         return made
 
     def _commit(self, before: dict | None, docs: DataFrame | None, gone: DataFrame | None, settings: dict, digest: str | None = None) -> None:
@@ -153,7 +165,7 @@ class Engine:
         lost = (0, 0)
         if gone is not None:
             lost = self.chunks().join(gone, "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, segments[0]["buckets"] if segments else None)
+        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, segments[0]["buckets"] if segments else None, segments[-1]["fitted"] if segments else None)
         manifest = {
             "generation": max(self.generations(), default=-1) + 1 if before is None else before["generation"] + 1,
             "settings": settings,
@@ -216,7 +228,7 @@ class Engine:
         numbers = self.generations()
         used: set[str] = set()
         for n in numbers[-keep:]:
-            used |= {s["name"] for s in replace(self, at=n)._now()["segments"]}
+            used |= {s[k] for s in replace(self, at=n)._now()["segments"] for k in ("name", "fitted")}
         for n in numbers[:-keep]:
             fs, path = self._path(f"generations/{n:012d}.json")
             fs.delete(path, False)
@@ -234,6 +246,10 @@ class Engine:
 
     def _raw(self, manifest: dict, table: str) -> DataFrame | None:
         parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if s["documents"]]
+        if table == "codes":
+            parts = [f"{self.folder}/segments/{s['name']}/codes" for s in manifest["segments"] if s["documents"] and s["fitted"]]
+            kinds = {c: f"{c} {t}" for c, t in self._raw(manifest, "vectors").dtypes}
+            return reduce(DataFrame.unionByName, [self.spark.read.schema(", ".join([*(kinds[c] for c in _PLACE), "codes binary", "list int"])).parquet(p) for p in parts]) if parts else None
         if table == "postings" and parts:
             id_type = self._raw(manifest, "chunks").schema["doc_id"].dataType.simpleString()
             return reduce(DataFrame.unionByName, [postings.read(self.spark, p.removesuffix("/postings"), id_type) for p in parts])
@@ -253,6 +269,9 @@ class Engine:
         n = manifest["n_chunks"]
         return postings.Index(self.spark, self._raw(manifest, "postings"), self._raw(manifest, "terms"), manifest["segments"][0]["buckets"], n, manifest["n_tokens"] / n if n else 0.0, self._gone(manifest))
 
+    def _fitted(self, manifest: dict) -> ivf.Model:
+        return ivf.Model.read(self.spark, f"{self.folder}/segments/{manifest['segments'][-1]['fitted']}/fitted")
+
     def documents(self) -> DataFrame:
         return self._read(self._now(), "documents").drop("seg")
 
@@ -267,6 +286,7 @@ class Engine:
         """An index that is complete: without a generation, or built by another model, it is an error (SRC-15, Q-15)."""
         engine = cls(spark, folder, **kind)
         status = engine.status()
+        engine = replace(engine, index=status["index"])
         if status["model"] not in (None, engine.model):
             raise ValueError(f"the index was built with {status['model']}, not {engine.model}")
         return engine
@@ -282,7 +302,7 @@ class Engine:
         for s in now["segments"]:
             fs, path = self._path(f"segments/{s['name']}")
             sizes.append(fs.getContentSummary(path).getLength())
-        return {"status": "ok", "index_type": "exact", "generation": now["generation"], "segments": len(sizes), "total_chunks": now["n_chunks"], "built": now["built"], "digest": now["digest"], "bytes": sum(sizes), **now["settings"]}
+        return {"status": "ok", "index_type": now["settings"]["index"], "generation": now["generation"], "segments": len(sizes), "total_chunks": now["n_chunks"], "built": now["built"], "digest": now["digest"], "bytes": sum(sizes), **now["settings"]}
 
     def _barred(self, q: SearchQuery) -> DataFrame | None:
         """doc_id of the documents that the facets keep out; None: no facet. What the documents don't know passes (FIL-5)."""
@@ -315,7 +335,7 @@ class Engine:
         barred = self._barred(q)
         text = thes.expand_query(q.query, self.thesaurus) if thes.matched_concepts(q.query, self.thesaurus) else q.query
         key = ["doc_id", "chunk_id"]
-        both = [*key, "seg", "row"]
+        both = _PLACE
         deep = max(q.top_k, 10) * 5
         node = match.parse(text, lenient=q.lenient) if q.mode != "semantic" else None
         keyword = semantic = None
@@ -327,8 +347,16 @@ class Engine:
             vector = self._embed([" ".join(thes.expand_terms(q.query, self.thesaurus))])[0]
             rows = self._read(now, "vectors")
             rows = rows if barred is None else rows.join(barred, "doc_id", "left_anti")
-            everything = q.mode == "hybrid" and q.fusion == "weighted"
-            semantic = rank.distances(rows, vector, both) if everything else rank.knn(rows, vector, q.top_k if q.mode == "semantic" else deep, both)
+            k = q.top_k if q.mode == "semantic" else deep
+            if q.mode == "hybrid" and q.fusion == "weighted":
+                semantic = rank.distances(rows, vector, both)
+            elif now["segments"][-1]["fitted"] and all(s["fitted"] for s in now["segments"] if s["n_chunks"]):
+                codes = self._read(now, "codes")
+                codes = codes if barred is None else codes.join(barred, "doc_id", "left_anti")
+                fitted = self._fitted(now)  # under facets the nearest rows may lie in any list
+                semantic = ivf.knn(codes, rows, fitted, vector, k, both, probes=None if barred is None else len(fitted.centres))
+            else:
+                semantic = rank.knn(rows, vector, k, both)
             semantic = semantic.withColumn("similarity", 1 - F.col("distance") / 2).withColumn("score", F.col("similarity"))
         if q.mode == "keyword":
             top = keyword.orderBy(F.desc("score"), *key).limit(q.top_k)

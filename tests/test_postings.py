@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
-from skerry.operators import postings, rank
+from skerry.operators import ivf, postings, rank
 from skerry.plans import match
 from skerry.plans.engine import Engine, SearchQuery
 
@@ -151,3 +151,52 @@ def test_empty_and_odd_documents(spark, tmp_path):
     e.add(spark.createDataFrame([("a", None, None), ("b", "", 1), ("c", " ?! ", 2), ("d", "x " * 3_000, 3)], KIND))
     assert {r["doc_id"] for r in e.search(SearchQuery("x", mode="keyword", top_k=50)).collect()} == {"d"}
     assert e.status()["total_chunks"] == e.chunks().count() and e.documents().count() == 4
+
+
+def test_product_quantised_lists(spark, tmp_path, sf):
+    """Clustered vectors: few lists are read, few full vectors are measured, and recall at 10 is at least 0.9; also on the given table."""
+    rnd = random.Random(8)
+    rows = [(k, [rnd.gauss((k * 7919 % 40) * (1 if i % 2 else -0.5), 1) for i in range(24)]) for k in range(3_000)] + [(9_999, None)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for v, share in ((made, 0.25), (spark.read.parquet(f"{sf}/embeddings.parquet"), 1)):
+        model = ivf.fit(v, ["vec_id"])
+        path = str(tmp_path / f"lists{share}")
+        model.write(spark, path + "-model")
+        assert ivf.Model.read(spark, path + "-model") == model
+        ivf.encode(v, model, ["vec_id"]).write.partitionBy("list").parquet(path)
+        index, n = spark.read.parquet(path), v.where("embedding IS NOT NULL").count()
+        assert index.count() == n
+        hit, read = 0, 0
+        asked = [r["embedding"] for r in v.where("vec_id % 61 = 0").limit(6).collect()]
+        for q in asked:
+            want = {r["vec_id"] for r in rank.knn(v, q, 10, ["vec_id"]).collect()}
+            got = ivf.knn(index, v, model, q, 10, ["vec_id"]).collect()
+            assert [r["distance"] for r in got] == sorted(r["distance"] for r in got)
+            hit += len(want & {r["vec_id"] for r in got})
+            read += index.where(F.col("list").isin(ivf.lists_of(model, q))).count()
+        assert hit >= 0.9 * 10 * len(asked) and read <= share * n * len(asked)
+    plan = ivf.candidates(index, model, asked[0], 10, ["vec_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan and "embedding" not in plan
+    assert ivf.fit(made.limit(0), ["vec_id"]).probes == 0
+
+
+def test_engine_with_codes(spark, tmp_path):
+    rnd = random.Random(3)
+    topics = [["cat", "purr", "milk"], ["dog", "bark", "bone"], ["fox", "den", "red"]]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(rnd.choice(topics[i % 3]) for _ in range(20)), i) for i in range(120)], KIND)
+    e = Engine(spark, str(tmp_path / "index"), index="ivf_pq")
+    e.build(docs)
+    exact = Engine(spark, str(tmp_path / "exact"))
+    exact.build(docs)
+    assert e.status()["index_type"] == "ivf_pq" and Engine.open(spark, e.folder).index == "ivf_pq"
+    more = spark.createDataFrame([("new", "dog bark bone dog bark bone", 5), ("d001", "fox", 1)], KIND)
+    for x in (e, exact):
+        x.add(more)
+    ask = SearchQuery("dog bark bone", mode="semantic", top_k=10)
+    got, want = ([r["doc_id"] for r in x.search(ask).collect()] for x in (e, exact))
+    assert got[0] == want[0] == "new" and len(set(got) & set(want)) >= 9
+    assert [r["doc_id"] for r in e.search(SearchQuery("dog", mode="semantic", year_max=0, top_k=3)).collect()] == ["d000"]
+    e.remove(more.where("doc_id = 'new'"))
+    assert "new" not in {r["doc_id"] for r in e.search(ask).collect()}
+    e.vacuum()
+    assert len(e.search(SearchQuery("dog", top_k=5)).collect()) == 5
