@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-#: Documents whose summaries one summary is made of.
+#: Summaries that one summary is made of.
 SUMMARISED = 1_000
 
 
@@ -136,14 +136,34 @@ def summarise(text: str, query: str | None = None, sentences: int = 3, max_words
 
 
 def summarise_many(docs: DataFrame, query: str | None = None, sentences: int = 3, max_words: int = 150, text: str = "text") -> str:
-    """One extractive summary of many documents (SP-11): each is summarised where it is, then the summaries of the SUMMARISED first by their order are."""
-    from pyspark.sql import types as types
-
-    @F.pandas_udf(types.StringType())
-    def each(texts):
-        import pandas as pd
-
-        return pd.Series([summarise(t or "", query, sentences, max_words) for t in texts])
-
-    rows = docs.limit(SUMMARISED).select(each(text).alias("s")).collect()
-    return summarise("\n".join(r["s"] for r in rows), query, sentences, max_words)
+    """One extractive summary of all documents (SP-11): the summary of their summaries, in the order of ``docs``.
+
+    More than SUMMARISED documents are a tree: a task goes through its documents, and SUMMARISED summaries at a time become
+    one of the next SUMMARISED, so it passes on one; tasks' summaries are put together in the same way, as few as that go to
+    the driver. No document is left out.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"s": [summarise(t or "", query, sentences, max_words) for t in batch.column(0).to_pylist()]})
+
+    def together(batches):
+        import pyarrow as pa
+
+        held: list[str] = []
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(t)
+                if len(held) == SUMMARISED:
+                    held = [summarise("\n".join(held), query, sentences, max_words)]
+        if held:
+            yield pa.RecordBatch.from_pydict({"s": [summarise("\n".join(held), query, sentences, max_words)]})
+
+    rows = docs.select(text).mapInArrow(run, "s string")
+    if docs.limit(SUMMARISED + 1).count() > SUMMARISED:
+        rows = rows.mapInArrow(together, "s string")
+        while (parts := rows.rdd.getNumPartitions()) > SUMMARISED:
+            rows = rows.coalesce(-(-parts // SUMMARISED)).mapInArrow(together, "s string")
+    return summarise("\n".join(r["s"] for r in rows.collect()), query, sentences, max_words)

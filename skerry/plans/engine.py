@@ -88,6 +88,20 @@ class Engine:
         got = ingest.digest(docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1(row)).alias("key"))).first()
         return (got["digest"] if got else None) or "empty"
 
+    @staticmethod
+    def _schema(table: str, id_type: str) -> str:
+        """The columns of a segment's table, so that no reader has to look them up in its files."""
+        place = f"doc_id {id_type}, chunk_id int, seg int, row long"
+        return {
+            "documents": f"doc_id {id_type}, text string, {', '.join(f'{c} {t}' for c, t in Engine._WANTED.items())}, seg int",
+            "chunks": f"doc_id {id_type}, chunk_id int, start int, chunk_text string, seg int, row long, n_tokens int",
+            "postings": f"{postings.schema_of(id_type)}, bucket int",
+            "terms": "term string, df long, cf long",
+            "vectors": f"{place}, embedding array<float>",
+            "codes": f"{place}, codes binary, list int",
+            "gone": f"doc_id {id_type}, at int",
+        }[table]
+
     # Files
 
     def _path(self, name: str):
@@ -104,10 +118,14 @@ class Engine:
     def _manifest(self) -> dict | None:
         """The generation that this engine reads."""
         number = self.at if self.at is not None else max(self.generations(), default=None)
-        if number is None or number not in self.generations():
+        fs, path = self._path(f"generations/{number or 0:012d}.json")
+        if number is None or not fs.exists(path):
             return None
-        rows = self.spark.read.text(f"{self.folder}/generations/{number:012d}.json", wholetext=True).first()
-        return json.loads(rows["value"])
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _now(self) -> dict:
         found = self._manifest()
@@ -130,13 +148,13 @@ class Engine:
 
     # Writing
 
-    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, buckets: int | None, fitted: str | None = None) -> dict:
+    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, id_type: str, buckets: int | None, fitted: str | None = None) -> dict:
         """The tables of a segment; what a manifest says of it."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
         made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets, "fitted": fitted}
         if gone is not None:
-            gone.select("doc_id").distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
+            gone.select(F.col("doc_id").cast(id_type).alias("doc_id")).distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
         if docs is None:
             return made
         docs.withColumn("seg", F.lit(number)).write.parquet(f"{at}/documents")
@@ -165,10 +183,13 @@ class Engine:
         lost = (0, 0)
         if gone is not None:
             lost = self.chunks().join(gone, "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, segments[0]["buckets"] if segments else None, segments[-1]["fitted"] if segments else None)
+        id_type = before["id_type"] if before else docs.schema["doc_id"].dataType.simpleString()
+        docs = docs if docs is None else docs.withColumn("doc_id", F.col("doc_id").cast(id_type))
+        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, id_type, segments[0]["buckets"] if segments else None, segments[-1]["fitted"] if segments else None)
         manifest = {
             "generation": max(self.generations(), default=-1) + 1 if before is None else before["generation"] + 1,
             "settings": settings,
+            "id_type": id_type,
             "segments": [*segments, new],
             "n_chunks": (before["n_chunks"] if before else 0) - lost[0] + new["n_chunks"],
             "n_tokens": (before["n_tokens"] if before else 0) - lost[1] + new["n_tokens"],
@@ -220,7 +241,7 @@ class Engine:
         """One segment in the place of many, without what was taken out."""
         before = self._now()
         alone = before | {"segments": []}
-        new = self._write_segment(self.documents(), None, max(s["number"] for s in before["segments"]) + 1, before["settings"], None)
+        new = self._write_segment(self.documents(), None, max(s["number"] for s in before["segments"]) + 1, before["settings"], before["id_type"], None)
         self._finish(alone | {"generation": before["generation"] + 1, "segments": [new], "n_chunks": new["n_chunks"], "n_tokens": new["n_tokens"]})
 
     def vacuum(self, keep: int = 1) -> int:
@@ -241,19 +262,17 @@ class Engine:
     # Reading
 
     def _gone(self, manifest: dict) -> DataFrame | None:
-        paths = [f"{self.folder}/segments/{s['name']}/gone" for s in manifest["segments"] if s["gone"]]
-        return self.spark.read.parquet(*paths).groupBy("doc_id").agg(F.max("at").alias("at")) if paths else None
+        rows = self._raw(manifest, "gone")
+        return None if rows is None else rows.groupBy("doc_id").agg(F.max("at").alias("at"))
 
     def _raw(self, manifest: dict, table: str) -> DataFrame | None:
-        parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if s["documents"]]
-        if table == "codes":
-            parts = [f"{self.folder}/segments/{s['name']}/codes" for s in manifest["segments"] if s["documents"] and s["fitted"]]
-            kinds = {c: f"{c} {t}" for c, t in self._raw(manifest, "vectors").dtypes}
-            return reduce(DataFrame.unionByName, [self.spark.read.schema(", ".join([*(kinds[c] for c in _PLACE), "codes binary", "list int"])).parquet(p) for p in parts]) if parts else None
-        if table == "postings" and parts:
-            id_type = self._raw(manifest, "chunks").schema["doc_id"].dataType.simpleString()
-            return reduce(DataFrame.unionByName, [postings.read(self.spark, p.removesuffix("/postings"), id_type) for p in parts])
-        return self.spark.read.parquet(*parts) if parts else None
+        """All rows of a table of the live segments; None where no segment has it."""
+        has = {"gone": lambda s: s["gone"], "codes": lambda s: s["documents"] and s["fitted"]}.get(table, lambda s: s["documents"])
+        parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if has(s)]
+        reader = self.spark.read.schema(self._schema(table, manifest["id_type"]))
+        if table in ("postings", "codes"):  # partitioned: each segment is a root of its own
+            return reduce(DataFrame.unionByName, [reader.parquet(p) for p in parts]) if parts else None
+        return reader.parquet(*parts) if parts else None
 
     def _read(self, manifest: dict, table: str) -> DataFrame:
         """The live rows of a table."""
@@ -377,10 +396,10 @@ class Engine:
         key = ["doc_id", "chunk_id"]
         chunks, docs = self._raw(now, "chunks"), self._read(now, "documents")
         if k <= FETCHED:
-            rows = top.collect()
+            rows = top.toArrow()
             top = self.spark.createDataFrame(rows, top.schema)
-            chunks = chunks.where(F.col("row").isin([r["row"] for r in rows]) & F.col("seg").isin(sorted({r["seg"] for r in rows})))
-            docs = docs.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})))
+            chunks = chunks.where(F.col("row").isin(rows["row"].to_pylist()) & F.col("seg").isin(sorted(set(rows["seg"].to_pylist()))))
+            docs = docs.where(F.col("doc_id").isin(sorted(set(rows["doc_id"].drop_null().to_pylist()))))
         shown = top.join(F.broadcast(chunks.select("seg", "row", "chunk_text")) if k <= FETCHED else chunks.select("seg", "row", "chunk_text"), ["seg", "row"])
         named = shown.join(F.broadcast(docs.select("doc_id", "path", "title")) if k <= FETCHED else docs.select("doc_id", "path", "title"), "doc_id", "left")
         snippet = match.snippet(F.col("chunk_text"), node) if node is not None else T.shorten(F.col("chunk_text"))

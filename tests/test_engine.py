@@ -269,6 +269,16 @@ def test_saved_searches_and_summaries(spark, tmp_path):
     assert "Cats" in e.summarise_hits(SearchQuery("cats", mode="keyword")) and e.summarise_hits(SearchQuery("zebra", mode="keyword")) == ""
 
 
+def test_summary_of_more_documents_than_one_is_made_of(spark, monkeypatch):
+    """Above the bound every document is still read: the sentence that only the last one has can win by the query."""
+    monkeypatch.setattr(facets, "SUMMARISED", 7)
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}." if i < 99 else "Zebras run far.") for i in range(100)], "doc_id int, text string")
+    for parts in (1, 5, 20):
+        assert "Zebras" in facets.summarise_many(docs.repartition(parts), "zebras", sentences=1)
+    few = docs.where("doc_id > 93").orderBy("doc_id")
+    assert facets.summarise_many(few) == facets.summarise("\n".join(facets.summarise(r["text"]) for r in few.collect()))
+
+
 def test_inverted_file_index(spark):
     import random
 

@@ -105,7 +105,7 @@ def test_updates_write_what_changed(spark, tmp_path):
     assert hits(e) == hits(fresh) != was == hits(old)
     assert e.status()["total_chunks"] == fresh.status()["total_chunks"] == e.chunks().count() and e.status()["digest"] == fresh.status()["digest"]
     got = lambda x, mode, fusion: [(r["doc_id"], r["chunk_id"], round(r["score"], 9)) for r in x.search(SearchQuery("w1 w2", mode=mode, fusion=fusion, top_k=8)).collect()]
-    for mode, fusion in (("semantic", "rrf"), ("hybrid", "rrf"), ("hybrid", "weighted"), ("hybrid", "concat")):
+    for mode, fusion in (("hybrid", "rrf"), ("hybrid", "weighted")):
         assert got(e, mode, fusion) == got(fresh, mode, fusion)
     e.remove(spark.createDataFrame([("new",), ("unknown",)], "doc_id string"))
     del rows["new"]
