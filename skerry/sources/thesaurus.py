@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Concepts and synonyms that may be broadcast.
-MAX_TERMS = 100_000
+#: Concepts and synonyms that may be broadcast, and those that are compiled into a plan.
+MAX_TERMS, COMPILED = 100_000, 200
 
 
 def load(path: str) -> dict[str, list[str]]:
@@ -70,11 +70,15 @@ def frame(spark: SparkSession, thesaurus: dict[str, list[str]]) -> DataFrame:
 
 
 def tag(docs: DataFrame, thesaurus: dict[str, list[str]], key: str, text: str = "text") -> DataFrame:
-    """(key, concept) for each concept that a document names. Terms are compiled into the plan: one pass, no join."""
-    if sum(len(s) + 1 for s in thesaurus.values()) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms can be compiled")
+    """(key, concept) for each concept that a document names: one pass, no join. Up to COMPILED terms are compiled into the
+    plan; more are looked for by their words, in a table that goes to the tasks, so that the plan stays as it is."""
+    n = sum(len(s) + 1 for s in thesaurus.values())
+    if n > MAX_TERMS:
+        raise ValueError(f"at most {MAX_TERMS} terms can be sent to the tasks")
     from ..plans.match import joined, split_words
 
+    if n > COMPILED:
+        return _tag_by_words(docs, thesaurus, key, text)
     s = F.col("_joined")
     found = []
     for concept, synonyms in thesaurus.items():
@@ -86,3 +90,35 @@ def tag(docs: DataFrame, thesaurus: dict[str, list[str]], key: str, text: str =
         found.append(F.when(hit, F.lit(concept)))
     base = docs.select(key, joined(T.tokens(F.col(text))).alias("_joined"))
     return base.select(key, F.explode(F.array_compact(F.array(*found) if found else F.array().cast("array<string>"))).alias("concept"))
+
+
+def _tag_by_words(docs: DataFrame, thesaurus: dict[str, list[str]], key: str, text: str) -> DataFrame:
+    """The same with terms as tuples of words: at each token, the terms that begin with it are compared, by their lengths."""
+    from ..plans.match import split_words
+
+    concepts: dict[tuple, set[str]] = {}
+    for concept, synonyms in thesaurus.items():
+        for term in (concept, *synonyms):
+            if words := split_words(term):
+                concepts.setdefault(words, set()).add(concept)
+    lengths: dict[str, set[int]] = {}
+    for words in concepts:
+        lengths.setdefault(words[0], set()).add(len(words))
+    sent = docs.sparkSession.sparkContext.broadcast((concepts, lengths))
+
+    def run(batches):
+        import pyarrow as pa
+
+        known, sizes = sent.value
+        for batch in batches:
+            found = []
+            for tokens in batch.column(1).to_pylist():
+                named: set[str] = set()
+                for i, t in enumerate(tokens):
+                    for n in sizes.get(t, ()):
+                        named |= known.get(tuple(tokens[i : i + n]), set())
+                found.append(sorted(named))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "concepts"])
+
+    rows = docs.select(key, T.tokens(F.col(text)).alias("_tokens")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, concepts array<string>")
+    return rows.select(key, F.explode("concepts").alias("concept"))

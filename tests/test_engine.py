@@ -330,6 +330,21 @@ def test_an_unfinished_build_is_no_index(spark, tmp_path, monkeypatch):
     assert [r["doc_id"] for r in Engine.open(spark, e.folder).search(SearchQuery("cat*", mode="keyword")).collect()] == ["a"]  # as it was
 
 
+def test_tags_of_many_terms(spark, sf, monkeypatch):
+    """Compiled and looked up terms give the same; 50,000 terms are one pass with a plan of the same size."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = {"motion": ["ation", "ing to"], "place": ["in the", "of the", "of"], "person": ["he", "vous", "ich"], "?!": ["-"]}
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    want = pairs(thesaurus.tag(docs, few, "doc_id"))
+    monkeypatch.setattr(thesaurus, "COMPILED", 1)
+    small = thesaurus.tag(docs, few, "doc_id")
+    assert pairs(small) == want and len(want) > 50
+    many = thesaurus.tag(docs, few | {f"c{i}": [f"no such words {i}"] for i in range(25_000)}, "doc_id")
+    assert pairs(many) == want
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(many) - size(small)) < 200
+
+
 def test_command_line(spark, tmp_path, capsys):
     from skerry.__main__ import main
 
