@@ -2,8 +2,13 @@
 
 The page is parsed into a tree; menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are cut from it, by element and by the words of
-class, id and role. Every paragraph that is left passes points for its length and its commas
-to its parent, half of them to the grandparent, and less further up; a container's points are
+class, id and role. Within an article or main element, and for paragraphs and headings, a mark
+has to be the whole name (``comments-list``, not ``discussion-paper``) unless what it names is
+links; ids of paragraphs and headings, and ids that repeat an element's heading, name places
+and mark nothing. Elsewhere a part of a name is enough, but for what holds most of the page's
+text. Every paragraph that is left passes points for its length and its commas to its parent,
+half of them to the grandparent, a sixth one further up and two thirds of that with each step
+from there, in one pass from the leaves; a container's points are
 discounted by the share of its text that is in links. The best container is kept, raised to
 the article or main element around it, with those of its siblings that are text: paragraphs,
 headings, lists, tables and bare text of few links at any length, and other containers that
@@ -13,9 +18,8 @@ paragraphs) is no form to cut; its controls are.
 Blocks are joined in page order by one line feed; white space in a block becomes one space.
 
 Defined results: null or empty html, or a page without text, gives an empty text; markup that
-is never closed ends with the page; elements nested deeper than MAX_DEPTH are text of the one at
-that depth, so that the time is linear in a page's length; of containers with equal points the
-first stays; rows with null or repeated ids are extracted like any other; an empty table gives
+is never closed ends with the page; elements may be nested to any depth, and the time is linear
+in a page's length; of containers with equal points the first stays; rows with null or repeated ids are extracted like any other; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -43,7 +47,6 @@ TEXTUAL = PARAGRAPHS | frozenset("ul ol dl table figure hgroup a abbr b bdi bdo
 #: A share of text in links that is too much for a text beside the article.
 LINKED = 0.25
 FORM_PARAGRAPHS = 3
-MAX_DEPTH = 512
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening element closes: itself, up to the element that bounds it.
 CLOSES = {
@@ -65,6 +68,14 @@ MARKS = frozenset(
     reply respond share sharing social related recommended recommendations widget widgets login pagination pager toolbar search
     skip""".split()
 )
+#: Words that only say what shape or whose a marked box is: a name of marks and these is a mark as a whole.
+SHAPES = frozenset(
+    """area article bar block blog body bottom box btn button buttons center col column container content desktop entry float form group head
+    icon icons inline inner item items layer left link links list main mobile module outer page panel post reader right row section site
+    slot text the thread title top unit user wrap wrapper""".split()
+)
+#: Marks that are also headings of articles' sections.
+HEADED = frozenset("advertising alert alerts banner consent cookie cookies discussion header menu menus navigation notice notices pagination promotion related recommended recommendations search sharing widget widgets".split())
 _NOT_BEFORE = frozenset(("has", "no", "with", "without", "not"))
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -72,14 +83,27 @@ _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _CLEAR = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+_SCOPED = frozenset().union(*(same | bound for same, bound in CLOSES.values()))
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "chars", "linked", "depth")
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "block", "scope", "letters", "link_letters", "paragraphs", "article", "given", "below", "far", "chars", "linked")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.depth = parent.depth + 1 if parent else 0
         self.children: list = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        #: The nearest block, itself included, and by name of a new element the open one that it would end.
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        self.scope: dict[str, Node] = parent.scope if parent else {}
+        if tag in _SCOPED:
+            self.scope = {name: self if tag in same else self.scope.get(name) for name, (same, bound) in CLOSES.items() if tag not in bound}
+        # Of the subtree as parsed: characters of text, those in links, p elements, whether an article or main element is in it.
+        self.letters = self.link_letters = self.paragraphs = 0
+        self.article = False
+        # Points: for what lies in it, for what lies in its children, and from further below; the text's characters, those in links.
+        self.given = self.below = self.far = 0.0
+        self.chars = self.linked = 0
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -106,6 +130,16 @@ _OPEN_QUOTE = re.compile(r"""=\s*(["'])""")
 
 def parse(text: str) -> Node:
     root = Node("#root")
+    nodes: list[Node] = []
+    opened: dict[str, list[Node]] = {}
+
+    def leave(node: Node, to: Node) -> Node:
+        """Close ``node`` and what it is in, up to ``to``; each element is left once."""
+        while node is not to:
+            opened[node.tag].pop()
+            node = node.parent
+        return to
+
     here, at, n = root, 0, len(text)
     lower = None
     no_comment_end = False
@@ -138,10 +172,11 @@ def parse(text: str) -> Node:
         attrs = text[m.end() : end]
         at = end + 1
         if name[0] == "/":
-            here = _close(here, name[1:])
+            here = leave(here, _after_end(here, name[1:], opened))
             continue
-        here = _open(here, name)
+        here = leave(here, _parent_of(here, name))
         node = Node(name, attrs, here)
+        nodes.append(node)
         here.children.append(node)
         if name in RAW:
             if lower is None:
@@ -152,71 +187,88 @@ def parse(text: str) -> Node:
             node.children.append(text[at:close])
             gt = text.find(">", close)
             at = n if gt < 0 else gt + 1
-        elif node.depth < MAX_DEPTH and name not in VOID and not (attrs.endswith("/") and name in ("svg", "path")):
+        elif name not in VOID and not (attrs.endswith("/") and name in ("svg", "path")):
             here = node
+            opened.setdefault(name, []).append(node)
+    for node in [*reversed(nodes), root]:  # children before their parents
+        if node.tag not in RAW:
+            node.letters += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            node.link_letters = node.letters
+        if up := node.parent:
+            up.letters += node.letters
+            up.link_letters += node.link_letters
+            up.paragraphs += node.paragraphs + (node.tag == "p")
+            up.article |= node.article or node.tag in ("article", "main")
     return root
 
 
-def _open(here: Node, name: str) -> Node:
+def _parent_of(here: Node, name: str) -> Node:
     """The parent for a new element: an open p ends before a block, a list item before the next one."""
     if name in BLOCKS:
-        node = here
-        while node.tag not in BLOCKS and node.parent:
-            node = node.parent
-        if node.tag == "p" or (node.tag in HEADINGS and name in HEADINGS):
-            here = node.parent
-    if name in CLOSES:
-        same, bound = CLOSES[name]
-        node = here
-        while node.parent and node.tag not in bound:
-            if node.tag in same:
-                return node.parent
-            node = node.parent
-    return here
+        block = here.block
+        if block.tag == "p" or (block.tag in HEADINGS and name in HEADINGS):
+            here = block.parent
+    ended = here.scope.get(name)
+    return ended.parent if ended else here
+
+
+def _after_end(here: Node, name: str, opened: dict[str, list[Node]]) -> Node:
+    """Where an end tag leads: out of the nearest open element of that name, unless something between holds it."""
+    if not opened.get(name):
+        return here
+    found = opened[name][-1]
+    if name not in BLOCKS and here.block.depth > found.depth:
+        return here  # an inline end tag doesn't reach out of its block
+    if name not in ("article", "main", "body", "html") and any(opened.get(t) and opened[t][-1].depth > found.depth for t in ("article", "main", "body")):
+        return here
+    return found.parent
+
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(name)]
 
-def _close(here: Node, name: str) -> Node:
-    node = here
-    while node.parent:
-        if node.tag == name:
-            return node.parent
-        if name not in BLOCKS and node.tag in BLOCKS:
-            return here  # an inline end tag doesn't reach out of its block
-        if node.tag in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-            return here
-        node = node.parent
-    return here
 
+def _heading_words(node: Node) -> list[str]:
+    first = next((c for c in node.children if not isinstance(c, str)), None)
+    return _words(" ".join(t for _, t, _ in blocks_of(first))) if first is not None and first.tag in HEADINGS else []
 
-def _is_cut(node: Node) -> bool:
+
+def _marks(node: Node, key: str, words: list[str], inside: bool, page: Node) -> bool:
+    """Whether a name's words mark an element as none of the article."""
+    found = {w for k, w in enumerate(words) if w in MARKS and not (k and words[k - 1] in _NOT_BEFORE)}
+    if inside:
+        found.discard("header")  # an article's header is part of it
+    if not found:
+        return False
+    small = node.tag in PARAGRAPHS
+    whole = all(w in MARKS or w in SHAPES for w in words)
+    if key == "id" and small:
+        return False
+    if key == "id" and inside and found <= HEADED and words == _heading_words(node):
+        return False
+    if whole:
+        return True
+    if inside or small:
+        return node.link_letters > LINKED * node.letters
+    return 2 * (node.letters - node.link_letters) <= page.letters - page.link_letters
+
+
+def _is_cut(node: Node, inside: bool, page: Node) -> bool:
+    """``inside``: whether an article or main element is around it; ``page``: the root."""
     if node.tag in CUT:
-        return not (node.tag == "header" and _within(node, ("article", "main"))) and not (node.tag == "form" and _wraps_text(node))
+        return not (node.tag == "header" and inside) and not (node.tag == "form" and (node.article or node.paragraphs >= FORM_PARAGRAPHS))
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(node.attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _CLEAR.search(value)):
             return True
-        if key in ("class", "id", "role"):
-            for name in value.split():
-                words = [w.lower() for w in _WORD.findall(name)]
-                if any(w in MARKS and not (k and words[k - 1] in _NOT_BEFORE) for k, w in enumerate(words)):
-                    return True
+        if key in ("class", "id", "role") and any(_marks(node, key, _words(name), inside, page) for name in value.split()):
+            return True
     return False
 
 
-def _wraps_text(form: Node) -> bool:
-    paragraphs, stack = 0, [form]
-    while stack:
-        for child in stack.pop().children:
-            if not isinstance(child, str):
-                if child.tag in ("article", "main"):
-                    return True
-                paragraphs += child.tag == "p"
-                stack.append(child)
-    return paragraphs >= FORM_PARAGRAPHS
-
-
 def _within(node: Node, tags: tuple) -> Node | None:
     """The nearest ancestor with one of the tags."""
     up = node.parent
@@ -226,11 +278,12 @@ def _within(node: Node, tags: tuple) -> Node | None:
 
 
 def _prune(root: Node) -> None:
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c)]
-        stack.extend(c for c in node.children if not isinstance(c, str))
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c, inside, root)]
+        stack.extend((c, inside) for c in node.children if not isinstance(c, str))
 
 
 def blocks_of(node: Node, skip: frozenset[int] = frozenset()) -> list[tuple[Node, str, int]]:
@@ -284,20 +337,24 @@ def main_text(page: str | None) -> str:
     if not paragraphs:
         return ""
     seen: list[Node] = []
+    known: set[int] = set()
     for owner, text, linked in paragraphs:
         up = owner.parent if owner.tag in PARAGRAPHS and owner.parent else owner
-        share, level = 1.0, 0
-        points = _points(text)
-        while up:
-            if not up.chars:
-                seen.append(up)
-            up.chars += len(text)
-            up.linked += linked
-            up.score += points * share
-            level += 1
-            share = 0.5 if level == 1 else 1 / (3 * level)
+        up.given += _points(text)
+        up.chars += len(text)
+        up.linked += linked
+        while up and id(up) not in known:
+            known.add(id(up))
+            seen.append(up)
             up = up.parent
-    value = {id(x): x.score * (1 - x.linked / x.chars) for x in seen}
+    value: dict[int, float] = {}
+    for x in sorted(seen, key=lambda x: -x.depth):
+        value[id(x)] = (x.given + x.below / 2 + x.far) * (1 - x.linked / x.chars)
+        if up := x.parent:
+            up.below += x.given
+            up.far += x.below / 6 + x.far * 2 / 3
+            up.chars += x.chars
+            up.linked += x.linked
     best = max(seen, key=lambda x: value[id(x)])
     around = best if best.tag in ("article", "main") else _within(best, ("article", "main"))
     if around is None:

@@ -99,6 +99,43 @@ def test_html_deep_and_long_pages_are_linear():
     assert seconds(20_000) < 12 * seconds(4_000)
 
 
+def test_html_depth_changes_nothing():
+    for n in (10, 510, 600, 5_000):
+        page = "<div>" * n + "<p>Text, and more.</p><aside>no</aside><div class=sidebar>no</div>" + "</div>" * n
+        assert html_extract.main_text(page) == "Text, and more.", n
+
+
+def test_html_marks_inside_the_article():
+    kept = ["discussion-paper", "search-algorithms", "notice-period", "related-work", "shared-memory", "entry-header", "comment-syntax", "advert-history"]
+    parts = "".join(f'<div class="{m}">div {m}</div><p id="{m}">p {m}</p><section id="{m}"><h2 id="{m}">h {m}</h2>s {m}</section>' for m in kept)
+    cut = ["ad", "adverts", "comments", "comment-list", "reader-comments", "cookie-notice", "newsletter-box", "sidebar-right", "post-share-buttons", "site-footer", "main-menu"]
+    out = "".join(f'<div class="{m}">CUT</div><section id="{m}"><p>CUT</p></section><p class="{m}">CUT</p>' for m in cut)
+    links = '<div class="related-stories"><a href=x>CUT one</a> <a href=y>CUT two</a></div>'
+    named = '<section id="discussion"><h2>Discussion</h2><p>of results</p></section><section id="comments"><h2>Comments</h2><p>CUT</p></section><h3 id="comments">Comments on it</h3>'
+    got = html_extract.main_text(f"<body><article><h1>T</h1>{parts}{out}{links}{named}</article></body>").split("\n")
+    want = ["T"] + [f"{x} {m}" for m in kept for x in ("div", "p", "h", "s")] + ["Discussion", "of results", "Comments on it"]
+    assert got == want
+
+
+def test_html_marks_on_what_holds_the_page():
+    text = "Some words, and more of them. " * 10
+    page = f'<body><div class="layout-search-v2"><p>{text}</p><p id="menu">{text}</p></div><div class="layout-search-v3"><p>{text}</p></div></body>'
+    assert html_extract.main_text(page) == "\n".join([text.strip()] * 2)
+
+
+def test_html_parser_is_linear():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - start
+
+    for unit, after in [("<b>", "</i>"), ("<span>", "</b>"), ("<div>", "<li>x</li>"), ("<form>", "x"), ("<div class='a-search'>", "x"), ("<div>", "<header>x</header>")]:
+        seconds((unit + after) * 100)
+        assert seconds(unit * 24_000 + after * 24_000) < 24 * max(0.05, seconds(unit * 4_000 + after * 4_000)), unit
+
+
 def test_html_against_another_parser(spark):
     """Pages of the test tables: the article's blocks by the standard library's parser."""
     import os
