@@ -1,4 +1,4 @@
-"""Command line: ``python -m skerry index|search|library ...``."""
+"""Command line: ``python -m skerry index|watch|search|library ...``."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("index", help="build an index from a folder of files")
     i.add_argument("config")
     i.add_argument("--library", help="SQLite file of a bibliographic library")
+    w = sub.add_parser("watch", help="look at the configured folder once and bring its index up to date")
+    w.add_argument("config")
     s = sub.add_parser("search", help="search an index")
     s.add_argument("folder")
     s.add_argument("query")
@@ -28,7 +30,11 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import files, library, thesaurus
 
     spark = get_session()
-    if args.command == "index":
+    if args.command == "watch":
+        cfg = files.load_config(args.config)
+        engine = Engine(spark, cfg.output_folder, **cfg.engine())
+        print(engine.watch(cfg.input_folder, cfg.file_types, cfg.chunk_size, cfg.overlap))
+    elif args.command == "index":
         cfg = files.load_config(args.config)
         docs = files.documents(spark, cfg.input_folder, cfg.file_types)
         database = args.library or (library.database_in(cfg.library_directory) if cfg.library_enabled else None)

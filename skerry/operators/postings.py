@@ -31,6 +31,8 @@ MAX_EXPANSION = 1_000
 K1, B = 1.2, 0.75
 #: Classes of frequency whose bounds a block keeps apart: 1, 2, 3 to 4, and more.
 CLASSES = 4
+#: Deletions and leading characters of the variants by which terms are found that are spelled nearly alike.
+DELETIONS, LEADING = 2, 8
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -119,6 +121,32 @@ def write(chunks: DataFrame, folder: str, buckets: int) -> None:
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
     written = read(chunks.sparkSession, folder, chunks.schema["doc_id"].dataType.simpleString())
     written.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).orderBy("term").write.parquet(f"{folder}/terms")
+    near = spellings(chunks.sparkSession.read.schema("term string, df long, cf long").parquet(f"{folder}/terms")).withColumn("bucket", bucket_of(F.col("variant"), buckets))
+    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/spellings")
+
+
+def spellings(terms: DataFrame) -> DataFrame:
+    """(variant, term): the first LEADING characters of each term with up to DELETIONS of them left out (FTS-17).
+
+    Two words within DELETIONS edits of each other share a variant: what an alignment keeps of both beginnings is theirs with
+    at most as many characters left out. A term has at most 37 variants, however long it is.
+    """
+    lead = F.substring("term", 1, LEADING)
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(LEADING))))
+    found = level = F.array(lead)
+    for _ in range(DELETIONS):
+        level = F.array_distinct(F.flatten(F.transform(level, without)))
+        found = F.concat(found, level)
+    return terms.select("term", F.explode(F.array_distinct(found)).alias("variant")).select("variant", "term")
+
+
+def variants_py(word: str, distance: int) -> set[str]:
+    """The variants of a word with up to so many deletions."""
+    found = level = {word[:LEADING]}
+    for _ in range(distance):
+        level = {v[:i] + v[i + 1 :] for v in level for i in range(len(v))}
+        found = found | level
+    return found
 
 
 @dataclass
@@ -135,6 +163,18 @@ class Index:
     n: int
     avgdl: float
     gone: DataFrame | None = None
+    #: (variant, term, bucket) of all live segments, or None where one has none.
+    spellings: DataFrame | None = None
+
+    def near_terms(self, word: str, distance: int) -> list[str]:
+        """The terms within so many edits of a folded word: those that share a variant, in the buckets of the variants, or
+        beyond DELETIONS edits the whole dictionary; each is verified."""
+        rows = self.terms
+        if self.spellings is not None and distance <= DELETIONS:
+            variants = sorted(variants_py(word, distance))
+            rows = self.spellings.where(F.col("bucket").isin(sorted({bucket_py(v, self.buckets) for v in variants})) & F.col("variant").isin(variants))
+        near = rows.where(F.levenshtein("term", F.lit(word), distance) >= 0)
+        return sorted(r["term"] for r in near.select("term").distinct().collect())
 
     def _of_terms(self, terms: list[str], prefixes: list[str]) -> DataFrame:
         """The posting rows of terms and of prefixes, by their buckets where all are known."""

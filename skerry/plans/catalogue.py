@@ -401,6 +401,24 @@ def engine_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _hits(_engine(spark, d), "the thr*", 25)
 
 
+@query(f"WITH {_CHUNKS}, t AS (SELECT unnest(list_distinct({_TK})) AS term FROM chunks WHERE text <> '') SELECT term, count(*) AS df, levenshtein(term, 'place')::INT AS distance FROM t WHERE levenshtein(term, 'place') <= 2 GROUP BY ALL")
+def engine_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The index's terms within two edits of a word, by the variants that they share with it."""
+    return _engine(spark, d).fuzzy_terms("place", 2)
+
+
+@query(_engine_sql("contains(j, ' of ') AND contains(j, ' the ') AND NOT contains(j, ' and ')", ["of", "the"], 25))
+def engine_stream(spark: SparkSession, d: str) -> DataFrame:
+    """An index that a stream of the documents' files feeds, searched."""
+    from .engine import Engine
+
+    run = f"{shared_folder(spark).rstrip('/')}/follow-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parque[t]")
+    engine = Engine(spark, f"{run}/index")
+    engine.follow(stream.select("doc_id", "text", "source", F.col("source").alias("path")), f"{run}/log", vectors=False).awaitTermination()
+    return _hits(engine, "the of NOT and", 25)
+
+
 @query(f"""WITH documents AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'changed the text ' || text ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 0),
 {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE contains(' ' || array_to_string({_TK}, ' ') || ' ', ' the ')) AS n_hits FROM chunks WHERE text <> '' GROUP BY 1""")
 def engine_update(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk as C
 from ..operators import facets, ivf, postings, rank
+from ..sources import files
 from ..sources import thesaurus as thes
 from ..streaming import ingest
 from . import match
@@ -34,6 +35,8 @@ class SearchQuery:
     fusion: Literal["rrf", "concat", "weighted"] = "rrf"
     alpha: float = 0.5
     lenient: bool = True
+    #: Whether ``word~`` and ``word~2`` stand for words within one or two edits.
+    fuzzy: bool = False
 
     def __post_init__(self):
         if self.mode not in ("semantic", "keyword", "hybrid"):
@@ -97,9 +100,11 @@ class Engine:
             "chunks": f"doc_id {id_type}, chunk_id int, start int, chunk_text string, seg int, row long, n_tokens int",
             "postings": f"{postings.schema_of(id_type)}, bucket int",
             "terms": "term string, df long, cf long",
+            "spellings": "variant string, term string, bucket int",
             "vectors": f"{place}, embedding array<float>",
             "codes": f"{place}, codes binary, list int",
             "gone": f"doc_id {id_type}, at int",
+            "files": f"doc_id {id_type}, path string, modified timestamp, length long, seg int",
         }[table]
 
     # Files
@@ -148,11 +153,13 @@ class Engine:
 
     # Writing
 
-    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, id_type: str, buckets: int | None, fitted: str | None = None) -> dict:
-        """The tables of a segment; what a manifest says of it."""
+    def _write_segment(self, docs: DataFrame | None, gone: DataFrame | None, number: int, settings: dict, id_type: str, buckets: int | None, fitted: str | None = None, seen: DataFrame | None = None) -> dict:
+        """The tables of a segment; what a manifest says of it. ``seen``: the files that were read for it."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
-        made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets, "fitted": fitted}
+        made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets, "fitted": fitted, "files": seen is not None, "spellings": docs is not None}
+        if seen is not None:
+            seen.select("doc_id", "path", "modified", "length").withColumn("seg", F.lit(number)).write.parquet(f"{at}/files")
         if gone is not None:
             gone.select(F.col("doc_id").cast(id_type).alias("doc_id")).distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
         if docs is None:
@@ -177,16 +184,17 @@ class Engine:
                 codes.hint("rebalance", "list").write.partitionBy("list").parquet(f"{at}/codes")
         return made
 
-    def _commit(self, before: dict | None, docs: DataFrame | None, gone: DataFrame | None, settings: dict, digest: str | None = None) -> None:
-        """One more generation: the segments of ``before``, if any, and a new one."""
+    def _commit(self, before: dict | None, docs: DataFrame | None, gone: DataFrame | None, settings: dict, digest: str | None = None, seen: DataFrame | None = None, followed: dict | None = None) -> None:
+        """One more generation: the segments of ``before``, if any, and a new one. ``followed``: the last batch of each stream."""
         segments = before["segments"] if before else []
         lost = (0, 0)
         if gone is not None:
             lost = self.chunks().join(gone, "doc_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         id_type = before["id_type"] if before else docs.schema["doc_id"].dataType.simpleString()
         docs = docs if docs is None else docs.withColumn("doc_id", F.col("doc_id").cast(id_type))
-        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, id_type, segments[0]["buckets"] if segments else None, segments[-1]["fitted"] if segments else None)
+        new = self._write_segment(docs, gone, max((s["number"] for s in segments), default=-1) + 1, settings, id_type, segments[0]["buckets"] if segments else None, segments[-1]["fitted"] if segments else None, seen)
         manifest = {
+            "followed": (before or {}).get("followed", {}) | (followed or {}),
             "generation": max(self.generations(), default=-1) + 1 if before is None else before["generation"] + 1,
             "settings": settings,
             "id_type": id_type,
@@ -233,6 +241,88 @@ class Engine:
         before = self._now()
         self._commit(before, None, doc_ids.select("doc_id"), before["settings"])
 
+    # Watching
+
+    def watch(self, folder: str, file_types: list[str], size: int = 300, overlap: int = 50, vectors: bool = True) -> dict[str, int]:
+        """One look at a folder of files (INC-3): how many were added, changed and removed since the last one.
+
+        The index knows each file it has read by time and length, so a look lists the folder and reads only files that are
+        new or differ; files that are gone, and former texts, leave the index in the same commit. Files without text are
+        known too, and not read again. Without an index, one is built; an index that had the folder's documents without
+        having watched it reads them once more. A look without a change commits nothing. A file that changes between the
+        listing and the reading is read again at the next look; one that vanishes there is an error, and the index stays.
+        """
+        fs, at = self._path("looks/" + uuid.uuid4().hex)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        under = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+        listed = files.scan(self.spark, folder, file_types).select(files.doc_id(F.col("path")).alias("doc_id"), "path", "modified", "length")
+        state = F.concat_ws(":", F.unix_micros("modified").cast("string"), F.col("length").cast("string"))
+        before = self._manifest()
+        known = self.spark.createDataFrame([], "doc_id string, state string")
+        if before is not None:
+            known = self.documents().where((F.col("source") == "file") & F.startswith("path", F.lit(under))).select("doc_id", F.lit("").alias("state"))
+            if self._raw(before, "files") is not None:
+                known = known.union(self._read(before, "files").where(F.startswith("path", F.lit(under))).select("doc_id", state.alias("state")))
+            known = known.groupBy("doc_id").agg(F.max("state").alias("state"))
+        change = ingest.diff(known, listed.withColumn("state", state), "doc_id", "state").where("change <> 'same'")
+        change.join(listed, "doc_id", "left").write.parquet(at.toString())
+        try:
+            found = self.spark.read.parquet(at.toString())
+            counts = {"added": 0, "changed": 0, "removed": 0} | {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}
+            fresh = found.where("change <> 'removed' AND path IS NOT NULL")
+            n = counts["added"] + counts["changed"]
+            if not n and not counts["removed"] and before is not None:
+                return counts
+            if n <= FETCHED:
+                paths = [r["path"] for r in fresh.select("path").collect()]
+                read = files.read(self.spark, paths) if paths else files.scan(self.spark, folder, []).limit(0)
+            else:  # much has changed: all is listed again and what has changed is kept
+                read = files.scan(self.spark, folder, file_types).join(fresh.select("path"), "path", "left_semi")
+            docs = self._whole(files.documents_of(read))
+            settings = before["settings"] if before else self._settings(size, overlap, vectors)
+            self._commit(before, docs, found.select("doc_id") if before else None, settings, f"watched {uuid.uuid4().hex}", fresh)
+            return counts
+        finally:
+            fs.delete(at, True)
+
+    def follow(self, stream: DataFrame, checkpoint: str, order: str | None = None, deleted: str | None = None, size: int = 300, overlap: int = 50, vectors: bool = True):
+        """Keep the index up with a stream of documents, over what is there (INC-3): a started query that stops at the end.
+
+        Each batch is one commit: its documents are put in the place of those with their ids, and rows where the boolean
+        column ``deleted`` is true take theirs out. Of several rows of a document in a batch, the one with the largest
+        ``order`` counts, of equals the one with the largest digest. The generation's file names the last batch of each
+        stream, so a batch that comes again after a crash changes nothing.
+        """
+        token = self._token(checkpoint)
+
+        def take(batch: DataFrame, number: int) -> None:
+            engine = replace(self, spark=batch.sparkSession)
+            before = engine._manifest()
+            if before is not None and before.get("followed", {}).get(token, -1) >= number:
+                return
+            row = F.struct(*batch.columns)
+            rank_of = F.struct(*([F.col(order)] if order else []), F.sha1(F.to_json(row)))
+            last = batch.groupBy("doc_id").agg(F.max_by(row, rank_of).alias("row")).select("row.*")
+            kept = last.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else last
+            settings = before["settings"] if before else engine._settings(size, overlap, vectors)
+            engine._commit(before, engine._whole(kept), last.select("doc_id") if before else None, settings, f"followed {uuid.uuid4().hex}", followed={token: number})
+
+        return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def _token(self, checkpoint: str) -> str:
+        """The name of a stream, kept beside its checkpoint: a new checkpoint counts its batches anew."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/index_stream")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(uuid.uuid4().hex.encode()))
+            out.close()
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def flush(self) -> None:
         """Drop all documents; the index stays, empty (SP-13)."""
         self.remove(self.documents().select("doc_id"))
@@ -241,7 +331,8 @@ class Engine:
         """One segment in the place of many, without what was taken out."""
         before = self._now()
         alone = before | {"segments": []}
-        new = self._write_segment(self.documents(), None, max(s["number"] for s in before["segments"]) + 1, before["settings"], before["id_type"], None)
+        seen = self._read(before, "files") if self._raw(before, "files") is not None else None
+        new = self._write_segment(self.documents(), None, max(s["number"] for s in before["segments"]) + 1, before["settings"], before["id_type"], None, seen=seen)
         self._finish(alone | {"generation": before["generation"] + 1, "segments": [new], "n_chunks": new["n_chunks"], "n_tokens": new["n_tokens"]})
 
     def vacuum(self, keep: int = 1) -> int:
@@ -257,6 +348,8 @@ class Engine:
         for s in gone:
             fs, path = self._path(f"segments/{s}")
             fs.delete(path, True)
+        fs, path = self._path("looks")
+        fs.delete(path, True)
         return len(gone)
 
     # Reading
@@ -267,10 +360,10 @@ class Engine:
 
     def _raw(self, manifest: dict, table: str) -> DataFrame | None:
         """All rows of a table of the live segments; None where no segment has it."""
-        has = {"gone": lambda s: s["gone"], "codes": lambda s: s["documents"] and s["fitted"]}.get(table, lambda s: s["documents"])
+        has = {"gone": lambda s: s["gone"], "files": lambda s: s.get("files", False), "spellings": lambda s: s.get("spellings", False), "codes": lambda s: s["documents"] and s["fitted"]}.get(table, lambda s: s["documents"])
         parts = [f"{self.folder}/segments/{s['name']}/{table}" for s in manifest["segments"] if has(s)]
         reader = self.spark.read.schema(self._schema(table, manifest["id_type"]))
-        if table in ("postings", "codes"):  # partitioned: each segment is a root of its own
+        if table in ("postings", "codes", "spellings"):  # partitioned: each segment is a root of its own
             return reduce(DataFrame.unionByName, [reader.parquet(p) for p in parts]) if parts else None
         return reader.parquet(*parts) if parts else None
 
@@ -286,7 +379,8 @@ class Engine:
 
     def _index(self, manifest: dict) -> postings.Index:
         n = manifest["n_chunks"]
-        return postings.Index(self.spark, self._raw(manifest, "postings"), self._raw(manifest, "terms"), manifest["segments"][0]["buckets"], n, manifest["n_tokens"] / n if n else 0.0, self._gone(manifest))
+        near = self._raw(manifest, "spellings") if all(s.get("spellings") for s in manifest["segments"] if s["documents"]) else None
+        return postings.Index(self.spark, self._raw(manifest, "postings"), self._raw(manifest, "terms"), manifest["segments"][0]["buckets"], n, manifest["n_tokens"] / n if n else 0.0, self._gone(manifest), near)
 
     def _fitted(self, manifest: dict) -> ivf.Model:
         return ivf.Model.read(self.spark, f"{self.folder}/segments/{manifest['segments'][-1]['fitted']}/fitted")
@@ -356,7 +450,8 @@ class Engine:
         key = ["doc_id", "chunk_id"]
         both = _PLACE
         deep = max(q.top_k, 10) * 5
-        node = match.parse(text, lenient=q.lenient) if q.mode != "semantic" else None
+        text = self.expand_fuzzy(text) if q.fuzzy and q.mode != "semantic" else text
+        node = match.parse(text, lenient=q.lenient and not q.fuzzy) if q.mode != "semantic" else None
         keyword = semantic = None
         if q.mode != "semantic":
             index = self._index(now)
@@ -407,6 +502,28 @@ class Engine:
         out = named.select(F.coalesce("path", F.col("doc_id").cast("string")).alias("path"), "doc_id", "chunk_id", "title", snippet.alias("snippet"), "score", *extra)
         return out.orderBy(F.desc("score"), *key).limit(k)
 
+    def fuzzy_terms(self, word: str, distance: int = 1) -> DataFrame:
+        """term, df (chunks that hold it), distance of the index's terms within so many edits of a word (FTS-17)."""
+        index, folded = self._index(self._now()), T.fold_py(word)
+        df = index.frequencies(index.near_terms(folded, distance))
+        rows = self.spark.createDataFrame([(t, n) for t, n in df.items() if n], "term string, df long")
+        return rows.withColumn("distance", F.levenshtein("term", F.lit(folded)).cast("int")).orderBy("distance", F.desc("df"), "term")
+
+    def expand_fuzzy(self, query: str) -> str:
+        """The query with each ``word~`` or ``word~2`` as any of the index's terms within one or two edits of the word; one
+        that is near to none stays as a word. Signs in quotes are text."""
+        import regex
+
+        index = self._index(self._now())
+
+        def any_of(m) -> str:
+            if m["quoted"]:
+                return m[0]
+            terms = index.near_terms(T.fold_py(m["word"]), int(m["n"] or 1)) or [m["word"]]
+            return "(" + " OR ".join(f'"{t}"' for t in terms) + ")"
+
+        return regex.sub(r'(?<quoted>"[^"]*")|(?<word>[\p{L}\p{N}\p{M}]+)~(?<n>[12])?', any_of, query)
+
     def document(self, doc_id) -> dict | None:
         row = self.documents().where(F.col("doc_id") == F.lit(doc_id)).first()
         return row.asDict(recursive=True) if row else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,6 +56,18 @@ def scan(spark: SparkSession, folder: str, file_types: list[str]) -> DataFrame:
     return kept.select("path", F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, modified, length, content of the files with these paths, which are names and not patterns."""
+    import re
+
+    found = spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths])
+    return found.select("path", F.col("modificationTime").alias("modified"), "length", "content")
+
+
+def doc_id(path: Column) -> Column:
+    return F.concat(F.lit("file:"), F.regexp_replace(path, "^file:/*", "/"))
+
+
 def extract(files: DataFrame, markup: str = "strip") -> DataFrame:
     """path, modified, text, error of each file; files are read where they are scanned."""
 
@@ -69,8 +81,12 @@ def extract(files: DataFrame, markup: str = "strip") -> DataFrame:
 
 def documents(spark: SparkSession, folder: str, file_types: list[str], markup: str = "strip") -> DataFrame:
     """Files with text, as doc_id, source, path, text (FIL-7)."""
-    got = extract(scan(spark, folder, file_types), markup).where(~T.is_blank(F.col("text")))
-    return got.select(F.concat(F.lit("file:"), F.regexp_replace("path", "^file:/*", "/")).alias("doc_id"), F.lit("file").alias("source"), "path", "text")
+    return documents_of(scan(spark, folder, file_types), markup)
+
+
+def documents_of(files: DataFrame, markup: str = "strip") -> DataFrame:
+    got = extract(files, markup).where(~T.is_blank(F.col("text")))
+    return got.select(doc_id(F.col("path")).alias("doc_id"), F.lit("file").alias("source"), "path", "text")
 
 
 def pages(table: DataFrame) -> DataFrame:
