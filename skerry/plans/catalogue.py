@@ -575,6 +575,25 @@ def concept_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return facets.cooccurrence(thesaurus.tag(_docs(spark, d), THESAURUS, "doc_id"), "doc_id", "concept")
 
 
+@query("""WITH RECURSIVE t AS (SELECT p_partkey, p_type, string_split(p_type, ' ') AS w FROM part),
+edges AS (SELECT DISTINCT p_type AS narrower, array_to_string(w[2:], ' ') AS broader FROM t WHERE len(w) > 1 UNION SELECT DISTINCT array_to_string(w[2:], ' '), array_to_string(w[3:], ' ') FROM t WHERE len(w) > 2),
+up AS (SELECT narrower AS concept, narrower AS ancestor, 0 AS steps FROM edges UNION SELECT broader, broader, 0 FROM edges UNION SELECT u.concept, e.broader, u.steps + 1 FROM up u JOIN edges e ON u.ancestor = e.narrower),
+pairs AS (SELECT DISTINCT a.p_type AS concept_a, b.p_type AS concept_b FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1),
+met AS (SELECT p.*, x.ancestor, x.steps + y.steps AS path FROM pairs p JOIN up x ON x.concept = p.concept_a JOIN up y ON y.concept = p.concept_b AND y.ancestor = x.ancestor),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY concept_a, concept_b ORDER BY path, ancestor) = 1)
+SELECT p.concept_a, p.concept_b, b.ancestor, b.path::INT AS path, coalesce(1.0::DOUBLE / (1 + b.path), 0.0::DOUBLE) AS similarity FROM pairs p LEFT JOIN best b USING (concept_a, concept_b)""")
+def concept_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How near the types of neighbouring parts are in the hierarchy that the words of types make: the fewer words, the broader."""
+    part = _t(spark, d, "part").select("p_partkey", "p_type")
+    words = F.split("p_type", " ")
+    tail = lambda n: F.array_join(F.slice(words, n + 1, F.size(words)), " ")
+    edges = part.where(F.size(words) > 1).select(F.col("p_type").alias("narrower"), tail(1).alias("broader"))
+    edges = edges.union(part.where(F.size(words) > 2).select(tail(1), tail(2))).distinct()
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("concept_b"))
+    pairs = part.withColumnRenamed("p_type", "concept_a").join(after, "p_partkey")
+    return thesaurus.similarity(pairs, edges)
+
+
 @query(f"SELECT item_id FROM benchmark WHERE contains({_JOINED}, ' in the ') OR contains({_JOINED}, ' dans ') OR contains({_JOINED}, ' heit ') OR contains({_JOINED}, ' para ') OR contains({_JOINED}, ' place ')")
 def ontology_expand_match(spark: SparkSession, d: str) -> DataFrame:
     node = match.parse(thesaurus.expand_query("place", THESAURUS))

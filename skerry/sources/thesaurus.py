@@ -122,3 +122,44 @@ def _tag_by_words(docs: DataFrame, thesaurus: dict[str, list[str]], key: str, te
 
     rows = docs.select(key, T.tokens(F.col(text)).alias("_tokens")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, concepts array<string>")
     return rows.select(key, F.explode("concepts").alias("concept"))
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(concept, ancestor, steps) of a hierarchy (narrower, broader): all that is broader, by the fewest steps, and itself (SP-20).
+
+    Rounds double the steps that are known, so there are as many as the logarithm of the depth; each is a table in the shared
+    folder. Concepts may have several broader ones, and circles end by themselves; rows with nulls say nothing.
+    """
+    import uuid
+
+    from ..session import shared_folder
+
+    spark = edges.sparkSession
+    at = f"{shared_folder(spark).rstrip('/')}/ancestors-{uuid.uuid4().hex}"
+    both = edges.select(F.col("narrower").cast("string").alias("concept"), F.col("broader").cast("string").alias("ancestor")).where("concept IS NOT NULL AND ancestor IS NOT NULL")
+    itself = both.select("concept").union(both.select("ancestor")).select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("steps"))
+    least = lambda rows: rows.groupBy("concept", "ancestor").agg(F.min("steps").alias("steps"))
+    state = lambda: known.agg(F.count("*"), F.sum("steps")).first()
+    least(itself.union(both.withColumn("steps", F.lit(1)))).write.parquet(f"{at}/0")
+    known, number, then = spark.read.parquet(f"{at}/0"), 0, None
+    while (now := state()) != then:
+        then, number = now, number + 1
+        further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.concept"))
+        least(further.select("a.concept", "b.ancestor", (F.col("a.steps") + F.col("b.steps")).alias("steps"))).write.parquet(f"{at}/{number}")
+        known = spark.read.parquet(f"{at}/{number}")
+    return known
+
+
+def similarity(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """concept_a, concept_b, ancestor, path, similarity of pairs of concepts (SP-20).
+
+    ``path`` is the fewest steps from one to the other through something broader than both (or one of them), ``ancestor`` that
+    concept (of several, the first), ``similarity`` 1 / (1 + path). Pairs without one have null and 0; equal pairs count once.
+    """
+    asked, up = pairs.select("concept_a", "concept_b").distinct(), ancestors(edges)
+    a = up.select(F.col("concept").alias("concept_a"), "ancestor", F.col("steps").alias("_a"))
+    b = up.select(F.col("concept").alias("concept_b"), "ancestor", F.col("steps").alias("_b"))
+    met = asked.join(a, "concept_a").join(b, ["concept_b", "ancestor"])
+    best = met.groupBy("concept_a", "concept_b").agg(F.min(F.struct((F.col("_a") + F.col("_b")).alias("path"), "ancestor")).alias("m"))
+    found = asked.alias("p").join(best.alias("q"), F.col("p.concept_a").eqNullSafe(F.col("q.concept_a")) & F.col("p.concept_b").eqNullSafe(F.col("q.concept_b")), "left")
+    return found.select("p.concept_a", "p.concept_b", "q.m.ancestor", "q.m.path", F.coalesce(1 / (1 + F.col("q.m.path")), F.lit(0.0)).alias("similarity"))
