@@ -587,6 +587,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     without = {1: {f: max(0.0, log_odds(t - 1, c, n_toxic, n_clean)) for f, (t, c) in chosen.items()}, 0: {f: log_odds(t, max(0, c - 1), n_toxic, n_clean) for f, (t, c) in chosen.items()}}
     sent = spark.sparkContext.broadcast((model, without, pieces))
     rows = np.array([r[0] for r in texts.select("toxic", "text").mapInArrow(released(_measured(sent)), "row array<double>").collect()])
+    # In one order, whatever order tasks end in: sums of floats, and so scores, don't depend on the cluster's layout.
+    rows = rows[np.lexsort(rows.T)]
     return model, weights, logistic(rows[:, 1:], rows[:, 0]), pieces
 
 

@@ -767,6 +767,37 @@ def test_toxicity(speech):
     assert kept.columns == docs.columns and kept.where("doc_id % 5 = 0 AND doc_id < 600").count() == 0
 
 
+def test_decoder_against_all_paths():
+    """The decoded text is one of the likeliest among every path of the lattice."""
+    from itertools import product
+
+    counts = np.random.default_rng(5).integers(0, 40, toxicity._SIZE**3).astype(float)
+    model, size = toxicity.char_model(counts), toxicity._SIZE
+
+    def value(path):
+        key, total, out = 0, 0.0, []
+        for char, cost in path:
+            total += cost
+            if char and not (char == " " and key % size == 0):
+                k = toxicity.char_class(char)
+                total += float(model.reshape(-1)[key * size + k])
+                key = key % size * size + k
+                out.append(char)
+        return total + (float(model.reshape(-1)[key * size]) if key % size else 0.0), "".join(out)
+
+    for word in ["", "a", "b00k", "s.n-o", "l1l1", "a  b c", "$$h", "wоw", "@1+|", "h e l 1 o", "zz!!", "--a--"]:
+        paths = [value(p) for p in product(*toxicity._edges(word))]
+        best = max(v for v, _ in paths)
+        assert toxicity.decode(word, model) in {t for v, t in paths if v > best - 1e-3}, word
+
+
+def test_toxicity_fit_in_any_order(speech):
+    """The same scores, to the last digit, however the rows are dealt."""
+    docs, labels = speech
+    scores = [Counter((r["doc_id"], r["score"]) for r in toxicity.score_documents(docs.repartition(n), labels.repartition(n)).collect()) for n in (1, 7)]
+    assert scores[0] == scores[1]
+
+
 def test_toxicity_without_labels(speech):
     docs, labels = speech
     assert {r["score"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {toxicity.BASE}
