@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -136,6 +138,31 @@ def test_near_copies_against_jaccard(spark, monkeypatch):
         assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want)
 
 
+def test_only_agreeing_texts_are_sent():
+    """Of a bucket, the rows that agree with one of another root in another part, found by brute force."""
+    rng = np.random.default_rng(3)
+    for crossed in (False, True):
+        base = rng.integers(0, 256, near_copies.BANDS * near_copies.ROWS).astype(np.uint8)
+        rows = []
+        for k in range(60):
+            sig = base.copy()
+            changed = rng.random(len(sig)) < rng.choice([0.05, 0.2, 0.5])
+            sig[changed] = rng.integers(0, 256, int(changed.sum()))
+            rows.append((int(rng.integers(0, 2)) if crossed else 0, k, int(rng.integers(80, 120)), sig.tobytes(), int(rng.integers(0, 6))))
+        own, fp, n, sig, root = (list(c) for c in zip(*rows, strict=True))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+        columns = [[1] * 60, [2] * 60, [0] * 60, [int(crossed)] * 60, own, fp, n, sig, root]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list("abcdefghi"))
+        got = {f for b in near_copies._wanted_batches([batch.slice(0, 25), batch.slice(25)]) for f in b.column(5).to_pylist()}
+        want = set()
+        for x in range(60):
+            for y in range(60):
+                same = sum(a == b for a, b in zip(sig[x], sig[y], strict=True))
+                if root[x] != root[y] and (own[x] != own[y] or not crossed) and min(n[x], n[y]) >= 0.8 * max(n[x], n[y]) and same >= 0.65 * len(sig[x]):
+                    want |= {fp[x], fp[y]}
+        assert got == want and 0 < len(want) < 60
+
+
 def test_near_copies_under_null_and_repeated_ids(spark):
     a, b, c, d, e, f = (prose(4000 + k, 90) for k in range(6))
     rows = [(None, a), (None, b), (None, b), (5, c), (5, edited(1, d, 1)), (6, edited(2, c, 1)), (2, d), (None, edited(3, d, 1)), (7, e), (7, e), (7, f)]
