@@ -35,6 +35,10 @@ class SearchQuery:
     fusion: Literal["rrf", "concat", "weighted"] = "rrf"
     alpha: float = 0.5
     lenient: bool = True
+    #: The least similarity of a semantic hit (1 - squared distance / 2) and the least BM25 score of a keyword hit; in hybrid
+    #: search, what a ranking does not count with less. None: any.
+    min_similarity: float | None = None
+    min_bm25: float | None = None
     #: Whether ``word~`` and ``word~2`` stand for words within one or two edits.
     fuzzy: bool = False
 
@@ -443,6 +447,7 @@ class Engine:
         Keyword hits come from the posting lists of the query's terms, and only the chunks shown are read; scores use the
         statistics of the whole index, also under facets. ``rrf`` fuses the best max(5 * top_k, 50) of both rankings,
         ``concat`` as many semantic hits with all keyword hits, ``weighted`` every chunk's similarity with every keyword score.
+        Thresholds hold before the fusion: hits below them are in neither ranking.
         """
         now = self._now()
         barred = self._barred(q)
@@ -457,6 +462,7 @@ class Engine:
             index = self._index(now)
             cut = {"keyword": q.top_k, "hybrid": deep if q.fusion == "rrf" else None}[q.mode]
             keyword = index.top(node, cut, barred) if cut else index.search(node, barred)
+            keyword = keyword if q.min_bm25 is None else keyword.where(F.col("score") >= q.min_bm25)
         if q.mode != "keyword":
             vector = self._embed([" ".join(thes.expand_terms(q.query, self.thesaurus))])[0]
             rows = self._read(now, "vectors")
@@ -472,6 +478,7 @@ class Engine:
             else:
                 semantic = rank.knn(rows, vector, k, both)
             semantic = semantic.withColumn("similarity", 1 - F.col("distance") / 2).withColumn("score", F.col("similarity"))
+            semantic = semantic if q.min_similarity is None else semantic.where(F.col("similarity") >= q.min_similarity)
         if q.mode == "keyword":
             top = keyword.orderBy(F.desc("score"), *key).limit(q.top_k)
         elif q.mode == "semantic":

@@ -6,11 +6,12 @@ joins on itemID, whatever the number of items.
 
 from __future__ import annotations
 
+from contextlib import closing
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from ..functions import text as T
 
@@ -44,9 +45,45 @@ def database_in(directory: str | None) -> str | None:
     return str(found[0]) if found else None
 
 
+MAX_ROWID = 2**63 - 1
+#: Rows of a partition, rows handed on at a time, and values of an IN list that is sent to the database.
+PARTITION_ROWS, FETCH_ROWS, MAX_IN = 100_000, 10_000, 500
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def _condition(f, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """A filter as SQL with its values, or None where the database could judge it otherwise than Spark."""
+    column = f.attribute[0] if len(f.attribute) == 1 else None
+    kind = kinds.get(column)
+    if kind is None:
+        return None
+    name = f'"{column}"'
+    if isinstance(f, (IsNull, IsNotNull)):
+        return f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", []
+    fits = (lambda v: type(v) is str) if kind == "string" else (lambda v: type(v) is int)
+    # Strings by their bytes, as Spark does, whatever order the column was declared with.
+    compared = f"{name} COLLATE BINARY" if kind == "string" else name
+    if type(f) in _COMPARED and fits(f.value):
+        return f"{compared} {_COMPARED[type(f)]} ?", [f.value]
+    if isinstance(f, In) and 0 < len(f.value) <= MAX_IN and all(map(fits, f.value)):
+        return f"{compared} IN ({', '.join('?' * len(f.value))})", list(f.value)
+    return None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema, options):
         self.schema, self.options = schema, options
+        self.where: list[str] = []
+        self.values: list = []
+
+    def pushFilters(self, filters):
+        """Filters that the database judges first; Spark judges all of them again, as SQLite's columns may hold any type."""
+        kinds = {f.name: f.dataType.simpleString() for f in self.schema.fields}
+        for f in filters:
+            if hasattr(f, "attribute") and (found := _condition(f, kinds)):
+                self.where.append(found[0])
+                self.values += found[1]
+            yield f
 
     def _connect(self):
         import sqlite3
@@ -65,33 +102,43 @@ class _Reader(DataSourceReader):
                     raise
                 time.sleep(0.2 * 2**attempt)
 
+    def _statement(self, columns: str, *more: str) -> str:
+        conditions = [*self.where, *more]
+        return f'SELECT {columns} FROM "{self.options["table"]}"' + (" WHERE " + " AND ".join(conditions) if conditions else "")
+
     def partitions(self):
-        """Ranges of rowid, so that a large table is read in parallel."""
-        table = self.options["table"]
+        """Ranges of rowid that hold as many rows that pass the filters each, whatever gaps the ids have."""
+        size = max(1, int(self.options.get("rows", PARTITION_ROWS)))
+        numbered = self._statement("rowid AS id, row_number() OVER (ORDER BY rowid) - 1 AS place")
 
         def bounds():
-            with self._connect() as c:
-                return c.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+            with closing(self._connect()) as c:
+                return [r[0] for r in c.execute(f"SELECT id FROM ({numbered}) WHERE place % ? = 0 ORDER BY id", (*self.values, size))]
 
-        low, high = self._retried(bounds)
-        if low is None:
-            return [_Range(0, -1)]
-        n = max(1, min(int(self.options.get("partitions", "4")), high - low + 1))
-        cuts = [low + (high + 1 - low) * k // n for k in range(n + 1)]
-        return [_Range(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+        starts = self._retried(bounds)
+        ends = [s - 1 for s in starts[1:]] + [MAX_ROWID]
+        return [_Range(a, b) for a, b in zip(starts, ends, strict=True)] if starts else [_Range(0, -1)]
 
     def read(self, partition):
         columns = ", ".join(f'"{f.name}"' for f in self.schema.fields)
+        query = self._statement(columns, "rowid BETWEEN ? AND ?")
+        with closing(self._connect()) as c:
+            # The first rows take the lock that the statement then holds to its end, so only they can find the file locked.
+            def first():
+                cursor = c.execute(query, (*self.values, partition.low, partition.high))
+                return cursor, cursor.fetchmany(FETCH_ROWS)
 
-        def rows():
-            with self._connect() as c:
-                return c.execute(f'SELECT {columns} FROM "{self.options["table"]}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high)).fetchall()
-
-        yield from self._retried(rows)
+            cursor, rows = self._retried(first)
+            while rows:
+                yield from rows
+                rows = cursor.fetchmany(FETCH_ROWS)
 
 
 class SqliteSource(DataSource):
-    """Read-only SQLite tables: options path, table, partitions, timeout, retries."""
+    """Read-only SQLite tables: options path, table, rows (of a partition), timeout, retries.
+
+    Filters that compare a column with values are part of the statement sent; a schema given to the reader names the columns that are read.
+    """
 
     @classmethod
     def name(cls):
@@ -104,12 +151,20 @@ class SqliteSource(DataSource):
         return _Reader(schema, self.options)
 
 
-def read_sqlite(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, rows: int = PARTITION_ROWS) -> DataFrame:
+    """One table of a library, or some columns of it, with about ``rows`` rows a partition."""
+    spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    kinds = dict(c.split(" ") for c in TABLES[table].split(", "))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns or kinds)
+    return spark.read.format("sqlite_table").schema(schema).options(path=str(Path(path).expanduser()), table=table, rows=rows).load()
+
+
+def read_sqlite(spark: SparkSession, path: str, rows: int = PARTITION_ROWS) -> dict[str, DataFrame] | None:
     """The library's tables, or None where there is no file."""
     if not Path(path).expanduser().is_file():
         return None
-    spark.dataSource.register(SqliteSource)
-    return {t: spark.read.format("sqlite_table").options(path=str(Path(path).expanduser()), table=t).load() for t in TABLES}
+    return {t: read_table(spark, path, t, rows=rows) for t in TABLES}
 
 
 def live_items(t: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, Not, StringStartsWith
 
 from skerry.functions import text as T
 from skerry.operators import chunk as C
@@ -218,6 +219,85 @@ def test_library_items(spark, lib):
     assert {r["citekey"] for r in library.bibtex(library.items(lib)).collect()} >= {"bee2020_1"}
 
 
+def _reader(path, table, **options):
+    from pyspark.sql.types import StructType
+
+    return library._Reader(StructType.fromDDL(library.TABLES[table]), {"path": str(path), "table": table, **options})
+
+
+@pytest.fixture(scope="module")
+def items_db(tmp_path_factory):
+    """3,000 items whose ids have gaps, keys in an order of their own."""
+    path = tmp_path_factory.mktemp("items") / "items.sqlite"
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE items (itemID integer primary key, itemTypeID integer, dateAdded text, dateModified text, key text COLLATE NOCASE)")
+    rows = [(k if k < 1000 else k * 50, k % 7 if k % 11 else None, "d", f"m{k}", ("K" if k % 2 else "k") + str(k // 2)) for k in range(3000)]
+    con.executemany("INSERT INTO items VALUES (?,?,?,?,?)", rows)
+    con.commit()
+    con.close()
+    return path, rows
+
+
+def test_library_filters_reach_the_database(spark, items_db):
+    path, rows = items_db
+    reader = _reader(path, "items", rows="100")
+    sent = []
+    connect = reader._connect
+    reader._connect = lambda: (lambda c: (c.set_trace_callback(sent.append), c)[1])(connect())
+    filters = [EqualTo(("itemTypeID",), 2), GreaterThan(("itemID",), 500), In(("key",), ("k400", "K401")), StringStartsWith(("key",), "k"), Not(IsNull(("key",))), EqualTo(("itemID",), 1.5)]
+    assert list(reader.pushFilters(filters)) == filters  # Spark judges them again
+    got = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[0] for r in got] == [r[0] for r in rows if r[1] == 2 and r[0] > 500 and r[4] in ("k400", "K401")] and got
+    assert all('"itemID" > 500' in q and '"itemTypeID" = 2' in q and "COLLATE BINARY IN ('k400', 'K401')" in q for q in sent) and "1.5" not in "".join(sent)
+    t = library.read_table(spark, str(path), "items", rows=500)
+    for condition, keeps in (
+        ("itemID = 50000", lambda r: r[0] == 50000),
+        ("itemID >= 900 AND itemID < 60000 AND itemTypeID IS NULL", lambda r: 900 <= r[0] < 60000 and r[1] is None),
+        ("key = 'k7'", lambda r: r[4] == "k7"),
+        ("key > 'a' AND itemTypeID IN (1, 2)", lambda r: r[4] > "a" and r[1] in (1, 2)),
+        ("itemTypeID IS NOT NULL AND NOT itemTypeID = 2", lambda r: r[1] is not None and r[1] != 2),
+        ("itemID = 1 OR key = 'K3'", lambda r: r[0] == 1 or r[4] == "K3"),
+        ("itemID < 0", lambda r: False),
+    ):
+        assert sorted(r["itemID"] for r in t.where(condition).select("itemID").collect()) == sorted(r[0] for r in rows if keeps(r)), condition
+    few = library.read_table(spark, str(path), "items", columns=["key", "itemID"])
+    assert few.columns == ["key", "itemID"] and few.where("itemID = 3").first()["key"] == "K1"
+
+
+def test_library_partitions_hold_as_many_rows(spark, items_db):
+    path, rows = items_db
+    reader = _reader(path, "items", rows="700")
+    parts = reader.partitions()
+    assert [len(list(reader.read(p))) for p in parts] == [700, 700, 700, 700, 200]
+    assert library.read_table(spark, str(path), "items", rows=700).rdd.getNumPartitions() == 5
+    empty = _reader(path, "items")
+    list(empty.pushFilters([EqualTo(("itemID",), -1)]))
+    assert [len(list(empty.read(p))) for p in empty.partitions()] == [0]
+
+
+def test_library_waits_for_a_lock(tmp_path):
+    import threading
+
+    path = tmp_path / "locked.sqlite"
+    con = sqlite3.connect(path, check_same_thread=False, isolation_level=None)
+    con.execute("CREATE TABLE tags (tagID integer, name text)")
+    con.execute("INSERT INTO tags VALUES (1, 'a')")
+    con.execute("BEGIN EXCLUSIVE")
+    with pytest.raises(sqlite3.OperationalError, match="locked"):
+        _reader(path, "tags", timeout="0", retries="0").partitions()
+    timer = threading.Timer(0.5, lambda: con.execute("COMMIT"))
+    timer.start()
+    reader = _reader(path, "tags", timeout="0", retries="5")
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [(1, "a")]
+    timer.join()
+    con.execute("BEGIN EXCLUSIVE")
+    timer = threading.Timer(0.5, lambda: con.execute("COMMIT"))
+    timer.start()
+    assert list(reader.read(library._Range(0, library.MAX_ROWID))) == [(1, "a")]
+    timer.join()
+    con.close()
+
+
 def test_no_library(spark, tmp_path):
     assert library.read_sqlite(spark, str(tmp_path / "none.sqlite")) is None
 
@@ -241,6 +321,14 @@ def test_engine(spark, tmp_path):
         assert len(got) == 2 and got[0]["doc_id"] == "a"
     assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", tags=["t2"])).collect()} == {"b"}
     assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", year_min=2000)).collect()} == {"a", "c"}
+    scores = {r["doc_id"]: (r["similarity"], r["score"]) for r in e.search(SearchQuery("cat", mode="semantic")).collect()}
+    low = sorted(v[0] for v in scores.values())[1]
+    assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", min_similarity=low)).collect()} == {i for i, v in scores.items() if v[0] >= low} and len(scores) == 3
+    bm25 = {r["doc_id"]: r["score"] for r in e.search(SearchQuery("cat*", mode="keyword")).collect()}
+    assert set(bm25) == {"a", "b"} and {r["doc_id"] for r in e.search(SearchQuery("cat*", mode="keyword", min_bm25=max(bm25.values()))).collect()} == {i for i, v in bm25.items() if v == max(bm25.values())}
+    for fusion in ("rrf", "concat", "weighted"):
+        assert e.search(SearchQuery("cat", fusion=fusion, min_similarity=2.0, min_bm25=1e9)).count() == 0
+        assert {r["doc_id"] for r in e.search(SearchQuery("cat", fusion=fusion, min_similarity=2.0)).collect()} == {"a"}
     assert e.document("a")["path"] == "/x/a.md" and e.document("zz") is None and e.summarise("a")
     assert {r["doc_id"] for r in e.search(SearchQuery("cat", mode="semantic", file_types=["md"])).collect()} == {"a", "b"}
     assert [r["doc_id"] for r in e.advanced("cat* NOT sat").collect()] == ["b"] and e.status()["bytes"] > 0
