@@ -1,11 +1,12 @@
 """An inverted index in Parquet: posting lists by term and block, in buckets of terms (SNK-1, FTS-2..FTS-10, FTS-15).
 
 ``chunks`` have a segment number ``seg`` and a number ``row`` within it. A posting row holds the
-occurrences of one term in one block of BLOCK neighbouring chunks: parallel arrays of row, doc_id,
-chunk_id, length and position, and what bounds a score there: for some classes of frequency, the
-largest frequency and the shortest length. Blocks are made where the chunks lie, so only finished posting rows are shuffled, into
+occurrences of one term in one block of BLOCK neighbouring chunks: parallel arrays of the chunk's place
+in the block and the position, and what bounds a score there: for some classes of frequency, the
+largest frequency and the shortest length. What is of the chunks and not of a term is kept once: a row without a term, in the
+bucket OWN, has the doc_id, chunk_id and length of each chunk of a block. Blocks are made where the chunks lie, so only finished posting rows are shuffled, into
 buckets by the term's hash; a common term is one row a block, not one list. A query reads the
-buckets of its terms.
+buckets of its terms and brings their rows together with the block's own row, block by block.
 
 Ranking stops early: the bounds alone say how much a block can score. The best FIRST blocks (k
 at least) are scored first; then only blocks whose bound reaches the k-th score found there, and which hold
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans import match
 
-#: Neighbouring chunks in a block: two to this power.
+#: Neighbouring chunks in a block: two to this power, 15 at most.
 BLOCK_BITS = 10
 #: Blocks scored before the others are bounded.
 FIRST = 64
@@ -31,7 +32,9 @@ MAX_EXPANSION = 1_000
 K1, B = 1.2, 0.75
 #: Classes of frequency whose bounds a block keeps apart: 1, 2, 3 to 4, and more.
 CLASSES = 4
-#: Deletions and leading characters of the variants by which terms are found that are spelled nearly alike.
+#: The bucket of the blocks' own rows, and the compression of what is written.
+OWN, COMPRESSION = -1, "zstd"
+#: Edits of terms that are found by a part that both words share, and leading characters kept of a part.
 DELETIONS, LEADING = 2, 8
 
 
@@ -47,7 +50,7 @@ def bucket_py(term: str, buckets: int) -> int:
 
 def schema_of(id_type: str) -> str:
     """The columns of posting rows for documents with ids of a type; files have ``bucket`` besides."""
-    return f"term string, seg int, block long, n int, cf int, max_tfs array<int>, min_dls array<int>, rows array<long>, docs array<{id_type}>, chunks array<int>, dls array<int>, pos array<int>"
+    return f"term string, seg int, block long, n int, cf int, max_tfs array<int>, min_dls array<int>, at array<short>, pos array<int>, docs array<{id_type}>, chunks array<int>, dls array<int>"
 
 
 def read(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
@@ -55,7 +58,7 @@ def read(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
 
 
 def posting_rows(chunks: DataFrame) -> DataFrame:
-    """Posting rows of (seg, row, doc_id, chunk_id, tokens): term, seg, block, n (chunks), max_tf, min_dl and the arrays.
+    """Posting rows of (seg, row, doc_id, chunk_id, tokens), and each block's own row, whose term is null.
 
     A block that lies in two tasks gives two rows of the same term and block, which counts as one list in two parts.
     """
@@ -69,83 +72,116 @@ def posting_rows(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             lists = table["tokens"].combine_chunks()
-            dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             if not len(dl) or not dl.sum():
                 continue
-            flat = pc.list_flatten(lists)
-            at = np.repeat(np.arange(len(dl)), dl)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(dl) - dl, dl)
-            coded = flat.dictionary_encode()
-            term = coded.indices.to_numpy()
-            row = table["row"].to_numpy()
-            block = row >> BLOCK_BITS
-            seg = table["seg"].to_numpy()
-            order = np.lexsort((pos, row[at], block[at], seg[at], term))
-            term, at, pos = term[order], at[order], pos[order]
-            same = (term[1:] == term[:-1]) & (block[at][1:] == block[at][:-1]) & (seg[at][1:] == seg[at][:-1])
-            starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            new_row = np.concatenate([[True], ~same | (at[1:] != at[:-1])])
-            row_starts = np.flatnonzero(new_row)
-            tf = np.diff(row_starts, append=len(at))
-            first_row = np.searchsorted(row_starts, starts)
-            offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
-            lists_of = lambda values: pa.ListArray.from_arrays(offsets, values)
-            take = pa.array(at)
-            group = np.repeat(np.arange(len(starts)), np.diff(first_row, append=len(row_starts))) * CLASSES + np.minimum(tf - 1, 2 + (tf > 4))
-            max_tf, min_dl = np.zeros(len(starts) * CLASSES, np.int32), np.full(len(starts) * CLASSES, np.iinfo(np.int32).max, np.int32)
-            np.maximum.at(max_tf, group, tf.astype(np.int32))
-            np.minimum.at(min_dl, group, dl[at[row_starts]].astype(np.int32))
-            classes_of = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * CLASSES), pa.array(values))
-            columns = {
-                "term": coded.dictionary.take(pa.array(term[starts])),
-                "seg": pa.array(seg[at[starts]].astype(np.int32)),
-                "block": pa.array(block[at[starts]]),
-                "n": pa.array(np.diff(first_row, append=len(row_starts)).astype(np.int32)),
-                "cf": pa.array(np.diff(starts, append=len(at)).astype(np.int32)),
-                "max_tfs": classes_of(max_tf),
-                "min_dls": classes_of(min_dl),
-                "rows": lists_of(pa.array(row[at])),
-                "docs": lists_of(table["doc_id"].combine_chunks().take(take)),
-                "chunks": lists_of(table["chunk_id"].combine_chunks().take(take)),
-                "dls": lists_of(pa.array(dl[at].astype(np.int32))),
-                "pos": lists_of(pa.array(pos.astype(np.int32))),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            row, seg = table["row"].to_numpy(), table["seg"].to_numpy()
+            block, place = row >> BLOCK_BITS, (row & ((1 << BLOCK_BITS) - 1)).astype(np.int16)
+            yield of_terms(table, lists, dl, seg, block, place)
+            yield of_blocks(table, dl, seg, block, place)
+
+    def of_terms(table, lists, dl, seg, block, place):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = pc.list_flatten(lists)
+        at = np.repeat(np.arange(len(dl)), dl)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(dl) - dl, dl)
+        coded = flat.dictionary_encode()
+        term = coded.indices.to_numpy()
+        order = np.lexsort((pos, place[at], block[at], seg[at], term))
+        term, at, pos = term[order], at[order], pos[order]
+        same = (term[1:] == term[:-1]) & (block[at][1:] == block[at][:-1]) & (seg[at][1:] == seg[at][:-1])
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        new_row = np.concatenate([[True], ~same | (at[1:] != at[:-1])])
+        row_starts = np.flatnonzero(new_row)
+        tf = np.diff(row_starts, append=len(at))
+        first_row = np.searchsorted(row_starts, starts)
+        offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
+        lists_of = lambda values: pa.ListArray.from_arrays(offsets, values)
+        group = np.repeat(np.arange(len(starts)), np.diff(first_row, append=len(row_starts))) * CLASSES + np.minimum(tf - 1, 2 + (tf > 4))
+        max_tf, min_dl = np.zeros(len(starts) * CLASSES, np.int32), np.full(len(starts) * CLASSES, np.iinfo(np.int32).max, np.int32)
+        np.maximum.at(max_tf, group, tf.astype(np.int32))
+        np.minimum.at(min_dl, group, dl[at[row_starts]].astype(np.int32))
+        classes_of = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * CLASSES), pa.array(values))
+        columns = {
+            "term": coded.dictionary.take(pa.array(term[starts])),
+            "seg": pa.array(seg[at[starts]].astype(np.int32)),
+            "block": pa.array(block[at[starts]]),
+            "n": pa.array(np.diff(first_row, append=len(row_starts)).astype(np.int32)),
+            "cf": pa.array(np.diff(starts, append=len(at)).astype(np.int32)),
+            "max_tfs": classes_of(max_tf),
+            "min_dls": classes_of(min_dl),
+            "at": lists_of(pa.array(place[at])),
+            "pos": lists_of(pa.array(pos.astype(np.int32))),
+            "docs": pa.nulls(len(starts), pa.list_(table["doc_id"].type)),
+            "chunks": pa.nulls(len(starts), pa.list_(pa.int32())),
+            "dls": pa.nulls(len(starts), pa.list_(pa.int32())),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    def of_blocks(table, dl, seg, block, place):
+        import numpy as np
+        import pyarrow as pa
+
+        order = np.lexsort((place, block, seg))
+        change = (np.diff(block[order]) != 0) | (np.diff(seg[order]) != 0)
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+        lists_of = lambda values: pa.ListArray.from_arrays(offsets, values)
+        none, take = pa.nulls(len(starts), pa.list_(pa.int32())), pa.array(order)
+        columns = {
+            "term": pa.nulls(len(starts), table["tokens"].type.value_type),
+            "seg": pa.array(seg[order][starts].astype(np.int32)),
+            "block": pa.array(block[order][starts]),
+            "n": pa.array(np.diff(starts, append=len(order)).astype(np.int32)),
+            "cf": pa.array(np.zeros(len(starts), np.int32)),
+            "max_tfs": none,
+            "min_dls": none,
+            "at": lists_of(pa.array(place[order])),
+            "pos": none,
+            "docs": lists_of(table["doc_id"].combine_chunks().take(take)),
+            "chunks": lists_of(table["chunk_id"].combine_chunks().take(take)),
+            "dls": lists_of(pa.array(dl[order].astype(np.int32))),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return chunks.select("seg", "row", "doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "tokens").mapInArrow(run, schema)
 
 
 def write(chunks: DataFrame, folder: str, buckets: int) -> None:
     """Write ``postings`` (by bucket, sorted by term and block) and ``terms`` (term, df) below ``folder``."""
-    rows = posting_rows(chunks).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    written = read(chunks.sparkSession, folder, chunks.schema["doc_id"].dataType.simpleString())
-    written.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).orderBy("term").write.parquet(f"{folder}/terms")
-    near = spellings(chunks.sparkSession.read.schema("term string, df long, cf long").parquet(f"{folder}/terms")).withColumn("bucket", bucket_of(F.col("variant"), buckets))
-    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/spellings")
+    spark, packed = chunks.sparkSession, {"compression": COMPRESSION}
+    rows = posting_rows(chunks).withColumn("bucket", F.coalesce(bucket_of(F.col("term"), buckets), F.lit(OWN)))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").options(**packed).parquet(f"{folder}/postings")
+    written = read(spark, folder, chunks.schema["doc_id"].dataType.simpleString()).where("term IS NOT NULL")
+    written.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).orderBy("term").write.options(**packed).parquet(f"{folder}/terms")
+    near = spellings(spark.read.schema("term string, df long, cf long").parquet(f"{folder}/terms")).withColumn("bucket", bucket_of(F.col("variant"), buckets))
+    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "variant", "term").write.partitionBy("bucket").options(**packed).parquet(f"{folder}/spellings")
 
 
 def spellings(terms: DataFrame) -> DataFrame:
-    """(variant, term): the first LEADING characters of each term with up to DELETIONS of them left out (FTS-17).
+    """(variant, term): for each of the DELETIONS + 1 parts that a term is cut into, its length, the part's number and its first
+    LEADING characters (FTS-17).
 
-    Two words within DELETIONS edits of each other share a variant: what an alignment keeps of both beginnings is theirs with
-    at most as many characters left out. A term has at most 37 variants, however long it is.
+    DELETIONS edits leave one of these parts as it is, at most as many places away: so a word looks its own characters there up
+    for each length that is near enough. A term has three rows, however long it is.
     """
-    lead = F.substring("term", 1, LEADING)
-    without = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(LEADING))))
-    found = level = F.array(lead)
-    for _ in range(DELETIONS):
-        level = F.array_distinct(F.flatten(F.transform(level, without)))
-        found = F.concat(found, level)
-    return terms.select("term", F.explode(F.array_distinct(found)).alias("variant")).select("variant", "term")
+    parts, n = DELETIONS + 1, F.char_length("term")
+    start = lambda i: F.floor(n * i / parts).cast("int")
+    variants = [F.concat_ws(":", n, F.lit(i), F.substring("term", start(i) + 1, F.least(start(i + 1) - start(i), F.lit(LEADING)))) for i in range(parts)]
+    return terms.select("term", F.explode(F.array(*variants)).alias("variant")).select("variant", "term")
 
 
 def variants_py(word: str, distance: int) -> set[str]:
-    """The variants of a word with up to so many deletions."""
-    found = level = {word[:LEADING]}
-    for _ in range(distance):
-        level = {v[:i] + v[i + 1 :] for v in level for i in range(len(v))}
-        found = found | level
+    """The variants by which terms within so many edits of a word, at most DELETIONS, are found."""
+    found, parts = set(), DELETIONS + 1
+    for n in range(max(0, len(word) - distance), len(word) + distance + 1):
+        for i in range(parts):
+            start, end = n * i // parts, n * (i + 1) // parts
+            for at in range(max(0, start - distance), min(start + distance, len(word) - (end - start)) + 1):
+                found.add(f"{n}:{i}:{word[at : at + min(end - start, LEADING)]}")
     return found
 
 
@@ -203,8 +239,8 @@ class Index:
         if self.gone is None:
             got = self.terms.where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("df").alias("df"))
         else:
-            each = self._of_terms(terms, []).select("term", "seg", F.explode(F.arrays_zip("rows", "docs")).alias("e")).select("term", "seg", "e.rows", F.col("e.docs").alias("doc_id")).distinct()
-            got = self.live(each).groupBy("term").agg(F.count("*").alias("df"))
+            each = self._by_chunk(self._of_terms(terms, []), self._blocks_of(None), F.collect_set("term").alias("terms"))
+            got = self.live(each).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         return {r["term"]: r["df"] for r in got.collect()}
 
     def _idf(self, terms: list[str]) -> dict[str, float]:
@@ -232,25 +268,45 @@ class Index:
     def places(self, terms: list[str], prefixes: list[str], blocks: DataFrame | list | None = None, barred: DataFrame | None = None) -> tuple[DataFrame, dict]:
         """A row for each live chunk with one of the terms, of all blocks or of those given (rows or (seg, block) pairs); and the
         columns with the positions of each (term, False) and (prefix, True)."""
-        rows = self._of_terms(terms, prefixes)
+        own = self._blocks_of(blocks)
+        slots = [(t, False) for t in terms] + [(p, True) for p in prefixes]
+        of = lambda t, prefix: F.startswith("term", F.lit(t)) if prefix else F.col("term") == t
+        places = [F.array_sort(F.collect_list(F.when(of(t, p), F.col("pos")))).alias(f"p{i}") for i, (t, p) in enumerate(slots)]
+        grouped = self.live(self._by_chunk(self._of_terms(terms, prefixes), own, *places))
+        if barred is not None:
+            grouped = grouped.join(barred, "doc_id", "left_anti")
+        return grouped, {s: F.col(f"p{i}") for i, s in enumerate(slots)}
+
+    @staticmethod
+    def _blocks_of(blocks: DataFrame | list | None):
+        """A function that keeps the rows of some blocks: of all, of (seg, block) pairs or of rows with these."""
+        if blocks is None:
+            return lambda rows: rows
         if isinstance(blocks, list):
             each = {}
             for seg, block in blocks:
                 each.setdefault(seg, []).append(block)
             chosen = [(F.col("seg") == s) & F.col("block").isin(bs) for s, bs in each.items()]
-            rows = rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
-        elif blocks is not None:
-            rows = rows.join(blocks.select("seg", "block"), ["seg", "block"], "left_semi")
-        own = rows.select("term", "seg", F.explode(F.arrays_zip("rows", "docs", "chunks", "dls", "pos")).alias("e"))
-        own = own.select("term", "seg", F.col("e.rows").alias("row"), F.col("e.docs").alias("doc_id"), F.col("e.chunks").alias("chunk_id"), F.col("e.dls").alias("dl"), F.col("e.pos").alias("pos"))
-        own = self.live(own)
-        if barred is not None:
-            own = own.join(barred, "doc_id", "left_anti")
-        slots = [(t, False) for t in terms] + [(p, True) for p in prefixes]
-        of = lambda t, prefix: F.startswith("term", F.lit(t)) if prefix else F.col("term") == t
-        places = [F.array_sort(F.collect_list(F.when(of(t, p), F.col("pos")))).alias(f"p{i}") for i, (t, p) in enumerate(slots)]
-        grouped = own.groupBy("seg", "row").agg(F.first("doc_id").alias("doc_id"), F.first("chunk_id").alias("chunk_id"), F.first("dl").alias("dl"), *places)
-        return grouped, {s: F.col(f"p{i}") for i, s in enumerate(slots)}
+            return lambda rows: rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
+        return lambda rows: rows.join(blocks.select("seg", "block"), ["seg", "block"], "left_semi")
+
+    def _by_chunk(self, rows: DataFrame, own, *what) -> DataFrame:
+        """Aggregates ``what`` of (term, pos) by chunk, with seg, row, doc_id, chunk_id and dl, for chunks in some of the posting ``rows``.
+
+        ``own`` keeps the rows of the blocks that count. Rows move whole, once, to where their block's own row is.
+        """
+        rows = own(rows)
+        names = own(self.postings.where(F.col("bucket") == OWN)).join(rows.select("seg", "block").distinct(), ["seg", "block"], "left_semi")
+        columns = ["term", "seg", "block", "at", "pos", "docs", "chunks", "dls"]
+        both = rows.select(columns).unionByName(names.select(columns)).repartition("seg", "block")
+        # Arrays that a row doesn't have are as if empty, so that zipping fills them up with nulls.
+        kinds = dict(both.dtypes)
+        arrays = [F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in columns[4:]]
+        each = both.select("term", "seg", "block", "at", *arrays).select("term", "seg", "block", F.explode(F.arrays_zip("at", *columns[4:])).alias("e")).select("term", "seg", "block", "e.*")
+        first = [F.max(F.when(F.col("term").isNull(), F.col(c))).alias(name) for c, name in (("docs", "doc_id"), ("chunks", "chunk_id"), ("dls", "dl"))]
+        chunks = each.groupBy("seg", "block", "at").agg(*first, F.count("term").alias("found"), *what).where("found > 0")
+        row = F.shiftleft("block", BLOCK_BITS) + F.col("at")
+        return chunks.withColumn("row", row).drop("block", "at", "found")
 
     def hits(self, node, idf: dict[str, float], blocks: DataFrame | list | None = None, barred: DataFrame | None = None) -> DataFrame:
         """(seg, row, doc_id, chunk_id, score) of the chunks that match, of all blocks or of those given."""

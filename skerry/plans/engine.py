@@ -51,6 +51,8 @@ class SearchQuery:
 
 #: Chunks for each bucket of terms, and buckets at most; rows of one search that are fetched by their numbers.
 BUCKET_CHUNKS, MAX_BUCKETS, FETCHED = 20_000, 4_096, 10_000
+#: The form of the tables that this code writes and reads, and how they are compressed.
+FORMAT, PACKED = 2, {"compression": postings.COMPRESSION}
 #: What names a chunk: its document, its number there, and its place in the index.
 _PLACE = ["doc_id", "chunk_id", "seg", "row"]
 
@@ -140,6 +142,8 @@ class Engine:
         found = self._manifest()
         if found is None:
             raise FileNotFoundError(f"no complete index in {self.folder}")
+        if found.get("format") != FORMAT:
+            raise ValueError(f"the index in {self.folder} has tables of another form: build it anew")
         return found
 
     def _finish(self, manifest: dict) -> None:
@@ -163,21 +167,21 @@ class Engine:
         at = f"{self.folder}/segments/{name}"
         made = {"name": name, "number": number, "documents": docs is not None, "gone": gone is not None, "n_chunks": 0, "n_tokens": 0, "buckets": buckets, "fitted": fitted, "files": seen is not None, "spellings": docs is not None}
         if seen is not None:
-            seen.select("doc_id", "path", "modified", "length").withColumn("seg", F.lit(number)).write.parquet(f"{at}/files")
+            seen.select("doc_id", "path", "modified", "length").withColumn("seg", F.lit(number)).write.options(**PACKED).parquet(f"{at}/files")
         if gone is not None:
-            gone.select(F.col("doc_id").cast(id_type).alias("doc_id")).distinct().withColumn("at", F.lit(number)).write.parquet(f"{at}/gone")
+            gone.select(F.col("doc_id").cast(id_type).alias("doc_id")).distinct().withColumn("at", F.lit(number)).write.options(**PACKED).parquet(f"{at}/gone")
         if docs is None:
             return made
-        docs.withColumn("seg", F.lit(number)).write.parquet(f"{at}/documents")
+        docs.withColumn("seg", F.lit(number)).write.options(**PACKED).parquet(f"{at}/documents")
         chunks = C.chunk(self.spark.read.parquet(f"{at}/documents").select("doc_id", "text"), size=settings["chunk_size"], overlap=settings["overlap"])
         numbered = chunks.withColumn("seg", F.lit(number)).withColumn("row", F.monotonically_increasing_id()).withColumn("n_tokens", F.size(T.tokens(F.col("chunk_text"))))
-        numbered.write.parquet(f"{at}/chunks")
+        numbered.write.options(**PACKED).parquet(f"{at}/chunks")
         written = self.spark.read.parquet(f"{at}/chunks")
         n, tokens = written.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         made |= {"n_chunks": n, "n_tokens": tokens, "buckets": buckets or min(MAX_BUCKETS, max(8, n // BUCKET_CHUNKS))}
         postings.write(written.withColumn("tokens", T.tokens(F.col("chunk_text"))), at, made["buckets"])
         if settings["model"] is not None:
-            rank.embed(written, self._embed, "chunk_text").select("seg", "row", "doc_id", "chunk_id", "embedding").write.parquet(f"{at}/vectors")
+            rank.embed(written, self._embed, "chunk_text").select("seg", "row", "doc_id", "chunk_id", "embedding").write.options(**PACKED).parquet(f"{at}/vectors")
         if settings["index"] == "ivf_pq":
             vectors = self.spark.read.parquet(f"{at}/vectors")
             if fitted is None and n:
@@ -202,6 +206,7 @@ class Engine:
             "generation": max(self.generations(), default=-1) + 1 if before is None else before["generation"] + 1,
             "settings": settings,
             "id_type": id_type,
+            "format": FORMAT,
             "segments": [*segments, new],
             "n_chunks": (before["n_chunks"] if before else 0) - lost[0] + new["n_chunks"],
             "n_tokens": (before["n_tokens"] if before else 0) - lost[1] + new["n_tokens"],
@@ -218,7 +223,7 @@ class Engine:
         """Bring the index up to date with ``docs`` by the least work (INC-1, INC-2): ``reused``, ``updated`` or ``built``."""
         then, settings = self._manifest(), self._settings(size, overlap, vectors)
         digest = self.sources_digest(self._whole(docs))
-        if then is not None and then["settings"] == settings:
+        if then is not None and then.get("format") == FORMAT and then["settings"] == settings:
             if ingest.unchanged(then["digest"], digest, settings, settings):
                 return "reused"
             self.update(docs, digest=digest)

@@ -200,3 +200,13 @@ def test_engine_with_codes(spark, tmp_path):
     assert "new" not in {r["doc_id"] for r in e.search(ask).collect()}
     e.vacuum()
     assert len(e.search(SearchQuery("dog", top_k=5)).collect()) == 5
+
+
+def test_what_a_chunk_is_is_kept_once_a_block(spark, tmp_path):
+    """Posting rows of terms hold places only; ids and lengths are in one row a block, whatever the number of terms."""
+    _, index = segment_index(spark, [f"w{i} common w{i * 7 % 50}x" for i in range(90)], str(tmp_path))
+    rows = index.postings.collect()
+    assert "rows" not in index.postings.columns and all(r["docs"] is None and r["chunks"] is None and r["dls"] is None for r in rows if r["term"] is not None)
+    own = [r for r in rows if r["term"] is None]
+    assert sum(len(r["docs"]) for r in own) == 90 and {r["bucket"] for r in own} == {postings.OWN}
+    assert postings.spellings(spark.createDataFrame([("abcdefghijk",)], "term string")).count() == 3
