@@ -311,7 +311,12 @@ class Engine:
                 return
             row = F.struct(*batch.columns)
             rank_of = F.struct(*([F.col(order)] if order else []), F.sha1(F.to_json(row)))
-            last = batch.groupBy("doc_id").agg(F.max_by(row, rank_of).alias("row")).select("row.*")
+            # Only rows of documents that repeat are brought together: the texts of the others stay where they are.
+            ids = batch.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+            last = batch
+            if not ids.isEmpty():
+                again = F.col("doc_id").eqNullSafe(F.col("_again"))
+                last = batch.join(ids, again, "left_semi").groupBy("doc_id").agg(F.max_by(row, rank_of).alias("row")).select("row.*").unionByName(batch.join(ids, again, "left_anti"))
             kept = last.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else last
             settings = before["settings"] if before else engine._settings(size, overlap, vectors)
             engine._commit(before, engine._whole(kept), last.select("doc_id") if before else None, settings, f"followed {uuid.uuid4().hex}", followed={token: number})

@@ -210,3 +210,13 @@ def test_what_a_chunk_is_is_kept_once_a_block(spark, tmp_path):
     own = [r for r in rows if r["term"] is None]
     assert sum(len(r["docs"]) for r in own) == 90 and {r["bucket"] for r in own} == {postings.OWN}
     assert postings.spellings(spark.createDataFrame([("abcdefghijk",)], "term string")).count() == 3
+
+
+def test_a_stream_moves_texts_of_repeated_documents_only(spark, tmp_path):
+    """Of rows of one document the last counts; null and single ids stay as they are."""
+    rows = [("a", "old text", 1), ("a", "new text", 2), ("b", "single", 1), (None, "no id", 1), (None, "no id later", 2)]
+    spark.createDataFrame(rows, "doc_id string, text string, at int").write.parquet(f"{tmp_path}/in")
+    e = Engine(spark, str(tmp_path / "index"))
+    stream = spark.readStream.schema("doc_id string, text string, at int").parquet(f"{tmp_path}/in")
+    e.follow(stream, str(tmp_path / "log"), order="at", vectors=False).awaitTermination()
+    assert {(r["doc_id"], r["text"]) for r in e.documents().collect()} == {("a", "new text"), ("b", "single"), (None, "no id later")}
