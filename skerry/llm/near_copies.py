@@ -1,8 +1,10 @@
 """Groups of near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A 64-bit SimHash does not hold this: at 0.8 two fingerprints differ in about 10 bits, and no
-set of masks that tolerates these keeps enough bits to deal by. So the candidates come from
-MinHash: BANDS bands of ROWS minima each. Texts with the same shingles count as one. A pair of
+Texts with the same shingles count as one. SimHash comes first: the fingerprints of the sets go
+through the Gray-order index of :mod:`.simhash`, and its pairs are verified by the shingles. But a
+64-bit SimHash does not reach all: at 0.8 two fingerprints differ in about 10 bits, and no
+set of masks that tolerates these keeps enough bits to deal by. So for what SimHash leaves apart
+candidates come from MinHash: BANDS bands of ROWS minima each; a bucket whose texts are connected by now is done. A pair of
 similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6, less above 0.8.
 
 Of the texts that share a band, pairs are compared by the low bytes of all minima (a pair of
@@ -53,6 +55,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE_WORDS]), SEED) for i in range(n)), np.uint64, n))
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of a set of hashes: a bit where over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     out = np.full(BANDS * ROWS, ~np.uint64(0))
     for at in range(0, len(hashes), _CHUNK):
@@ -70,7 +81,7 @@ def _sketch_batches(batches):
     import xxhash
 
     for batch in batches:
-        fps, sizes, bands, sigs = [], [], [], []
+        fps, sizes, sims, bands, sigs = [], [], [], [], []
         for text in batch.column(2):
             hashes = shingles(text.as_py())
             low = minima(hashes)
@@ -78,11 +89,12 @@ def _sketch_batches(batches):
             high = (low >> np.uint64(32)).astype("<u4").reshape(BANDS, ROWS)
             fps.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
             sizes.append(len(hashes))
+            sims.append(simhash_of(hashes))
             bands.append([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in high])
             sigs.append((high.ravel() & 255).astype(np.uint8).tobytes())
         long = lambda x: pa.array(np.array(x, np.uint64).ravel().view(np.int64))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), long(bands))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), pa.array(sizes, pa.int32()), keys, pa.array(sigs, pa.binary())], names=["row", "doc_id", "fp", "n", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), pa.array(sizes, pa.int32()), long(sims), keys, pa.array(sigs, pa.binary())], names=["row", "doc_id", "fp", "n", "sim", "bands", "sig"])
 
 
 def with_row(docs: DataFrame, name: str) -> DataFrame:
@@ -241,22 +253,41 @@ def _named(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """row (see :func:`with_row`), doc_id and root of every row of ``docs``; rows of one group of near copies share a root."""
+def _by_simhash(docs: DataFrame, reps: DataFrame, near) -> DataFrame:
+    """The alike ones of the pairs (a, b) of texts that SimHash brings together: with one fingerprint, or with near ones."""
+    coded = materialize(reps.groupBy("sim").agg(F.min("fp").alias("fp")))
+    same = reps.join(coded.select("sim", F.col("fp").alias("first")), "sim").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    found = near(coded.select(F.col("sim").alias("fp"))).distinct()
+    left, right = coded.select(F.col("sim").alias("a"), F.col("fp").alias("x")), coded.select(F.col("sim").alias("b"), F.col("fp").alias("y"))
+    met = materialize(same.unionByName(found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    return materialize(_verified(met, _texts(docs, reps, met.select(F.explode(F.array("a", "b")).alias("fp")))))
+
+
+def _open(shared: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The buckets (m, k) of ``shared`` whose texts are not all connected; ``rooted`` names each text's root."""
+    return shared.join(rooted, "fp").groupBy("m", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("m", "k")
+
+
+def groups(docs: DataFrame, near) -> DataFrame:
+    """row (see :func:`with_row`), doc_id and root of every row of ``docs``; rows of one group of near copies share a root.
+
+    ``near``: distinct SimHash fingerprints (fp) -> pairs (a, b) of near ones.
+    """
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
-    found = materialize(rows.select("row", "doc_id", "text").mapInArrow(released(_sketch_batches), "row long, doc_id long, fp long, n int, bands array<long>, sig binary"))
-    reps = materialize(found.groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    found = materialize(rows.select("row", "doc_id", "text").mapInArrow(released(_sketch_batches), "row long, doc_id long, fp long, n int, sim long, bands array<long>, sig binary"))
+    reps = materialize(found.groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     dealt = reps.select("fp", F.posexplode("bands").alias("m", "k"))
     sizes = dealt.groupBy("m", "k").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(dealt.join(sizes, ["m", "k"]))
+    linked = _by_simhash(docs, reps, near)
     parts = F.ceil(F.col("members") / PART).cast("int")
-    first = shared.withColumn("part", F.pmod(F.xxhash64("m", "fp"), parts).cast("int")).join(reps.select("fp", "n", "sig"), "fp")
+    first = shared.join(_open(shared, _named(reps, linked)), ["m", "k"]).withColumn("part", F.pmod(F.xxhash64("m", "fp"), parts).cast("int")).join(reps.select("fp", "n", "sig"), "fp")
     first = first.select("m", "k", "part", "fp", "n", "sig").repartition("m", "k", "part").sortWithinPartitions("m", "k", "part")
     tried = materialize(first.mapInArrow(released(_forest_batches), "a long, b long").distinct())
-    links = materialize(_verified(tried, _texts(docs, reps, tried.select(F.explode(F.array("a", "b")).alias("fp")))))
+    links = materialize(_verified(tried, _texts(docs, reps, tried.select(F.explode(F.array("a", "b")).alias("fp")))).unionByName(linked))
     # Second round: buckets whose texts are not all connected.
     rooted = shared.join(_named(reps, links), "fp")
-    several = rooted.groupBy("m", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("m", "k")
+    several = _open(shared, _named(reps, links))
     unsettled = materialize(rooted.join(several, ["m", "k"]))
     cut = unsettled.withColumn("parts", F.ceil(F.col("members") / CROSS).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(reps.select("fp", "n", "sig"), "fp")

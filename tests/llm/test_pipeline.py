@@ -169,3 +169,25 @@ def test_near_copies_under_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(docs).collect())
     assert kept == sorted([("None", a), ("None", b), ("5", c), ("2", d), ("7", e), ("7", f)])
+
+
+def test_near_copies_come_from_the_index_of_fingerprints(spark, monkeypatch):
+    """SimHash with its Gray-order index links near copies by itself, also without any bucket of minima; its pairs are verified."""
+    nothing = lambda batches: iter(())
+    monkeypatch.setattr(near_copies, "_forest_batches", nothing)
+    monkeypatch.setattr(near_copies, "_wanted_batches", nothing)
+    texts = [prose(8000 + k, 600) for k in range(20)] + [edited(k, prose(8000 + k, 600), 1) for k in range(20)]
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(range(20)) <= got and len(got) <= 25
+    monkeypatch.setattr(near_copies, "simhash_of", lambda hashes: 7)  # one fingerprint for all: nothing alike, nothing goes
+    other = spark.createDataFrame(list(enumerate(texts[:8])), "doc_id long, text string")
+    assert simhash.keep_one(other).count() == 8
+
+
+def test_forest_pairs_are_near_and_connect():
+    rng = np.random.default_rng(5)
+    codes = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) for c in rng.integers(0, 1 << 63, 9, np.uint64)]))
+    a, b = simhash.forest_pairs(codes)
+    assert (np.bitwise_count(a ^ b) <= simhash.MAX_DIFF).all()
+    members, roots = simhash.link_bucket(codes)
+    assert len(a) == len(members) and set(a.tolist()) | set(b.tolist()) == set(members.tolist()) | set(roots.tolist())
