@@ -249,8 +249,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _named(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) of every text; texts that ``links`` (a, b) connect share a root."""
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    return reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return materialize(reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` (fp, root) after further links (a, b): only the roots that these bring together are looked at."""
+    left, right = rooted.select(F.col("fp").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("fp").alias("b"), F.col("root").alias("rb"))
+    met = links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots = components(met).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return materialize(rooted.join(roots, "root", "left").select("fp", F.coalesce("last", "root").alias("root")))
 
 
 def _by_simhash(docs: DataFrame, reps: DataFrame, near) -> DataFrame:
@@ -279,16 +288,14 @@ def groups(docs: DataFrame, near) -> DataFrame:
     dealt = reps.select("fp", F.posexplode("bands").alias("m", "k"))
     sizes = dealt.groupBy("m", "k").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(dealt.join(sizes, ["m", "k"]))
-    linked = _by_simhash(docs, reps, near)
+    rooted = _named(reps, _by_simhash(docs, reps, near))
     parts = F.ceil(F.col("members") / PART).cast("int")
-    first = shared.join(_open(shared, _named(reps, linked)), ["m", "k"]).withColumn("part", F.pmod(F.xxhash64("m", "fp"), parts).cast("int")).join(reps.select("fp", "n", "sig"), "fp")
+    first = shared.join(_open(shared, rooted), ["m", "k"]).withColumn("part", F.pmod(F.xxhash64("m", "fp"), parts).cast("int")).join(reps.select("fp", "n", "sig"), "fp")
     first = first.select("m", "k", "part", "fp", "n", "sig").repartition("m", "k", "part").sortWithinPartitions("m", "k", "part")
     tried = materialize(first.mapInArrow(released(_forest_batches), "a long, b long").distinct())
-    links = materialize(_verified(tried, _texts(docs, reps, tried.select(F.explode(F.array("a", "b")).alias("fp")))).unionByName(linked))
+    rooted = _merged(rooted, _verified(tried, _texts(docs, reps, tried.select(F.explode(F.array("a", "b")).alias("fp")))))
     # Second round: buckets whose texts are not all connected.
-    rooted = shared.join(_named(reps, links), "fp")
-    several = _open(shared, _named(reps, links))
-    unsettled = materialize(rooted.join(several, ["m", "k"]))
+    unsettled = materialize(shared.join(rooted, "fp").join(_open(shared, rooted), ["m", "k"]))
     cut = unsettled.withColumn("parts", F.ceil(F.col("members") / CROSS).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(reps.select("fp", "n", "sig"), "fp")
     block = ["m", "k", "i", "j"]
@@ -297,5 +304,5 @@ def groups(docs: DataFrame, near) -> DataFrame:
     wanted = materialize(cut.mapInArrow(released(_wanted_batches), "m int, k long, i int, j int, own int, fp long, n int, sig binary, root long"))
     whole = wanted.join(_texts(docs, reps, wanted.select("fp")), "fp").select(*wanted.columns, F.coalesce("text", F.lit("")).alias("text"))
     cut = whole.repartition(*block).sortWithinPartitions(*block)
-    named = _named(reps, materialize(links.unionByName(cut.mapInArrow(released(_rest_batches), "a long, b long").distinct())))
+    named = _merged(rooted, cut.mapInArrow(released(_rest_batches), "a long, b long"))
     return found.select("row", "doc_id", "fp").join(named, "fp").select("row", "doc_id", "root")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from .common import materialize, released, scratch
-from .components import components
+from .components import Forest, components
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -113,23 +113,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 class GrayTree:
     """Codes in Gray order under a hierarchy of shared bit patterns.
 
@@ -187,7 +170,7 @@ def link_bucket(codes: np.ndarray, max_diff: int = MAX_DIFF) -> tuple[np.ndarray
     """Distinct codes of one run -> links (member, root) of a spanning forest of all pairs within ``max_diff`` bits."""
     tree = GrayTree(codes)
     codes, n = tree.codes, len(codes)
-    forest = _Forest(n)
+    forest = Forest(n)
     for rows, cols in tree.close_pairs(max_diff):
         for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
             forest.join(x, y)
@@ -199,7 +182,7 @@ def link_bucket(codes: np.ndarray, max_diff: int = MAX_DIFF) -> tuple[np.ndarray
 def forest_pairs(codes: np.ndarray, max_diff: int = MAX_DIFF) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of one run -> pairs within ``max_diff`` bits that connect what all such pairs connect, nearest first."""
     tree = GrayTree(codes)
-    codes, forest, found = tree.codes, _Forest(len(codes)), []
+    codes, forest, found = tree.codes, Forest(len(codes)), []
     for rows, cols in tree.close_pairs(max_diff):
         order = np.argsort(np.bitwise_count(codes[rows] ^ codes[cols]), kind="stable")
         for x, y in zip(rows[order].tolist(), cols[order].tolist(), strict=True):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -733,6 +734,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_write_few_tables(spark, monkeypatch):
+    """Links that one task holds take two tables, however long their paths; more than that, rounds with the same result."""
+    made, rnd = [], random.Random(5)
+    monkeypatch.setattr(components, "materialize", lambda df, own=components.materialize: made.append(1) or own(df))
+    assert components.components(spark.range(1500).selectExpr("id AS a", "id + 1 AS b")).select("root").distinct().count() == 1
+    assert len(made) <= 2
+    pairs = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(500)]
+    up = components.Forest(900)
+    for a, b in pairs:
+        up.join(a, b)
+    monkeypatch.setattr(components, "LOCAL", 40)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()}
+    assert got.keys() == {x for a, b in pairs if a != b for x in (a, b)}
+    assert len({(up.find(k), v) for k, v in got.items()}) == len({up.find(k) for k in got}) == len(set(got.values()))
+
+
 # Toxicity
 
 
