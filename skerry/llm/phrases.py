@@ -39,9 +39,11 @@ UNKNOWN = "und"
 #: Words in the dictionary that go to tasks by broadcast.
 DICTIONARY = 1_000_000
 #: Keys that a task sorts at a time, and keys aimed at in a range; distinct words held while counting.
-CHUNK, RANGE, HELD = 2_000_000, 1_000_000, 300_000
-#: Bytes of text that are words at a time.
-BYTES = 4_000_000
+CHUNK, RANGE, HELD = 500_000, 1_000_000, 300_000
+#: Ranges' sizes that a task sorts at a time at most.
+RANGES = 3
+#: Bytes of text that are words at a time, rows of a table whose texts are held, and rows of keys sent on at a time.
+BYTES, TEXTS, SENT = 1_000_000, 1_000, 50_000
 #: A phrase goes if a longer candidate around it has this share of its count, in percent.
 INSIDE = 80
 SCALE = 2_000_000
@@ -77,6 +79,12 @@ def _groups(texts: list[bytes]):
     yield b"\n".join(group)
 
 
+def _parts(batch: pa.RecordBatch, rows: int):
+    """``batch`` in slices of ``rows`` rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _by_language(batch) -> dict[str, list[bytes]]:
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -90,7 +98,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, TEXTS)):
             for lang, texts in _by_language(batch).items():
                 counts = held.setdefault(lang, Counter())
                 for group in _groups(texts):
@@ -127,13 +135,13 @@ def radix_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def keys_of(ids: np.ndarray, longest: int) -> list[np.ndarray]:
-    """The columns of the keys at the places of a sequence of ids (0: a break) where a phrase of two words or more starts."""
+def keys_of(ids: np.ndarray, longest: int, places: int | None = None) -> list[np.ndarray]:
+    """The columns of the keys at the (first ``places``) places of a sequence of ids (0: a break) where a phrase of two words or more starts."""
     padded = np.concatenate([ids, np.zeros(longest, ids.dtype)]).astype(np.uint32)
     columns = [padded[: len(ids)]]
     for k in range(1, longest):
         columns.append(np.where(columns[-1] > 0, padded[k : k + len(ids)], 0).astype(np.uint32))
-    starts = columns[1] > 0
+    starts = np.flatnonzero(columns[1][:places])
     return [c[starts] for c in columns]
 
 
@@ -163,15 +171,31 @@ def _counted(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _key_counts(sequences, longest: int):
-    """Batches of (key, n) from arrays of ids, CHUNK keys sorted at a time."""
+    """Batches of (key, n) from arrays of ids, CHUNK keys sorted at a time; a longer array is taken in pieces."""
     held: list[list[np.ndarray]] = []
+    n = 0
     for ids in sequences:
-        held.append(keys_of(ids, longest))
-        if sum(len(h[0]) for h in held) >= CHUNK:
-            yield _counted([np.concatenate(c) for c in zip(*held, strict=True)])
-            held = []
-    if any(len(h[0]) for h in held):
-        yield _counted([np.concatenate(c) for c in zip(*held, strict=True)])
+        for columns in _key_pieces(ids, longest):
+            held.append(columns)
+            n += len(columns[0])
+            if n >= CHUNK:
+                yield from _parts(_counted(_joined(held)), SENT)
+                n = 0
+    if n:
+        yield from _parts(_counted(_joined(held)), SENT)
+
+
+def _key_pieces(ids: np.ndarray, longest: int):
+    """:func:`keys_of` of a long array, CHUNK places at a time; each piece sees the ids after it."""
+    for at in range(0, len(ids), CHUNK):
+        yield keys_of(ids[at : at + CHUNK + longest - 1], longest, CHUNK)
+
+
+def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of all of ``held``, which is emptied."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return columns
 
 
 _KEYS = "key binary, n long"
@@ -188,7 +212,7 @@ def keys_by_broadcast(docs: DataFrame, dictionary: DataFrame, longest: int) -> D
         known = sent.value
 
         def sequences():
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, TEXTS)):
                 for lang, texts in _by_language(batch).items():
                     if lang in known:
                         for group in _groups(texts):
@@ -240,14 +264,15 @@ def count_phrases(keys: DataFrame, longest: int, min_count: int) -> DataFrame:
 
     def run(batches):
         held: list[list[np.ndarray]] = []
-        whole = True
+        whole, size = True, 0
         for batch in batches:
             if batch.num_rows:
                 held.append(_columns(batch))
-            if sum(len(h[0]) for h in held) >= 8 * RANGE:  # a range far over its size: counted in pieces, so nothing is known to be complete
+                size += batch.num_rows
+            if size >= RANGES * RANGE:  # a range far over its size: counted in pieces, so nothing is known to be complete
                 whole = False
                 yield from _prefix_counts(held, False)
-                held = []
+                size = 0
         if held:
             yield from _prefix_counts(held, whole)
 
@@ -258,7 +283,7 @@ def count_phrases(keys: DataFrame, longest: int, min_count: int) -> DataFrame:
         return [*(rows[:, k].astype(np.uint32) for k in range(longest)), batch.column(1).to_numpy()]
 
     def _prefix_counts(held, whole):
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        columns = _joined(held)
         n = columns.pop()
         order = radix_order(columns)
         columns, n = [c[order] for c in columns], n[order]
@@ -271,7 +296,7 @@ def count_phrases(keys: DataFrame, longest: int, min_count: int) -> DataFrame:
             else:
                 wanted[:] = True
             wanted &= columns[length - 1][starts] > 0
-            yield _packed([c[starts][wanted] for c in columns[:length]], total[wanted])
+            yield from _parts(_packed([c[starts][wanted] for c in columns[:length]], total[wanted]), SENT)
 
     ranges = max(1, -(-keys.count() // RANGE))
     spark = keys.sparkSession

@@ -69,6 +69,25 @@ def test_small_ranges_and_the_join(texts, monkeypatch):
     assert listed(phrases.collocations(docs, min_count=10, top=7)) == brute(rows, 10, 7)
 
 
+def test_bounded_chunks(monkeypatch):
+    """However long an array of ids is, CHUNK keys or so are sorted at a time and SENT rows sent on, with the same counts."""
+    monkeypatch.setattr(phrases, "CHUNK", 50)
+    monkeypatch.setattr(phrases, "SENT", 20, raising=False)
+    sorted_at_once = []
+    monkeypatch.setattr(phrases, "_counted", lambda columns, own=phrases._counted: sorted_at_once.append(len(columns[0])) or own(columns))
+    rnd = random.Random(9)
+    arrays = [np.array([rnd.randrange(6) for _ in range(size)], np.uint32) for size in (1_003, 7, 0, 1, 150)]
+    want, got = Counter(), Counter()
+    for ids in arrays:
+        for key in zip(*(c.tolist() for c in phrases.keys_of(ids, 4)), strict=True):
+            want[b"".join(i.to_bytes(4) for i in key)] += 1
+    for batch in phrases._key_counts(iter(arrays), 4):
+        assert batch.num_rows <= 20
+        for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            got[key] += n
+    assert got == want and max(sorted_at_once) <= 100
+
+
 def test_radix_order():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, high, 5_000).astype(np.uint32) for high in (3, 200_000, 2**32, 5)]
